@@ -1 +1,186 @@
-"""Queries."""
+"""Components, outlines, edges, segmentation and co-registration."""
+
+from pyspark.sql import functions as F
+
+from registry import query
+from registry.stencils import blur_sql, extreme_sql, open_close_sql
+from registry.tables import GRID_COLS, ORIGIN_X, ORIGIN_Y, PIXEL, SCENE_ROWS
+from strandline.functions import spectral as sp
+from strandline.operators import components as co
+from strandline.operators import contour as ct
+from strandline.operators import edges as ed
+from strandline.operators import register as rg
+from strandline.operators import snake as sn
+from strandline.operators import stencil as st
+from strandline.plans import coastline as pc
+from strandline.session import new_folder
+from strandline.sources import tables as tb
+
+SMOOTH = f'{blur_sql("grid", "v", 9, 6.0, SCENE_ROWS, GRID_COLS)}, mask as (select scene_id, "row", col, (round(v, 7) >= 0)::int m from blurred)'
+
+
+def smooth_mask(t):
+    s = st.gaussian_blur(t.grid(), "v", 9, 6.0, SCENE_ROWS, GRID_COLS)
+    return s.select("scene_id", "row", "col", sp.at_least(F.round("v", 7), 0.0).alias("m"))
+
+
+@query("e12_components", """with recursive mask as (select scene_id, "row", col from grid where v > 0.12::double),
+    reach as (select scene_id, "row", col, "row" r0, col c0 from mask union
+      select m.scene_id, m."row", m.col, r0, c0 from reach p join mask m on m.scene_id = p.scene_id and abs(m."row" - p."row") <= 1 and abs(m.col - p.col) <= 1)
+    select scene_id, "row", col, min(r0 * 1000 + c0)::bigint component from reach group by 1, 2, 3""")
+def _(t):
+    mask = t.grid().select("scene_id", "row", "col", (F.col("v") > 0.12).cast("int").alias("m"))
+    parts = co.label_pixels(mask, "m", eight=True, block=32)
+    return parts.select("scene_id", "row", "col", (F.col("component.row") * 1000 + F.col("component.col")).cast("bigint").alias("component"))
+
+
+OUTSIDE = f"""out as (select scene_id, "row", col from mask where m = 0 and ("row" in (0, {SCENE_ROWS - 1}) or col in (0, {GRID_COLS - 1})) union
+      select m.scene_id, m."row", m.col from out p join mask m on m.scene_id = p.scene_id and abs(m."row" - p."row") + abs(m.col - p.col) = 1 and m.m = 0),
+    edge as (select m.scene_id, m."row", m.col, (m.m = 1 and (m."row" in (0, {SCENE_ROWS - 1}) or m.col in (0, {GRID_COLS - 1}) or bool_or(o.col is not null)))::int edge
+      from mask m left join out o on o.scene_id = m.scene_id and abs(m."row" - o."row") + abs(m.col - o.col) = 1 group by m.scene_id, m."row", m.col, m.m)"""
+
+
+@query("e9_outer_contour", f"""with recursive {SMOOTH}, {OUTSIDE}, {extreme_sql("x", "edge", "edge", "max", 1)} select scene_id, "row", col, edge from x""")
+def _(t):
+    return ct.contour_raster(smooth_mask(t), "m", SCENE_ROWS, GRID_COLS, block=64)
+
+
+def sobel_sql(source: str) -> str:
+    n = {k: f"coalesce(lag({k}) over r, {k}) {k}l, coalesce(lead({k}) over r, {k}) {k}r" for k in ("v",)}
+    return f"""gx as (select *, vr - vl gdx, vl + 2 * v + vr gsx from (select scene_id, "row", col, v, {n["v"]} from {source} window r as (partition by scene_id, "row" order by col))),
+    gy as (select scene_id, "row", col, coalesce(lag(gdx) over c, gdx) + 2 * gdx + coalesce(lead(gdx) over c, gdx) dx, coalesce(lead(gsx) over c, gsx) - coalesce(lag(gsx) over c, gsx) dy
+      from gx window c as (partition by scene_id, col order by "row")),
+    gm as (select *, abs(dx) + abs(dy) m from gy),
+    ridge as (select g.*, case when abs(dy) < abs(dx) * tan(radians(22.5)) then m > coalesce(le, 0) and m >= coalesce(ri, 0)
+      when abs(dy) > abs(dx) * tan(radians(67.5)) then m > coalesce(up, 0) and m >= coalesce(dn, 0)
+      when dx * dy < 0 then m > coalesce(ur, 0) and m > coalesce(dl, 0) else m > coalesce(ul, 0) and m > coalesce(dr, 0) end keep from
+      (select a.*, (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" and b.col = a.col - 1) le,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" and b.col = a.col + 1) ri,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" - 1 and b.col = a.col) up,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" + 1 and b.col = a.col) dn,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" - 1 and b.col = a.col - 1) ul,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" - 1 and b.col = a.col + 1) ur,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" + 1 and b.col = a.col - 1) dl,
+        (select b.m from gm b where b.scene_id = a.scene_id and b."row" = a."row" + 1 and b.col = a.col + 1) dr from gm a) g)"""
+
+
+# The test plane is noise, so its smoothed gradient is small: thresholds to match it.
+LOW, HIGH = 12, 24
+
+
+@query("e8_edges", f"""with recursive plane as (select scene_id, "row", col, least(floor((v + 1) * 128), 255)::double v from grid),
+    {blur_sql("plane", "v", 15, 0.0, SCENE_ROWS, GRID_COLS)}, px as (select scene_id, "row", col, floor(v + 0.5)::int v from blurred), {sobel_sql("px")},
+    weak as (select scene_id, "row", col, m from ridge where keep and m > {LOW}),
+    hot as (select scene_id, "row", col from weak where m > {HIGH} union
+      select w.scene_id, w."row", w.col from hot h join weak w on w.scene_id = h.scene_id and abs(w."row" - h."row") <= 1 and abs(w.col - h.col) <= 1),
+    drawn as (select g.scene_id, g."row", g.col, (h.col is not null)::int edge from grid g left join hot h using (scene_id, "row", col)),
+    {extreme_sql("x", "drawn", "edge", "max", 1)} select scene_id, "row", col, edge from x""")
+def _(t):
+    plane = t.grid().select("scene_id", "row", "col", sp.encode_floor("v").alias("v"))
+    return ed.edge_raster(plane, "v", SCENE_ROWS, GRID_COLS, LOW, HIGH, block=64)
+
+
+SEGMENTS = """sq as (select a.scene_id, a."row", a.col, a.m ul, b.m ur, c.m ll, d.m lr from {mask} a join {mask} b on b.scene_id = a.scene_id and b."row" = a."row" and b.col = a.col + 1
+      join {mask} c on c.scene_id = a.scene_id and c."row" = a."row" + 1 and c.col = a.col join {mask} d on d.scene_id = a.scene_id and d."row" = a."row" + 1 and d.col = a.col + 1),
+    -- side pairs (from, to) of each of the sixteen squares ul ur ll lr; sides are top right bottom left
+    cases(code, f, g) as (values (1, 'l', 't'), (2, 't', 'r'), (3, 'l', 'r'), (4, 'b', 'l'), (5, 'b', 't'), (6, 't', 'r'), (6, 'b', 'l'), (7, 'b', 'r'),
+      (8, 'r', 'b'), (9, 'l', 't'), (9, 'r', 'b'), (10, 't', 'b'), (11, 'l', 'b'), (12, 'r', 'l'), (13, 'r', 't'), (14, 't', 'l')),
+    side(s, oy, ox) as (values ('t', 0, 1), ('b', 2, 1), ('l', 1, 0), ('r', 1, 2)),
+    segs as (select scene_id, "row" * 2 + p.oy y0, col * 2 + p.ox x0, "row" * 2 + q.oy y1, col * 2 + q.ox x1 from sq
+      join cases on code = ul + 2 * ur + 4 * ll + 8 * lr join side p on p.s = f join side q on q.s = g)"""
+
+
+@query("e13_level_segments", f"""with {SMOOTH}, {SEGMENTS.format(mask="mask")} select scene_id, y0, x0, y1, x1,
+    {ORIGIN_X}::double + (x0 / 2.0::double + 0.5::double) * {PIXEL}::double wx0, {ORIGIN_Y}::double - (y0 / 2.0::double + 0.5::double) * {PIXEL}::double wy0 from segs""")
+def _(t):
+    segs = ct.level_segments(smooth_mask(t), "m", block=64)
+    world = ct.to_world(segs, ORIGIN_X, ORIGIN_Y, PIXEL).select("scene_id", "row", "col", "n", F.col("x0").alias("wx0"), F.col("y0").alias("wy0"))
+    return segs.join(world, ["scene_id", "row", "col", "n"]).select("scene_id", "y0", "x0", "y1", "x1", "wx0", "wy0")
+
+
+@query("e13_polylines", f"""with recursive {SMOOTH}, {SEGMENTS.format(mask="mask")},
+    step as (select scene_id, y0, x0, y1, x1, y0 ya, x0 xa from segs union
+      select s.scene_id, s.y0, s.x0, s.y1, s.x1, ya, xa from step p join segs s on s.scene_id = p.scene_id and s.y0 = p.y1 and s.x0 = p.x1)
+    select scene_id, count(*) segments, sum(closed)::bigint closed_segments, count(distinct line) lines from
+      (select scene_id, y0, x0, max(case when y1 = ya and x1 = xa then 1 else 0 end) closed, min(ya * 100000 + xa) line from
+        (select * from step union all select t.scene_id, t.ya, t.xa, -1, -1, t.y0, t.x0 from step t) group by 1, 2, 3) group by 1""")
+def _(t):
+    v = pc.coast_lines(smooth_mask(t), "m", ORIGIN_X, ORIGIN_Y, PIXEL, block=64)
+    lines = v.groupBy("scene_id", "part", "closed").agg((F.count("*") - 1).alias("n"))
+    return lines.groupBy("scene_id").agg(
+        F.sum("n").alias("segments"), F.coalesce(F.sum(F.when(F.col("closed"), F.col("n"))), F.lit(0)).alias("closed_segments"), F.count("*").alias("lines"))
+
+
+@query("a17_coastline_sink", f"""with {SMOOTH}, {SEGMENTS.format(mask="mask")} select scene_id, y0, x0 from segs""")
+def _(t):
+    folder = new_folder(t.spark, "coast")
+    tb.write_wkt_lines(pc.coast_lines(smooth_mask(t), "m", ORIGIN_X, ORIGIN_Y, PIXEL, block=64), folder)
+    back = t.spark.read.parquet(folder)
+    # Starts of the pieces: all vertices but the last of each line.
+    last = back.groupBy("scene_id", "part").agg(F.max("seq").alias("last"))
+    starts = back.join(last, ["scene_id", "part"]).where("seq < last")
+    return starts.select(
+        "scene_id", F.round(((F.lit(ORIGIN_Y) - F.col("y")) / PIXEL - 0.5) * 2).cast("int").alias("y0"),
+        F.round(((F.col("x") - ORIGIN_X) / PIXEL - 0.5) * 2).cast("int").alias("x0"))
+
+
+def snake_sql(steps: int) -> str:
+    """The steps written out one by one over whole lines."""
+    parts = ["""u0 as (select scene_id, "row", col, least(floor((v + 1) * 128), 255)::double v, (("row" // 5 + col // 5) % 2)::int u from grid)"""]
+
+    def near(src: str, name: str) -> str:
+        return f"""{name} as materialized (select scene_id, "row", col, v, u, coalesce(lag(u) over r, 0) l, coalesce(lead(u) over r, 0) ri, coalesce(lag(u) over c, 0) up, coalesce(lead(u) over c, 0) dn,
+          coalesce(lag(u) over d, 0) ul, coalesce(lead(u) over d, 0) lr, coalesce(lag(u) over e, 0) ur, coalesce(lead(u) over e, 0) ll from {src}
+          window r as (partition by scene_id, "row" order by col), c as (partition by scene_id, col order by "row"),
+          d as (partition by scene_id, "row" - col order by "row"), e as (partition by scene_id, "row" + col order by "row"))"""
+
+    sup_inf = "greatest(least(u, l, ri), least(u, up, dn), least(u, ul, lr), least(u, ur, ll))"
+    inf_sup = "least(greatest(u, l, ri), greatest(u, up, dn), greatest(u, ul, lr), greatest(u, ur, ll))"
+    for k in range(steps):
+        first, second = (inf_sup, sup_inf) if k % 2 == 0 else (sup_inf, inf_sup)
+        parts += [
+            f"mean{k} as materialized (select scene_id, sum(v * (1 - u)) / (sum(1 - u) + 1e-8::double) c0, sum(v * u) / (sum(u) + 1e-8::double) c1 from u{k} group by 1)",
+            f"""g{k} as materialized (select scene_id, "row", col, v, u, coalesce(lag(u) over r, u) <> coalesce(lead(u) over r, u) or coalesce(lag(u) over c, u) <> coalesce(lead(u) over c, u) ch
+              from u{k} window r as (partition by scene_id, "row" order by col), c as (partition by scene_id, col order by "row"))""",
+            f"""p{k} as materialized (select scene_id, "row", col, v, case when ch and power(v - c1, 2) < power(v - c0, 2) then 1 when ch and power(v - c1, 2) > power(v - c0, 2) then 0 else u end u
+              from g{k} join mean{k} using (scene_id))""",
+            near(f"p{k}", f"na{k}"), f'a{k} as materialized (select scene_id, "row", col, v, {first} u from na{k})',
+            near(f"a{k}", f"nb{k}"), f'u{k + 1} as materialized (select scene_id, "row", col, v, {second} u from nb{k})',
+        ]
+    return ",\n".join(parts)
+
+
+@query("e11_region_segmentation", f"""with {snake_sql(5)} select scene_id, "row", col, u::int u from u5""")
+def _(t):
+    coded = t.grid().select("scene_id", "row", "col", sp.encode_floor("v").alias("code"))
+    return sn.segment(coded, "code", block=64)
+
+
+@query("e11_coast_mask", f"""with {snake_sql(5)}, fin as (select scene_id, "row", col, u from u5), {open_close_sql("fin", "u", 4)} select scene_id, "row", col, u::int u from m4""")
+def _(t):
+    return pc.coast_mask(t.grid(), "v", block=64)
+
+
+SHIFTED = """target as (select scene_id, ("row" + 1)::int "row", (col - 2)::int col, v * 0.9::double + 0.01::double v from grid)"""
+SCORES = f"""{SHIFTED}, scores as (select b.scene_id, dr::int dr, dc::int dc, corr(b.v, t.v) score from grid b, range(-2, 3) x(dr), range(-2, 3) y(dc), target t
+      where t.scene_id = b.scene_id and t."row" = b."row" + dr and t.col = b.col + dc and exists (select 1 from target q where q.scene_id = b.scene_id and q."row" = b."row" and q.col = b.col)
+      and t."row" >= 0 and t."row" < {SCENE_ROWS} and t.col >= 0 and t.col < {GRID_COLS}
+      and exists (select 1 from grid q where q.scene_id = t.scene_id and q."row" = t."row" and q.col = t.col) group by 1, 2, 3)"""
+
+
+def target(t):
+    return t.grid().select("scene_id", (F.col("row") + 1).alias("row"), (F.col("col") - 2).cast("int").alias("col"), (F.col("v") * 0.9 + 0.01).alias("v"))
+
+
+@query("c16_shift_scores", f"with {SCORES} select scene_id, dr, dc, round(score, 6) score from scores")
+def _(t):
+    s = rg.shift_scores(t.grid(), target(t), "v", reach=2, block=64)
+    return s.select("scene_id", "dr", "dc", F.round("score", 6).alias("score"))
+
+
+@query("c16_registered_raster", """select scene_id, "row", col, round(v * 0.9::double + 0.01::double, 9) v from grid""")
+def _(t):
+    from strandline.session import settled
+
+    shift = settled(rg.best_shift(rg.shift_scores(t.grid(), target(t), "v", reach=2)), "shift")
+    return rg.apply_shift(target(t), shift).select("scene_id", "row", "col", F.round("v", 9).alias("v"))

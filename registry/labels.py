@@ -88,7 +88,7 @@ _W = """case when abs(d) < 1 then (4 - 6 * d * d + 3 * abs(d) * d * d) / 6 when
     select scene_id, rw.t "row", s1.col col, round(sum(rw.w * sv) / sum(rw.w * sw), 7) label from s1 join rw on s1."row" = rw.p group by 1, 2, 3""")
 def _(t):
     label = t.bands4().select("scene_id", "row", "col", (F.col("b1") % 3).alias("label"))
-    return lb.upsample(label, "label", 3, SCENE_ROWS, 16).select("scene_id", "row", "col", F.round("label", 7).alias("label"))
+    return lb.upsample(label, "label", 3, block=64).select("scene_id", "row", "col", F.round("label", 7).alias("label"))
 
 
 @query("i6_upsample_nearest", """select scene_id, ("row" * 2 + i)::int "row", (col * 2 + j)::int col, b1 % 3 label from bands4, range(2) a(i), range(2) b(j)""")

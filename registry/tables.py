@@ -265,6 +265,8 @@ def with_tables(sql: str) -> str:
         return sql
     ctes = ",\n".join(f"{n} as ({SQL_TABLES[n]})" for n in wanted)
     body = sql.strip()
+    if re.match(r"with\s+recursive\s", body, re.I):
+        return f"with recursive {ctes},\n{body.split('recursive', 1)[1].lstrip()}"
     if re.match(r"with\s", body, re.I):
         return f"with {ctes},\n{body[4:].lstrip()}"
     return f"with {ctes}\n{body}"

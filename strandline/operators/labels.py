@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.operators.blocks import BLOCK, along_row, with_halo
 from strandline.operators.spatial import in_polygons
 
 # A month label stands for the day this many days after its first.
@@ -92,39 +93,41 @@ def overlay(pixels: DataFrame, label: DataFrame, first_band: str) -> DataFrame:
     return pixels.join(label.select(*key, "label"), key, "left").withColumn("label", value)
 
 
-def _spline(d: Column) -> Column:
+def _spline(d: float) -> float:
     """Cubic B-spline at distance d."""
-    a = F.abs(d)
-    return F.when(a < 1, (4 - 6 * a * a + 3 * a * a * a) / 6).when(a < 2, (2 - a) * (2 - a) * (2 - a) / 6).otherwise(0.0)
+    a = abs(d)
+    return (4 - 6 * a**2 + 3 * a**3) / 6 if a < 1 else (2 - a) ** 3 / 6 if a < 2 else 0.0
 
 
-def upsample(source: DataFrame, value: str, factor: int, rows: Column | int, cols: Column | int) -> DataFrame:
-    """Plane on a grid `factor` times as fine, by cubic B-spline; rows, cols are the source size.
+def _fine(value: str, factor: int, window) -> Column:
+    """Values of the `factor` target positions over a source position, from its neighbours along the window."""
+    taps = range(-MAX_KERNEL, MAX_KERNEL + 1)
+    near = {k: F.lag(value, -k).over(window) for k in taps}
 
-    Each source pixel adds its share to the target pixels within two source pixels: one
-    aggregation, in which targets of one neighbourhood combine before the shuffle. At
-    the frame the weights that exist are normalised.
+    def at(j: int) -> Column:
+        weights = {k: _spline((j + 0.5) / factor - 0.5 - k) for k in taps}
+        used = {k: w for k, w in weights.items() if w > 0}
+        total = sum((F.coalesce(near[k] * w, F.lit(0.0)) for k, w in used.items()), F.lit(0.0))
+        weight = sum((F.when(near[k].isNotNull(), w).otherwise(0.0) for k, w in used.items()), F.lit(0.0))
+        return F.try_divide(total, weight)
+
+    return F.array(*[at(j) for j in range(factor)])
+
+
+def upsample(source: DataFrame, value: str, factor: int, block: int = 256) -> DataFrame:
+    """Plane on a grid `factor` times as fine, by cubic B-spline; at the frame the weights that exist are normalised.
+
+    The coarse pixels are exchanged once, by block with a halo; both axes are refined
+    inside the block, so nothing of the size of the fine plane is shuffled.
     """
-    rows, cols = (F.lit(n) if isinstance(n, int) else n for n in (rows, cols))
-
-    def targets(pos: str, size: Column) -> Column:
-        # target t has its centre at (t + 0.5) / factor - 0.5 in source pixels
-        lo = F.greatest(F.lit(0), F.ceil((F.col(pos) - MAX_KERNEL + 0.5) * factor - 0.5)).cast("int")
-        hi = F.least(size * factor - 1, F.floor((F.col(pos) + MAX_KERNEL + 0.5) * factor - 0.5)).cast("int")
-        return F.transform(
-            F.sequence(lo, hi),
-            lambda t: F.struct(t.alias("t"), _spline((t + 0.5) / factor - 0.5 - F.col(pos)).alias("w")),
-        )
-
-    spread = (
-        source.withColumn("_r", F.explode(targets("row", rows)))
-        .withColumn("_c", F.explode(targets("col", cols)))
-        .withColumn("_w", F.col("_r.w") * F.col("_c.w"))
-        .where("_w > 0")
-    )
-    return spread.groupBy("scene_id", F.col("_r.t").alias("row"), F.col("_c.t").alias("col")).agg(
-        (F.sum(F.col("_w") * F.col(value)) / F.sum("_w")).alias(value)
-    )
+    halo = with_halo(source, [value], MAX_KERNEL, block)
+    across = halo.select(*BLOCK, "row", "col", "core", _fine(value, factor, along_row()).alias("_v"))
+    wide = across.select(*BLOCK, "row", "col", "core", F.posexplode("_v").alias("_j", value))
+    down = Window.partitionBy(*BLOCK, "col", "_j").orderBy("row")
+    fine = wide.select("scene_id", "row", "col", "core", "_j", _fine(value, factor, down).alias("_v")).where("core")
+    return fine.select(
+        "scene_id", "row", (F.col("col") * factor + F.col("_j")).alias("_c"), F.posexplode("_v").alias("_i", value)
+    ).select("scene_id", (F.col("row") * factor + F.col("_i")).alias("row"), F.col("_c").alias("col"), value)
 
 
 def upsample_nearest(source: DataFrame, value: str, factor: int) -> DataFrame:
