@@ -34,10 +34,11 @@ def _(t):
     return parts.select("scene_id", "row", "col", (F.col("component.row") * 1000 + F.col("component.col")).cast("bigint").alias("component"))
 
 
-OUTSIDE = f"""out as (select scene_id, "row", col from mask where m = 0 and ("row" in (0, {SCENE_ROWS - 1}) or col in (0, {GRID_COLS - 1})) union
-      select m.scene_id, m."row", m.col from out p join mask m on m.scene_id = p.scene_id and abs(m."row" - p."row") + abs(m.col - p.col) = 1 and m.m = 0),
+OUTSIDE = f"""side4(dr, dc) as (values (0, 1), (1, 0), (0, -1), (-1, 0)), out as (select scene_id, "row", col from mask where m = 0 and ("row" in (0, {SCENE_ROWS - 1}) or col in (0, {GRID_COLS - 1})) union
+      select m.scene_id, m."row", m.col from out p, side4 d join mask m on m.scene_id = p.scene_id and m."row" = p."row" + d.dr and m.col = p.col + d.dc and m.m = 0),
     edge as (select m.scene_id, m."row", m.col, (m.m = 1 and (m."row" in (0, {SCENE_ROWS - 1}) or m.col in (0, {GRID_COLS - 1}) or bool_or(o.col is not null)))::int edge
-      from mask m left join out o on o.scene_id = m.scene_id and abs(m."row" - o."row") + abs(m.col - o.col) = 1 group by m.scene_id, m."row", m.col, m.m)"""
+      from mask m left join (select scene_id, "row" + dr "row", col + dc col from out, side4) o on o.scene_id = m.scene_id and o."row" = m."row" and o.col = m.col
+      group by m.scene_id, m."row", m.col, m.m)"""
 
 
 @query("e9_outer_contour", f"""with recursive {SMOOTH}, {OUTSIDE}, {extreme_sql("x", "edge", "edge", "max", 1)} select scene_id, "row", col, edge from x""")

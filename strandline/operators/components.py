@@ -1,20 +1,23 @@
-"""Connected components by large-star / small-star (Kiveris et al. 2014).
+"""Connected components of graphs and of pixel masks.
 
-Each round is two aggregations over the edges; a star around a very large component is
-min-aggregated map-side, never collected, and the number of rounds grows with the
-logarithm of the longest chain. Each round is written to the shared folder, so a lost
-executor costs one round.
+Graphs: large-star / small-star (Kiveris et al. 2014). Each round is two aggregations
+over the edges; a star around a very large component is min-aggregated map-side, never
+collected, and the number of rounds grows with the logarithm of the longest chain. Each
+round is written to the shared folder, so a lost executor costs one round.
 
-Pixel components first collapse to runs along the columns of a raster line, which
-divides the number of nodes by the run length.
+Masks: pixels are labelled inside their block first, by arrays of bounded size. Only the
+labels that touch across block borders become a graph, which has a small part of the
+pixels as nodes and is as wide as a region is in blocks, not in pixels.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.operators.blocks import BLOCK, along_row, with_halo
+from strandline.operators.blocks import BLOCK
 from strandline.session import settled
 
 MAX_ROUNDS = 100
@@ -60,51 +63,59 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     return nodes.select("node").distinct().join(result, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
-def pixel_runs(mask: DataFrame, value: str, block: int = 256) -> DataFrame:
-    """Pixels with value 1 and the first column of their run inside their block line: (..., run)."""
-    w = Window.partitionBy(*BLOCK, "row").orderBy("col")
-    blocked = mask.where(F.col(value) == 1).select(
-        "scene_id", F.expr(f"row div {block}").cast("int").alias("block_row"), F.expr(f"col div {block}").cast("int").alias("block_col"), "row", "col"
-    ).repartition(*BLOCK)
-    # Consecutive columns share col - row_number.
-    grouped = blocked.withColumn("_g", F.col("col") - F.row_number().over(w))
-    return grouped.withColumn("run", F.min("col").over(Window.partitionBy(*BLOCK, "row", "_g"))).drop("_g")
+def _label_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Least (row, col) of the region of each pixel inside one block: hook neighbours, halve paths, until all agree."""
+    pdf = pdf.sort_values(["row", "col"], ignore_index=True)
+    row, col = pdf["row"].to_numpy(), pdf["col"].to_numpy()
+    eight = bool(pdf["eight"].iloc[0])
+    place = np.full((row.max() - row.min() + 2, col.max() - col.min() + 3), -1, dtype=np.int64)
+    r, c = row - row.min(), col - col.min() + 1
+    own = np.arange(len(pdf))
+    place[r, c] = own
+    pairs = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
+    u = np.concatenate([own] * len(pairs))
+    v = np.concatenate([place[r + dr, c + dc] for dr, dc in pairs])
+    u, v = u[v >= 0], v[v >= 0]
+    label = own.copy()
+    while True:
+        a, b = label[u], label[v]
+        if np.array_equal(a, b):
+            break
+        low = np.minimum(a, b)
+        np.minimum.at(label, a, low)
+        np.minimum.at(label, b, low)
+        while not np.array_equal(label, label[label]):
+            label = label[label]
+    pdf["lr"], pdf["lc"] = row[label], col[label]
+    return pdf[["scene_id", "row", "col", "lr", "lc"]]
 
 
 def label_pixels(mask: DataFrame, value: str = "m", eight: bool = True, block: int = 256) -> DataFrame:
     """(scene_id, row, col, component) of the pixels with value 1; component is the least (row, col) of its region.
 
-    eight counts diagonal neighbours. Runs meet across block borders through a halo of
-    one pixel, so a component may span any number of blocks.
+    eight counts diagonal neighbours. A region may span any number of blocks.
     """
-    runs = settled(pixel_runs(mask, value, block).select("scene_id", "row", "col", "run"), "runs")
-    halo = with_halo(runs, ["run"], 1, block)
-    here = F.col("run").isNotNull()
-    # The line above, and the pixel to the left (runs end at block borders).
-    up = Window.partitionBy(*BLOCK, "col").orderBy("row")
-    left = Window.partitionBy(*BLOCK, "row").orderBy("col")
-
-    def previous(window, pos):
-        return F.when(F.lag(pos).over(window) == F.col(pos) - 1, F.lag("run").over(window))
-
-    near = halo.withColumn("_left", previous(left, "col")).withColumn("_up", previous(up, "row"))
-    if eight:
-        # up-left and up-right lie in the line above: seen from a frame on (row, col) keys
-        diag_down = Window.partitionBy(*BLOCK, F.col("row") - F.col("col")).orderBy("row")
-        diag_up = Window.partitionBy(*BLOCK, F.col("row") + F.col("col")).orderBy("row")
-        near = near.withColumn("_upleft", previous(diag_down, "row")).withColumn("_upright", previous(diag_up, "row"))
-    else:
-        near = near.withColumn("_upleft", F.lit(None).cast("int")).withColumn("_upright", F.lit(None).cast("int"))
-    sides = F.array(
-        F.struct(F.col("row").alias("r"), F.col("_left").alias("c")), F.struct((F.col("row") - 1).alias("r"), F.col("_up").alias("c")),
-        F.struct((F.col("row") - 1).alias("r"), F.col("_upleft").alias("c")), F.struct((F.col("row") - 1).alias("r"), F.col("_upright").alias("c")),
+    kind = mask.schema["scene_id"].dataType.simpleString()
+    ones = mask.where(F.col(value) == 1).select(
+        "scene_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.lit(eight).alias("eight"),
+        F.expr(f"row div {block}").alias("block_row"), F.expr(f"col div {block}").alias("block_col"),
+    )
+    local = settled(
+        ones.groupBy(*BLOCK).applyInPandas(_label_block, f"scene_id {kind}, row int, col int, lr int, lc int"), "labels"
+    )
+    root = F.struct("scene_id", F.col("lr").alias("row"), F.col("lc").alias("col"))
+    # Pixels along block borders, and the neighbours they may have in the next block.
+    on_border = (F.col("row") % block).isin(0, block - 1) | (F.col("col") % block).isin(0, block - 1)
+    border = local.where(on_border).select("scene_id", "row", "col", root.alias("node"))
+    steps = [(0, 1), (1, 0)] + ([(1, 1), (1, -1)] if eight else [])
+    beside = F.inline(F.array(*[F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col")) for dr, dc in steps]))
+    near = border.select("scene_id", F.col("node").alias("u"), "row", "col").select("scene_id", "u", beside)
+    edges = near.join(border.withColumnRenamed("node", "v"), ["scene_id", "row", "col"]).where("u <> v").select("u", "v")
+    merged = components(edges).select(
+        F.col("node.scene_id").alias("scene_id"), F.col("node.row").alias("lr"), F.col("node.col").alias("lc"),
+        F.struct(F.col("component.row").alias("row"), F.col("component.col").alias("col")).alias("merged"),
     )
-    edges = near.where(F.col("core") & here).select("scene_id", "row", "run", F.explode(sides).alias("n")).where("n.c is not null").select(
-        F.struct("scene_id", "row", F.col("run").alias("col")).alias("u"), F.struct("scene_id", F.col("n.r").alias("row"), F.col("n.c").alias("col")).alias("v")
-    ).where("u <> v").distinct()
-    nodes = runs.select(F.struct("scene_id", "row", F.col("run").alias("col")).alias("node")).distinct()
-    found = settled(components(edges, nodes), "components").select(
-        F.col("node.scene_id").alias("scene_id"), F.col("node.row").alias("row"), F.col("node.col").alias("run"),
-        F.struct(F.col("component.row").alias("row"), F.col("component.col").alias("col")).alias("component"),
+    own = F.struct(F.col("lr").alias("row"), F.col("lc").alias("col"))
+    return local.join(merged, ["scene_id", "lr", "lc"], "left").select(
+        "scene_id", "row", "col", F.coalesce("merged", own).alias("component")
     )
-    return runs.join(found, ["scene_id", "row", "run"]).select("scene_id", "row", "col", "component")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from strandline.functions.projection import pixel_xy
 from strandline.operators.blocks import along_col, along_row, core, with_halo
-from strandline.operators.chains import order_chains
+from strandline.operators.chains import order_pieces
 from strandline.operators.components import label_pixels
 from strandline.operators.stencil import thicken
 
@@ -85,19 +85,14 @@ def to_world(segs: DataFrame, origin_x: Column | float, origin_y: Column | float
     return segs.withColumns(ends)
 
 
-def polylines(segs: DataFrame) -> DataFrame:
+def polylines(segs: DataFrame, block: int = 256) -> DataFrame:
     """Vertices (scene_id, part, seq, y, x, closed) of the lines that the pieces make up, in order.
 
     part names a line by the square of its first piece. A closed line repeats its first vertex at the end.
     """
-    pieces = segs.withColumn("id", F.struct("scene_id", "row", "col", "n"))
-    links = pieces.select(
-        "id", F.struct("scene_id", F.col("y0").alias("y"), F.col("x0").alias("x")).alias("start"),
-        F.struct("scene_id", F.col("y1").alias("y"), F.col("x1").alias("x")).alias("end"),
-    )
-    placed = pieces.select("id", "y0", "x0", "y1", "x1").join(order_chains(links), "id")
-    followed = placed.select(F.col("chain"), (F.col("seq") - 1).alias("seq")).withColumn("more", F.lit(True))
-    # The last link of a line also gives its end vertex.
+    placed = order_pieces(segs, block)
+    followed = placed.select("chain", (F.col("seq") - 1).alias("seq"))
+    # The last piece of a line also gives its end vertex.
     tail = placed.join(followed, ["chain", "seq"], "left_anti")
     vertices = placed.select("chain", "seq", F.col("y0").alias("y"), F.col("x0").alias("x"), "closed").unionByName(
         tail.select("chain", (F.col("seq") + 1).alias("seq"), F.col("y1").alias("y"), F.col("x1").alias("x"), "closed")

@@ -26,6 +26,6 @@ def coast_lines(
 ) -> DataFrame:
     """Vertices of the coastline (feature_id, scene_id, part, seq, x, y, closed, epsg): one feature of many lines."""
     segs = settled(contour.level_segments(mask, value, block), "pieces")
-    v = contour.polylines(segs)
+    v = contour.polylines(segs, block)
     x, y = pixel_xy(F.col("y") / 2, F.col("x") / 2, origin_x, origin_y, size)
     return v.select(F.lit(1).alias("feature_id"), "scene_id", "part", "seq", x.alias("x"), y.alias("y"), "closed", F.lit(epsg).alias("epsg"))
