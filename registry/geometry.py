@@ -27,9 +27,9 @@ def coast(t, predicted):
     return sl.segments(t.coast_vertices(predicted), ["feature_id"])
 
 
-@query("a8_line_segments", f"""with {SEGS} select seq seg, round(x0, 9) x0, round(y0, 9) y0, round(x1, 9) x1, round(y1, 9) y1 from ts""")
+@query("a8_line_segments", f"""with {SEGS} select seq seg, round(x0, 6) x0, round(y0, 6) y0, round(x1, 6) x1, round(y1, 6) y1 from ts""")
 def _(t):
-    return coast(t, False).select("seg", *[F.round(c, 9).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    return coast(t, False).select("seg", *[F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")])
 
 
 @query("c7_line_crossings", f"""with {SEGS}, {hits_sql("h", "ts")} select transect_id, x, y from h""")

@@ -29,13 +29,13 @@ def _(t):
     return toa.select("scene_id", "row", "col", *[F.round(f"b{k}", 9).alias(f"r{k}") for k in range(1, 5)])
 
 
-@query("b2_water_index", """select scene_id, "row", col, round((b2 - b4) / nullif((b2 + b4)::double, 0), 9) ndwi,
-    round(coalesce((b2 - b4) / nullif((b2 + b4)::double, 0), 0), 9) ndwi0 from bands4""")
+@query("b2_water_index", """select scene_id, "row", col, (b2 - b4) / nullif((b2 + b4)::double, 0) ndwi,
+    coalesce((b2 - b4) / nullif((b2 + b4)::double, 0), 0) ndwi0 from bands4""")
 def _(t):
     return t.bands4().select(
         "scene_id", "row", "col",
-        F.round(sp.water_index("b2", "b4"), 9).alias("ndwi"),
-        F.round(sp.water_index("b2", "b4", empty=0.0), 9).alias("ndwi0"),
+        sp.water_index("b2", "b4").alias("ndwi"),
+        sp.water_index("b2", "b4", empty=0.0).alias("ndwi0"),
     )
 
 
