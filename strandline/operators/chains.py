@@ -28,7 +28,6 @@ def _walk_back(base: DataFrame) -> DataFrame:
         "id", F.col("prev").alias("ptr"), F.coalesce("before", F.lit(0)).cast("bigint").alias("dist"),
         F.coalesce("prev", "id").alias("head"), F.coalesce(F.least("id", "prev"), "id").alias("least"),
     )
-    state = settled(state, "walk")
     for _ in range(MAX_ROUNDS):
         behind = state.select(
             F.col("id").alias("ptr"), F.col("ptr").alias("_p"), F.col("dist").alias("_d"), F.col("head").alias("_h"), F.col("least").alias("_l")
@@ -125,7 +124,7 @@ def order_pieces(pieces: DataFrame, block: int = 256) -> DataFrame:
     links = strung.where(~F.col("closed")).groupBy(F.col("frag").alias("id")).agg(
         F.max(first).alias("start"), F.max(final).alias("end"), F.count("*").alias("length")
     )
-    placed = order_chains(settled(links, "links")).select(F.col("id").alias("frag"), "chain", F.col("seq").alias("_before"), F.col("closed").alias("_loop"))
+    placed = order_chains(links).select(F.col("id").alias("frag"), "chain", F.col("seq").alias("_before"), F.col("closed").alias("_loop"))
     return strung.join(placed, "frag", "left").select(
         "scene_id", *names, F.coalesce("chain", "frag").alias("chain"), (F.coalesce("_before", F.lit(0)) + F.col("place")).alias("seq"),
         (F.col("closed") | F.coalesce("_loop", F.lit(False))).alias("closed"),

@@ -38,10 +38,9 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 def _settled_stars(edges: DataFrame) -> bool:
     """Whether every node hangs on exactly one root."""
-    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi")
-    if not chained.isEmpty():
-        return False
-    return edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").isEmpty()
+    chained = edges.join(edges.select(F.col("u").alias("v")).distinct(), "v", "left_semi").select("u")
+    torn = edges.groupBy("u").agg(F.count("*").alias("n")).where("n > 1").select("u")
+    return chained.union(torn).isEmpty()
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:

@@ -35,7 +35,7 @@ def window_classes(coded: DataFrame, step: int, height: int, width: int, water_c
         threshold.histogram(windows.with_cell(coded, cell), "code", ("scene_id", "cy", "cx")), "cells"
     )
     scene = counted.groupBy("scene_id", "bin").agg(F.sum("n").alias("n"))
-    cuts = settled(threshold.exact_means(scene, 3), "cuts")
+    cuts = threshold.exact_means(scene, 3)
     shares = threshold.class_shares(scene, cuts, 3)
     doubt = shares.groupBy("scene_id").agg(F.max("doubt").alias("doubt"))
     corner = (
