@@ -101,3 +101,26 @@ def _(t):
     select scene_id, "row", col, v from grid join img using (scene_id) where "row" between r0 and r1 and col between c0 and c1""")
 def _(t):
     return lb.crop_to(t.grid(), t.bands4().where("b1 > 6000"))
+
+
+@query("label_production_flow", """with coarse as (select scene_id, "row" // 2 r2, col // 2 c2, max(b1 % 3) label from bands4 group by 1, 2, 3),
+    img as (select b.scene_id, b."row", b.col, case when b1 < 3200 then 0 else b1 end b1, b2, b3, b4,
+      case when b1 < 3200 then 0 else label end b5 from bands4 b join coarse c on c.scene_id = b.scene_id and r2 = "row" // 2 and c2 = col // 2),
+    tl as (select i.*, wy, wx, ((wx // 8) * 32 + wy // 8 + 1)::int tile from img i, (select w * 8 wy from range(32) r(w)) a, (select w * 8 wx from range(2) r(w)) b
+      where "row" between wy and wy + 15 and col between wx and wx + 15),
+    kept as (select scene_id, tile from tl group by 1, 2 having not bool_or(b1 = 0 or b2 = 0 or b3 = 0 or b4 = 0)),
+    f as (select *, "row" - wy tr, col - wx tc, least(16, 250 - wy) h, least(16, 16 - wx) w from tl join kept using (scene_id, tile)),
+    g as (select *, case when flip then h - 1 - tr else tr end r from f, (values ('', false, 0), ('_rot90', false, 1), ('_rot180', false, 2), ('_rot270', false, 3), ('_flip', true, 0), ('_rot90_flip', true, 1),
+       ('_rot180_flip', true, 2), ('_rot270_flip', true, 3)) k(sfx, flip, q))
+    select scene_id, tile, sfx copy, count(*) n, sum(b5)::bigint label_sum, sum(b5 * (case q when 0 then r when 1 then w - 1 - tc when 2 then h - 1 - r else tc end)
+      + b4 * (case q when 0 then tc when 1 then r when 2 then w - 1 - tc else h - 1 - r end))::bigint moment from g group by 1, 2, 3""")
+def _(t):
+    from strandline.plans import training as tr
+
+    bands = t.bands4().withColumn("b1", F.when(F.col("b1") < 3200, 0).otherwise(F.col("b1")))
+    coarse = t.bands4().groupBy("scene_id", F.expr("cast(row div 2 as int)").alias("row"), F.expr("cast(col div 2 as int)").alias("col")).agg(
+        F.max(F.col("b1") % 3).alias("label"))
+    images = tr.labelled_images(bands, coarse, 2, ["b1", "b2", "b3"], "b4", smooth=False)
+    out = tr.labelled_tiles(images, F.lit(SCENE_ROWS), F.lit(16), side=16)
+    return out.groupBy("scene_id", "tile", "copy").agg(
+        F.count("*").alias("n"), F.sum("b5").alias("label_sum"), F.sum(F.col("b5") * F.col("tile_row") + F.col("b4") * F.col("tile_col")).cast("bigint").alias("moment"))

@@ -13,6 +13,20 @@ def _(t):
     return px.named_bands(t.bands4(), {"green": "b2", "nir": "b4"})
 
 
+@query("a3_last_band", """select scene_id, "row", col, b4 nir from bands4""")
+def _(t):
+    stack = t.bands4().select("scene_id", "row", "col", F.array("b1", "b2", "b3", "b4").alias("bands"))
+    return stack.select("scene_id", "row", "col", px.last_band("bands").alias("nir"))
+
+
+@query("c1_coefficient_lookup", """select scene_id, "row", col, band, b b_value, coeff from (
+    select scene_id, "row", col, 1 band, b1 b from bands4 union all select scene_id, "row", col, 2, b2 from bands4 union all
+    select scene_id, "row", col, 3, b3 from bands4 union all select scene_id, "row", col, 4, b4 from bands4) join coeffs using (scene_id, band)""")
+def _(t):
+    long = t.bands4().select("scene_id", "row", "col", F.posexplode(F.array("b1", "b2", "b3", "b4")).alias("i", "b_value"))
+    return px.coefficient_lookup(long.withColumn("band", F.col("i") + 1).drop("i"), t.coeffs()).select("scene_id", "row", "col", "band", "b_value", "coeff")
+
+
 @query("a4_window_scan", """select scene_id, "row", col, v from grid
     where "row" >= 100 and "row" < 150 and col >= 16 and col < 48""")
 def _(t):

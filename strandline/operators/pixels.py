@@ -45,6 +45,12 @@ def toa_reflectance(pixels: DataFrame, coeffs: DataFrame, bands: dict[int, str])
     )
 
 
+def coefficient_lookup(bands: DataFrame, coeffs: DataFrame) -> DataFrame:
+    """Long form: rows (scene_id, row, col, band, value) with the coefficient of their scene and band."""
+    known = settled(coeffs.select("scene_id", "band", "coeff"), "coeffs")
+    return bands.join(known, ["scene_id", "band"])
+
+
 def add_blank_bands(pixels: DataFrame, bands: list[str], n: int) -> DataFrame:
     """n zero planes after the last band, typed like the first band."""
     kind = pixels.schema[bands[0]].dataType

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.session import settled
+
 # Distance under which a point lies on a transect; digits that make points equal.
 EPSILON = 2.0**-16
 POINT_DIGITS = 9
@@ -183,7 +185,8 @@ def in_polygons(points: DataFrame, key: str, rings: DataFrame, poly_key: str = "
     keys = [poly_key] + (["ring"] if "ring" in rings.columns else [])
     e = ring_edges(rings, keys)
     first, last = _cell(F.least("y0", "y1"), strip), _cell(F.greatest("y0", "y1"), strip)
-    edges = e.withColumn("_cy", F.explode(F.sequence(first, last))).select(poly_key, "_cy", "x0", "y0", "x1", "y1")
+    # Written once: its size after the strips are listed decides whether it is broadcast.
+    edges = settled(e.withColumn("_cy", F.explode(F.sequence(first, last))).select(poly_key, "_cy", "x0", "y0", "x1", "y1"), "edges")
     p = points.select(key, "x", "y").withColumn("_cy", _cell(F.col("y"), strip))
     y = F.col("y")
     spans = (F.col("y0") > y) != (F.col("y1") > y)

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Side of a storage block in pixels, columns of the daily files.
+# Side of a storage block in pixels, blocks a file, columns of the daily files.
 BLOCK = 256
+FILE_BLOCKS = 64
 DAILY_SCHEMA = (
     "_c0 bigint, date string, transect int, ID string, tsk double, u10 double, v10 double, seaice double, "
     "psfc double, t2 double, `Wind Speed` double, `Wind Direction` double"
@@ -19,14 +20,14 @@ GRID_SCHEMA = "hour int, yi int, xi int, yc double, xc double, value double, var
 def write_pixels(pixels: DataFrame, folder: str, mode: str = "overwrite") -> None:
     """Parquet by scene and block row, so that a window or a scene reads only its folders.
 
-    Rows of a block are brought together before writing: one file a block row instead of
-    one a task and folder.
+    The blocks of a row are brought together before writing, up to FILE_BLOCKS in one
+    file, so that a scene of usual width gets one file a folder and no task more than that.
     """
     blocked = pixels.withColumn("block_row", F.expr(f"row div {BLOCK}").cast("int")).withColumn(
         "block_col", F.expr(f"col div {BLOCK}").cast("int")
     )
     (
-        blocked.repartition("scene_id", "block_row", "block_col")
+        blocked.repartition("scene_id", "block_row", F.expr(f"block_col div {FILE_BLOCKS}"))
         .sortWithinPartitions("scene_id", "block_row", "block_col", "row", "col")
         .write.mode(mode).partitionBy("scene_id", "block_row").parquet(folder)
     )

@@ -54,6 +54,14 @@ def test_window_scan_prunes_folders(spark, tables):
     assert "PartitionFilters: [isnotnull(block_row" in plan and "GreaterThanOrEqual(row,0)" in plan
 
 
+def test_crop_reaches_the_scan(spark, tables):
+    folder = new_folder(spark, "test")
+    tb.write_grid(tables.climate(), folder)
+    grid = tb.read_grid(spark, folder).where("var = 'tsk' and year = 2005")
+    plan = cl.crop(grid, -476545.0, -2517900.0)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(yi" in plan and "LessThanOrEqual(xi" in plan and "PartitionFilters: [isnotnull(var" in plan
+
+
 def test_winter_bounds(spark):
     days = [(f"2023{d:%m%d}_000000_x",) for d in (dt.date(2023, 5, 16), dt.date(2023, 5, 17), dt.date(2023, 10, 16), dt.date(2023, 10, 17))] + [("broken",)]
     assert [r.scene_id[:8] for r in sc.outside_winter(spark.createDataFrame(days, "scene_id string")).collect()] == ["20230517", "20231016"]
