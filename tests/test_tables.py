@@ -140,6 +140,17 @@ def test_grid_without_files_is_empty(spark):
     assert tb.read_grid(spark, shared_dir(spark) + "/absent").count() == 0
 
 
+class NoFolder:
+    """A session without spark.checkpoint.dir."""
+
+    def __init__(self, master):
+        self.sparkContext = type("Context", (), {"master": master, "applicationId": master})
+        self.conf = type("Conf", (), {"get": staticmethod(lambda key, default=None: default)})
+
+
 def test_work_folder_comes_from_the_session(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
-    assert shared_dir(spark) == named
+    assert named is None or shared_dir(spark) == named.rstrip("/")
+    assert shared_dir(NoFolder("local[2]")) == shared_dir(NoFolder("local[2]"))
+    with pytest.raises(RuntimeError):
+        shared_dir(NoFolder("yarn"))
