@@ -6,13 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import exact_dedup, mixing, packing
+from strandline.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
+    return verdicts.withColumnRenamed("_id", "doc_id")
+
+
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dart_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
+    return found.select(F.col("_id").alias("doc_id"), "class_id", "class_size", "kept")
+
+
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(_table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_size") * F.col("_times")).alias("taken"))
@@ -28,9 +38,12 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality_rules": op3_quality_rules,
+    "op6_dart_minhash": op6_dart_minhash,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLE = {
