@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import dart_minhash, exact_dedup, mixing, packing, quality_rules
+from strandline.llm import dart_minhash, exact_dedup, html_text, mixing, packing, quality_rules, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("_id", "doc_id")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
+
+
 def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = dart_minhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select(F.col("_id").alias("doc_id"), "class_id", "class_size", "kept")
@@ -37,12 +41,19 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"), largest=True)
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = html_text.main_text(_table(spark, sf_dir, "pages"))
+    return found.withColumnsRenamed({"_id": "page_id", "_url": "url"})
+
+
 QUERIES = {
     "op3_quality_rules": op3_quality_rules,
+    "op5_warc": op5_warc,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_mixing": op7_mixing,
     "op8_packing": op8_packing,
     "op9_exact_dedup": op9_exact_dedup,
+    "op10_html_text": op10_html_text,
     "pipeline": corpus_pipeline.run,
 }
 
