@@ -6,13 +6,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import dart_minhash, exact_dedup, html_text, mixing, packing, quality_rules, warc
+from strandline.llm import dart_minhash, exact_dedup, html_text, license_scan, mixing, packing, quality_model, quality_rules, warc
+from strandline.llm.common import training_row
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality_model.train(docs, _table(spark, sf_dir, "labels"), "crc32(cast(cast(_id as string) as binary)) % 5 <> 0")
+    found = quality_model.scores(docs, model)
+    return found.select(F.col("_id").alias("doc_id"), (training_row(F.col("_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan_documents(_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     verdicts = quality_rules.quality_verdicts(_table(spark, sf_dir, "documents"))
     return verdicts.withColumnRenamed("_id", "doc_id")
@@ -47,6 +59,8 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
     "op5_warc": op5_warc,
     "op6_dart_minhash": op6_dart_minhash,
