@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import dart_minhash, exact_dedup, html_text, license_scan, mixing, packing, quality_model, quality_rules, warc
+from strandline.llm import dart_minhash, exact_dedup, html_text, katz, license_scan, mixing, packing, quality_model, quality_rules, warc
 from strandline.llm.common import training_row
 
 
@@ -30,6 +30,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.withColumnRenamed("_id", "doc_id")
 
 
+def op4_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = katz.katz_scores(_table(spark, sf_dir, "documents"), training_row(F.col("doc_id"), 7) != 2)
+    return found.select(F.col("_id").alias("doc_id"), (~F.col("_train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(_table(spark, sf_dir, "pages")).drop("url", "payload")
 
@@ -62,6 +67,7 @@ QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
     "op3_quality_rules": op3_quality_rules,
+    "op4_katz": op4_katz,
     "op5_warc": op5_warc,
     "op6_dart_minhash": op6_dart_minhash,
     "op7_mixing": op7_mixing,
