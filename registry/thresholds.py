@@ -26,7 +26,7 @@ def otsu_sql(source: str, keys: str) -> str:
         (select *, case when n1 < nt then power(nt * s1 - n1 * st, 2) / (n1 * (nt - n1)) end g from {running_sql(source, keys)})) group by {keys}"""
 
 
-CODED = 'coded as (select scene_id, "row", col, least(floor((v + 1) * 128), 255)::int code from grid)'
+CODED = 'coded as (select scene_id, "row", col, case when v is not null and not isnan(v) then least(floor((v + 1) * 128), 255)::int end code from grid)'
 HIST = "hist as (select scene_id, code bin, count(*) n from coded group by 1, 2)"
 
 

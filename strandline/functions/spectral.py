@@ -21,8 +21,10 @@ def water_index(green: Column | str, nir: Column | str, empty: float | None = No
 
 
 def encode_floor(x: Column | str) -> Column:
-    """Index to 0..255, one step is 1/128, the top value clamps."""
-    return F.least(F.floor((col(x) + 1) * 128), F.lit(255)).cast("int")
+    """Index to 0..255, one step is 1/128, the top value clamps. NULL and NaN give NULL."""
+    x = col(x)
+    valid = x.isNotNull() & ~F.isnan(x.cast("double"))
+    return F.when(valid, F.least(F.floor((x + 1) * 128), F.lit(255)).cast("int"))
 
 
 def encode_trunc(x: Column | str) -> Column:
@@ -59,10 +61,10 @@ def narrow(x: Column | str, dtype: str) -> Column:
 
 
 def midpoint_scale(x: Column | str, low: float, middle: float, high: float) -> Column:
-    """Two linear pieces: low -> 0, middle -> 0.5, high -> 1, flat outside; NaN becomes NULL."""
+    """Two linear pieces: low -> 0, middle -> 0.5, high -> 1, flat outside; NULL and NaN become NULL."""
     x = col(x).cast("double")
     piece = F.when(x <= middle, (x - low) / (middle - low) * 0.5).otherwise(0.5 + (x - middle) / (high - middle) * 0.5)
-    return F.when(~F.isnan(x), F.least(F.greatest(piece, F.lit(0.0)), F.lit(1.0)))
+    return F.when(x.isNotNull() & ~F.isnan(x), F.least(F.greatest(piece, F.lit(0.0)), F.lit(1.0)))
 
 
 def masked_label(label: Column | str, band: Column | str) -> Column:

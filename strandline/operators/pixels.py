@@ -77,9 +77,9 @@ def raster_stats(pixels: DataFrame, value: str, keys: tuple[str, ...] = ("scene_
 
 
 def equal_bins(pixels: DataFrame, value: str, bins: int) -> DataFrame:
-    """Histogram of `bins` equal steps between the least and greatest value of each scene; the last bin is closed."""
+    """Histogram of `bins` equal steps between the least and greatest value of each scene; the last bin is closed. A constant scene is all in bin 0."""
     span = settled(raster_stats(pixels, value).select("scene_id", "lo", "hi"), "span")
-    step = (F.col(value) - F.col("lo")) / (F.col("hi") - F.col("lo")) * bins
+    step = F.coalesce(F.try_divide(F.col(value) - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * bins
     return (
         pixels.where(F.col(value).isNotNull())
         .join(span, "scene_id")

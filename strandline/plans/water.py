@@ -46,7 +46,16 @@ def window_classes(coded: DataFrame, step: int, height: int, width: int, water_c
         .groupBy("scene_id")
         .agg(F.max_by("class", F.struct(F.col("n"), -F.col("class"))).alias("water"))
     )
-    facts = settled(cuts.join(doubt, "scene_id").join(corner, "scene_id"), "facts")
+    # Where the top left window is all void, the most frequent class of the scene stands in.
+    usual = (
+        scene.join(cuts, "scene_id")
+        .groupBy("scene_id", threshold.class_of("bin", "cuts").alias("class"))
+        .agg(F.sum("n").alias("n"))
+        .groupBy("scene_id")
+        .agg(F.max_by("class", F.struct(F.col("n"), -F.col("class"))).alias("usual"))
+    )
+    known = doubt.join(usual, "scene_id").join(corner, "scene_id", "left").withColumn("water", F.coalesce("water", "usual")).drop("usual")
+    facts = settled(cuts.join(known, "scene_id"), "facts")
     if water_class is not None:
         facts = facts.withColumn("water", water_class.cast("int"))
     by_window = (
