@@ -18,6 +18,9 @@ from strandline.session import settled
 
 WINDOW = 4096
 END = 2
+#: Words whose ids a Python worker remembers over its tasks; beyond that it starts anew.
+REMEMBERED = 1_000_000
+STATE: dict = {}
 
 
 def token_runs(tokenizer: str, end: int):
@@ -27,21 +30,30 @@ def token_runs(tokenizer: str, end: int):
         import os
 
         import numpy as np
+        from struct import pack as pack_ids
+
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        model = Tokenizer.from_file(tokenizer)
-        known: dict[str, bytes] = {}
+        # The module's own table outlives the task where Spark reuses its Python workers.
+        from strandline.llm import packing
+
+        state = packing.STATE
+        if state.get("file") != tokenizer:
+            state.update(file=tokenizer, model=Tokenizer.from_file(tokenizer), known={})
+        model, known = state["model"], state["known"]
         part, at = TaskContext.get().partitionId(), 0
         tail = np.array([end], np.uint32).tobytes()
         for batch in batches:
             texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
             new = list({w for words in texts for w in words} - known.keys())
-            if len(known) + len(new) > 400_000:
-                known, new = {}, list({w for words in texts for w in words})
+            if len(known) + len(new) > packing.REMEMBERED:
+                known.clear()
+                new = list({w for words in texts for w in words})
             for i in range(0, len(new), 2048):
                 for w, e in zip(new[i : i + 2048], model.encode_batch_fast(new[i : i + 2048], add_special_tokens=False), strict=True):
-                    known[w] = np.array(e.ids, np.uint32).tobytes()
+                    ids = e.ids
+                    known[w] = pack_ids(f"<{len(ids)}I", *ids)
             ids = [b"".join([known[w] for w in words]) + tail for words in texts]
             starts = []
             for x in ids:
