@@ -78,6 +78,13 @@ QUERIES = {
 }
 
 ORACLE = {
+    "op5_warc": """
+        with p as (select page_id, strlen(coalesce(html, '')) as payload_bytes, sha1(coalesce(html, '')) as payload_digest from pages),
+        r as (select *, max(page_id) over (partition by payload_digest, payload_bytes) as last_id,
+                     row_number() over (partition by payload_digest, payload_bytes, page_id) as copy from p),
+        t as (select *, payload_bytes >= 1000 and not (page_id is not distinct from last_id and copy = 1) as again from r)
+        select page_id, payload_bytes, payload_digest, case when again then 'revisit' else 'response' end as record_type,
+               case when again then last_id end as refers_to from t""",
     "op9_exact_dedup": """
         select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size,
                row_number() over (partition by coalesce(text, '') order by doc_id desc nulls last) = 1 as kept,
