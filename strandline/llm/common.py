@@ -38,16 +38,18 @@ def map_arrow(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     return df.mapInArrow(fn, schema)
 
 
-def attach(df: DataFrame, keys: list[str], salt: Column, aggs: dict[str, tuple[Callable, Column]], salts: int = SALTS) -> DataFrame:
+def attach(df: DataFrame, keys: list[str], salt: Column, aggs: dict[str, tuple[Callable, Column]], salts: int = SALTS, having: str = "true") -> DataFrame:
     """df with an aggregate of its group (null keys form a group): name -> (aggregate that may be applied twice, column).
 
+    Rows of groups for which having (over the aggregates, prefixed _ag_) does not hold are left out.
+
     A group value is formed per (key, salt), then per key, and travels back the same way: no join
     meets more than one row per salt on the small side, and the rows of a hot key spread over all salts.
     """
     names = [f"_ky{i}" for i in range(len(keys))]
     salted = df.select("*", *[F.col(k).alias(n) for k, n in zip(keys, names, strict=True)], F.pmod(F.xxhash64(salt), F.lit(salts)).alias("_salt"))
     part = salted.groupBy(*names, "_salt").agg(*[fn(col).alias(f"_ag_{n}") for n, (fn, col) in aggs.items()])
-    whole = part.groupBy(*names).agg(*[fn(F.col(f"_ag_{n}")).alias(f"_ag_{n}") for n, (fn, _) in aggs.items()])
+    whole = part.groupBy(*names).agg(*[fn(F.col(f"_ag_{n}")).alias(f"_ag_{n}") for n, (fn, _) in aggs.items()]).where(having)
     back = _join(part.select(*names, "_salt"), whole, names)
     out = _join(salted, back, [*names, "_salt"])
     return out.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_ag_{n}").alias(n) for n in aggs])

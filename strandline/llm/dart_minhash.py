@@ -30,6 +30,10 @@ THRESHOLD = 0.8
 BANDS, ROWS = 36, 6
 #: Heads of a bucket that its members are compared with; members also meet other heads in other bands.
 HEADS = 3
+#: A head is the row that is least after an exclusive or with the mask of its order (fixed values, one a head).
+MASKS = [0, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA]
+#: Texts whose darts are thrown together.
+TOGETHER = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,54 +70,52 @@ def shingles(text: str, known: dict, k: int = SHINGLE) -> np.ndarray:
     return s
 
 
-def signature(units: np.ndarray, k: int) -> np.ndarray:
-    """Hash of the earliest dart of each of k coordinates."""
-    ids, rank = np.zeros(k, np.uint64), np.full(k, np.inf)
-    if not len(units):
-        return ids
-    limit = (k * np.log(k) + 2 * k) / len(units)
+def signatures(texts: list[np.ndarray], k: int) -> np.ndarray:
+    """Hashes of the earliest dart of each of k coordinates, one row a text; zeros for a text without units.
+
+    The darts of all texts are thrown together: round r throws the r-th dart of every unit whose
+    time is not over. Texts that still lack a coordinate are thrown anew up to twice their limit.
+    """
+    count = np.array([len(u) for u in texts])
+    ids, rank = np.zeros(len(texts) * k, np.uint64), np.full(len(texts) * k, np.inf)
+    limit = (k * np.log(k) + 2 * k) / np.maximum(count, 1)
+    todo = np.flatnonzero(count)
     with np.errstate(over="ignore"):
-        while True:
-            rank[:] = np.inf
-            at, cell, number = np.zeros(len(units)), units, np.uint64(1)
+        while len(todo):
+            cell, who = np.concatenate([texts[i] for i in todo]), np.repeat(todo, count[todo])
+            at, until, number, thrown = np.zeros(len(cell)), limit[who], np.uint64(1), []
             while len(cell):
                 dart = _mix(cell + number * MIX)
                 at = at - np.log(((dart >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
-                hit = at < limit
-                cell, at, dart = cell[hit], at[hit], dart[hit]
-                if len(cell):
-                    name = _mix(dart ^ MIX)
-                    place = (name % np.uint64(k)).astype(np.int64)
-                    order = np.argsort(-at, kind="stable")
-                    place, when, name = place[order], at[order], name[order]
-                    best = np.full(k, np.inf)
-                    best[place] = when  # the earliest is written last
-                    who = np.zeros(k, np.uint64)
-                    who[place] = name
-                    better = best < rank
-                    rank[better], ids[better] = best[better], who[better]
+                hit = np.flatnonzero(at < until)
+                cell, at, who, until = cell[hit], at[hit], who[hit], until[hit]
+                name = _mix(dart[hit] ^ MIX)
+                thrown.append((who * k + (name % np.uint64(k)).astype(np.int64), at, name))
                 number += np.uint64(1)
-            if np.isfinite(rank).all():
-                return ids
-            limit *= 2
+            place, when, name = (np.concatenate(c) for c in zip(*thrown, strict=True))
+            np.minimum.at(rank, place, when)
+            first = np.flatnonzero(when == rank[place])
+            # Of darts at the same time the one with the largest hash counts.
+            ids[todo[:, None] * k + np.arange(k)] = 0
+            np.maximum.at(ids, place[first], name[first])
+            todo = todo[~np.isfinite(rank.reshape(-1, k)[todo]).all(1)]
+            limit[todo] *= 2
+    return ids.reshape(-1, k)
 
 
 def _signatures(batches):
     known: dict = {}
-    k = BANDS * ROWS
     for batch in batches:
-        out = []
-        for t in batch.column("text").to_pylist():
-            units = shingles(t or "", known)
-            if not len(units):
-                out.append([])
-                continue
-            sig = signature(units, k).reshape(BANDS, ROWS)
+        out: list = []
+        texts = [shingles(t or "", known) for t in batch.column("text").to_pylist()]
+        for i in range(0, len(texts), TOGETHER):
+            part = texts[i : i + TOGETHER]
+            sig = signatures(part, BANDS * ROWS).reshape(len(part), BANDS, ROWS)
             with np.errstate(over="ignore"):
-                h = np.arange(BANDS, dtype=np.uint64)
+                h = np.tile(np.arange(BANDS, dtype=np.uint64), (len(part), 1))
                 for j in range(ROWS):
-                    h = _mix(h * MIX + sig[:, j])
-            out.append(h.view(np.int64))
+                    h = _mix(h * MIX + sig[:, :, j])
+            out += [x if len(u) else [] for x, u in zip(h.view(np.int64), part, strict=True)]
         yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int64()))], [ROW, "_bands"])
 
 
@@ -145,11 +147,11 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW)), whole.rdd.getNumPartitions()).select(ROW, "_id", "keep_row", "kept"), "copies")
     singles = copies.where("kept").select(ROW)
     bands = settled(map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>").join(singles, ROW, "left_semi"), "bands")
-    # Members and heads of every bucket with more than one text; each head is the least in an order of its own.
+    # Members and heads of every bucket with more than one text; each head is the least in an order of its own (numbers, so that they are hash aggregated).
     flat = bands.select(ROW, F.explode("_bands").alias("_bucket"))
-    heads = {"_n": (F.sum, F.lit(1))} | {f"_h{i}": (F.min, F.struct(F.xxhash64(F.lit(i), ROW).alias("o"), F.col(ROW).alias("r"))) for i in range(HEADS)}
-    full = attach(flat, ["_bucket"], F.col(ROW), heads).where("_n > 1")
-    pairs = full.select(F.col(ROW).alias("_a"), F.explode(F.array(*[F.col(f"_h{i}.r") for i in range(HEADS)])).alias("_b")).where("_a <> _b")
+    heads = {"_n": (F.sum, F.lit(1))} | {f"_h{i}": (F.min, F.col(ROW).bitwiseXOR(F.lit(MASKS[i]))) for i in range(HEADS)}
+    full = attach(flat, ["_bucket"], F.col(ROW), heads, having="_ag__n > 1")
+    pairs = full.select(F.col(ROW).alias("_a"), F.explode(F.array(*[F.col(f"_h{i}").bitwiseXOR(F.lit(MASKS[i])) for i in range(HEADS)])).alias("_b")).where("_a <> _b")
     pairs = settled(pairs.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "pairs")
     needed = pairs.select(F.col("_a").alias(ROW)).union(pairs.select(F.col("_b").alias(ROW))).distinct()
     texts = settled(whole.select(ROW, "text").join(needed, ROW, "left_semi"), "near-texts")

@@ -47,13 +47,29 @@ def test_near_duplicates(spark):
     assert got == {0: 0, 1: 0, 2: 0, 3: 0, **{i: i for i in range(4, 9)}, 90: 90, 91: 90, 92: 92, 93: 92}
 
 
-def test_signature_agrees_with_jaccard():
-    a = dart_minhash.shingles(" ".join(map(str, range(400))), {})
-    b = dart_minhash.shingles(" ".join(map(str, range(100, 500))), {})
-    k = 2000
-    same = (dart_minhash.signature(a, k) == dart_minhash.signature(b, k)).mean()
-    exact = len(set(a) & set(b)) / len(set(a) | set(b))
-    assert abs(same - exact) < 0.05
+def earliest_darts(units, k):
+    """Signature of one text, dart by dart."""
+    top, out = 2**64, {}
+    mix = lambda x: int(dart_minhash._mix(dart_minhash.np.array([x % top], "uint64"))[0])
+    for u in map(int, units):
+        at = 0.0
+        for number in range(1, 60):
+            dart = mix(u + number * int(dart_minhash.MIX))
+            at -= math.log(((dart >> 11) + 0.5) * 2.0**-53)
+            name = mix(dart ^ int(dart_minhash.MIX))
+            out[name % k] = min(out.get(name % k, (math.inf, 0)), (at, name))
+    return [out[i][1] for i in range(k)]
+
+
+def test_signature_agrees_with_brute_force_and_jaccard():
+    parts = [dart_minhash.shingles(" ".join(map(str, range(*x))), {}) for x in ((0, 400), (100, 500), (0, 0), (0, 3), (7, 60))]
+    got = dart_minhash.signatures(parts, 16)
+    assert not got[2].any()
+    for i in (0, 3, 4):
+        assert got[i].tolist() == earliest_darts(parts[i], 16)
+    a, b = parts[:2]
+    same = dart_minhash.signatures([a, b], 2000)
+    assert abs((same[0] == same[1]).mean() - len(set(a) & set(b)) / len(set(a) | set(b))) < 0.05
 
 
 def test_mixing(spark, docs):
