@@ -138,3 +138,26 @@ def test_html(spark):
     rows = [(1, "http://h/1", page), (2, None, None)] + [(10 + i, "http://t/x", f"<div><p>same line</p></div><div><p>own {i}</p></div>") for i in range(8)]
     got = {r["_id"]: r for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[1]["text"] == "Head & tail\nOne two\nthree" and got[2]["text"] == "" and got[12]["text"] == "own 2"
+
+
+def test_near_duplicate_classes_against_all_pairs(spark):
+    """Classes of the whole small documents table, by comparing every text with every other one."""
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] or "" for r in df.collect()}
+    units, group = {}, {i: i for i in texts}
+    for i, t in texts.items():
+        words, seen, units[i] = t.lower().split(), Counter(), set()
+        for j in range(max(len(words) - 4, 1) if words else 0):
+            shingle = tuple(words[j : j + 5])
+            units[i].add((shingle, seen[shingle]))
+            seen[shingle] += 1
+    ids = sorted(texts)
+    for n, a in enumerate(ids):
+        for b in ids[n + 1 :]:
+            common = len(units[a] & units[b])
+            if texts[a] == texts[b] or common and common >= 0.8 * len(units[a] | units[b]):
+                old, new = group[b], group[a]
+                group = {i: new if g == old else g for i, g in group.items()}
+    best = {g: min(i for i in ids if group[i] == g) for g in set(group.values())}
+    got = {r["_id"]: r["class_id"] for r in dart_minhash.near_duplicates(df).collect()}
+    assert got == {i: best[group[i]] for i in ids}
