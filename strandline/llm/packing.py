@@ -21,6 +21,55 @@ END = 2
 #: Words whose ids a Python worker remembers over its tasks; beyond that it starts anew.
 REMEMBERED = 1_000_000
 STATE: dict = {}
+#: Fixed value, the pattern by which the tokenizer's file cuts lower-cased text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Words whose characters are composed already and have one lower-case form in every library.
+PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]+"
+
+
+def word_ids(model, ends, new: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
+    """Token ids of words, as little-endian unsigned 32-bit bytes.
+
+    Words differ more than the pieces the tokenizer's own pattern cuts them into (case, punctuation),
+    so each distinct piece is encoded once, many pieces in one call: a piece ends with an end-of-word
+    id. Words with characters for which that shortcut is not plainly the same are encoded whole.
+    """
+    import numpy as np
+    import regex
+
+    split = regex.compile(PIECES)
+    plain = regex.compile(PLAIN).fullmatch
+    cut = {w: split.findall(w.lower()) for w in new if plain(w) and "<|" not in w}
+    whole = [w for w in new if w not in cut]
+    fresh = list(set().union(*cut.values()) - pieces.keys())
+    for i in range(0, len(fresh), 1024):
+        part = fresh[i : i + 1024]
+        ids = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        after = (np.flatnonzero(ends[ids]) + 1) * 4
+        if len(after) != len(part) or (len(after) and after[-1] != ids.nbytes):
+            pieces.update(_one_by_one(model, part))
+            continue
+        raw, at = ids.astype("<u4").tobytes(), 0
+        for piece, until in zip(part, after.tolist(), strict=True):
+            pieces[piece] = raw[at:until]
+            at = until
+    return {w: b"".join([pieces[x] for x in parts]) for w, parts in cut.items()} | _one_by_one(model, whole)
+
+
+def _one_by_one(model, words: list[str]) -> dict[str, bytes]:
+    import numpy as np
+
+    return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, model.encode_batch_fast(words, add_special_tokens=False), strict=True)}
+
+
+def end_ids(model):
+    """Marks of the ids that end a piece."""
+    import numpy as np
+
+    vocab = model.get_vocab(with_added_tokens=True)
+    ends = np.zeros(max(vocab.values()) + 1, bool)
+    ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+    return ends
 
 
 def token_runs(tokenizer: str, end: int):
@@ -30,8 +79,6 @@ def token_runs(tokenizer: str, end: int):
         import os
 
         import numpy as np
-        from struct import pack as pack_ids
-
         from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -40,21 +87,22 @@ def token_runs(tokenizer: str, end: int):
 
         state = packing.STATE
         if state.get("file") != tokenizer:
-            state.update(file=tokenizer, model=Tokenizer.from_file(tokenizer), known={})
-        model, known = state["model"], state["known"]
+            model = Tokenizer.from_file(tokenizer)
+            state.update(file=tokenizer, model=model, ends=packing.end_ids(model), known={}, pieces={})
+        model, ends, known, pieces = state["model"], state["ends"], state["known"], state["pieces"]
         part, at = TaskContext.get().partitionId(), 0
-        tail = np.array([end], np.uint32).tobytes()
+        tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
-            new = list({w for words in texts for w in words} - known.keys())
+            words = set().union(*texts)
+            new = list(words - known.keys())
             if len(known) + len(new) > packing.REMEMBERED:
                 known.clear()
-                new = list({w for words in texts for w in words})
-            for i in range(0, len(new), 2048):
-                for w, e in zip(new[i : i + 2048], model.encode_batch_fast(new[i : i + 2048], add_special_tokens=False), strict=True):
-                    ids = e.ids
-                    known[w] = pack_ids(f"<{len(ids)}I", *ids)
-            ids = [b"".join([known[w] for w in words]) + tail for words in texts]
+                new = list(words)
+            if len(pieces) > packing.REMEMBERED:
+                pieces.clear()
+            known.update(word_ids(model, ends, new, pieces))
+            ids = [b"".join(map(known.__getitem__, words)) + tail for words in texts]
             starts = []
             for x in ids:
                 starts.append(at)
