@@ -27,12 +27,13 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 PLAIN = r"[\t\n\r\x20-\x7e\xa1-\u024f]+"
 
 
-def word_ids(model, ends, new: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
+def word_ids(model, bare, ends, new: list[str], pieces: dict[str, bytes]) -> dict[str, bytes]:
     """Token ids of words, as little-endian unsigned 32-bit bytes.
 
     Words differ more than the pieces the tokenizer's own pattern cuts them into (case, punctuation),
     so each distinct piece is encoded once, many pieces in one call: a piece ends with an end-of-word
-    id. Words with characters for which that shortcut is not plainly the same are encoded whole.
+    id. bare is the same tokenizer without the normalising and cutting that pieces have behind them.
+    Words with characters for which that shortcut is not plainly the same are encoded whole.
     """
     import numpy as np
     import regex
@@ -44,7 +45,7 @@ def word_ids(model, ends, new: list[str], pieces: dict[str, bytes]) -> dict[str,
     fresh = list(set().union(*cut.values()) - pieces.keys())
     for i in range(0, len(fresh), 1024):
         part = fresh[i : i + 1024]
-        ids = np.array(model.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+        ids = np.array(bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
         after = (np.flatnonzero(ends[ids]) + 1) * 4
         if len(after) != len(part) or (len(after) and after[-1] != ids.nbytes):
             pieces.update(_one_by_one(model, part))
@@ -62,6 +63,17 @@ def _one_by_one(model, words: list[str]) -> dict[str, bytes]:
     return {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, model.encode_batch_fast(words, add_special_tokens=False), strict=True)}
 
 
+def bare_tokenizer(tokenizer: str):
+    """The tokenizer for pieces that are lower-cased and cut already, joined by blanks."""
+    from tokenizers import Tokenizer
+    from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
+
+    bare = Tokenizer.from_file(tokenizer)
+    bare.normalizer = None
+    bare.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
+    return bare
+
+
 def end_ids(model):
     """Marks of the ids that end a piece."""
     import numpy as np
@@ -76,11 +88,14 @@ def token_runs(tokenizer: str, end: int):
     """Token ids by word: words repeat, so each distinct word of a batch is encoded once and remembered within bounds."""
 
     def run(batches):
+        import gc
         import os
 
         import numpy as np
         from tokenizers import Tokenizer
 
+        # Nothing here is cyclic; the collector would go over the large tables again and again.
+        gc.disable()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         # The module's own table outlives the task where Spark reuses its Python workers.
         from strandline.llm import packing
@@ -88,20 +103,20 @@ def token_runs(tokenizer: str, end: int):
         state = packing.STATE
         if state.get("file") != tokenizer:
             model = Tokenizer.from_file(tokenizer)
-            state.update(file=tokenizer, model=model, ends=packing.end_ids(model), known={}, pieces={})
-        model, ends, known, pieces = state["model"], state["ends"], state["known"], state["pieces"]
+            state.update(file=tokenizer, model=model, bare=packing.bare_tokenizer(tokenizer), ends=packing.end_ids(model), known={}, pieces={})
+        model, bare, ends, known, pieces = state["model"], state["bare"], state["ends"], state["known"], state["pieces"]
         part, at = TaskContext.get().partitionId(), 0
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
             words = set().union(*texts)
-            new = list(words - known.keys())
+            new = [w for w in words if w not in known]
             if len(known) + len(new) > packing.REMEMBERED:
                 known.clear()
                 new = list(words)
             if len(pieces) > packing.REMEMBERED:
                 pieces.clear()
-            known.update(word_ids(model, ends, new, pieces))
+            known.update(word_ids(model, bare, ends, new, pieces))
             ids = [b"".join(map(known.__getitem__, words)) + tail for words in texts]
             starts = []
             for x in ids:
