@@ -8,8 +8,11 @@ two texts agree on a coordinate with a probability equal to their weighted Jacca
 time limit is doubled until every coordinate has a dart, so the cost is about the number of shingles
 plus K log K.
 
-Signatures are cut into bands. In every bucket the members are compared with a few heads, never all
-with all, and a link counts when the exact similarity of the texts reaches the threshold.
+Signatures are cut into bands. In every bucket the members are compared with a few heads, and a link
+counts when the exact similarity of the texts reaches the threshold. Buckets whose members are then
+not all in one component are gone through again: members outside the main component of the bucket
+become heads too, more of them every round, and meet the members of other components, until each has
+been one. So every two texts of a bucket are in one component or were compared.
 """
 
 from __future__ import annotations
@@ -17,6 +20,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import ROW, attach, map_arrow
@@ -32,6 +36,10 @@ BANDS, ROWS = 36, 6
 HEADS = 3
 #: A head is the row that is least after an exclusive or with the mask of its order (fixed values, one a head).
 MASKS = [0, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA]
+#: Further heads a bucket takes in the first round after that, and their growth from round to round.
+MORE_HEADS, GROWTH = 8, 4
+#: Parts into which the members of a bucket are split before they meet a head.
+SALTS = 16
 #: Texts whose darts are thrown together.
 TOGETHER = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -137,6 +145,33 @@ def _similar(batches):
         yield batch.select(["_a", "_b"]).take(pa.array(keep, pa.int64()))
 
 
+def _pairs(pairs: DataFrame) -> DataFrame:
+    return settled(pairs.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "pairs")
+
+
+def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """The pairs whose texts are similar.
+
+    A head may have very many members: its text goes to every salt once, its members to one salt each.
+    """
+    needed = pairs.select(F.col("_a").alias(ROW)).union(pairs.select(F.col("_b").alias(ROW))).distinct()
+    texts = settled(whole.select(ROW, "text").join(needed, ROW, "left_semi"), "near-texts")
+    left = pairs.join(texts.select(F.col(ROW).alias("_a"), F.col("text").alias("_ta")), "_a")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
+    sides = salted.select("_b", "_salt").distinct().join(texts.select(F.col(ROW).alias("_b"), F.col("text").alias("_tb")), "_b")
+    both = salted.join(sides, ["_b", "_salt"])
+    return settled(map_arrow(both.select("_a", "_b", "_ta", "_tb"), _similar, "_a long, _b long"), "links")
+
+
+def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members of the buckets that lie in several components, with their own (_comp) and the bucket's most frequent one (_main)."""
+    placed = members.join(found.select(F.col("node").alias(ROW), "component"), ROW, "left").select(ROW, "_bucket", "_asked", F.coalesce("component", ROW).alias("_comp"))
+    counted = attach(placed, ["_bucket", "_comp"], F.col(ROW), {"_share": (F.sum, F.lit(1))}, SALTS)
+    main = {"_most": (F.max, F.struct("_share", "_comp")), "_low": (F.min, F.col("_comp")), "_high": (F.max, F.col("_comp"))}
+    mixed = attach(counted, ["_bucket"], F.col(ROW), main, SALTS, having="_ag__low < _ag__high")
+    return settled(mixed.select(ROW, "_bucket", "_asked", "_comp", F.col("_most._comp").alias("_main")), "mixed")
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
     """One row per row of docs: _row, _id, class_id (least id of the class), class_size, kept (one row of a class).
 
@@ -150,19 +185,32 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id")
     # Members and heads of every bucket with more than one text; each head is the least in an order of its own (numbers, so that they are hash aggregated).
     flat = bands.select(ROW, F.explode("_bands").alias("_bucket"))
     heads = {"_n": (F.sum, F.lit(1))} | {f"_h{i}": (F.min, F.col(ROW).bitwiseXOR(F.lit(MASKS[i]))) for i in range(HEADS)}
-    full = attach(flat, ["_bucket"], F.col(ROW), heads, having="_ag__n > 1")
-    pairs = full.select(F.col(ROW).alias("_a"), F.explode(F.array(*[F.col(f"_h{i}").bitwiseXOR(F.lit(MASKS[i])) for i in range(HEADS)])).alias("_b")).where("_a <> _b")
-    pairs = settled(pairs.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "pairs")
-    needed = pairs.select(F.col("_a").alias(ROW)).union(pairs.select(F.col("_b").alias(ROW))).distinct()
-    texts = settled(whole.select(ROW, "text").join(needed, ROW, "left_semi"), "near-texts")
-    left = pairs.join(texts.select(F.col(ROW).alias("_a"), F.col("text").alias("_ta")), "_a")
-    # A head may have very many members: its text goes to every salt once, its members to one salt each.
-    salts = 16
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(salts)).cast("int"))
-    sides = salted.select("_b", "_salt").distinct().join(texts.select(F.col(ROW).alias("_b"), F.col("text").alias("_tb")), "_b")
-    both = salted.join(sides, ["_b", "_salt"])
-    links = settled(map_arrow(both.select("_a", "_b", "_ta", "_tb"), _similar, "_a long, _b long"), "links")
+    full = settled(attach(flat, ["_bucket"], F.col(ROW), heads, having="_ag__n > 1"), "buckets")
+    first = F.array(*[F.col(f"_h{i}").bitwiseXOR(F.lit(MASKS[i])) for i in range(HEADS)])
+    pairs = _pairs(full.select(F.col(ROW).alias("_a"), F.explode(first).alias("_b")).where("_a <> _b"))
+    links = _links(pairs, whole)
     found = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
+    members = full.select(ROW, "_bucket", F.array_contains(first, F.col(ROW)).alias("_asked"))
+    asked, more = None, MORE_HEADS
+    while True:
+        mixed = _mixed(members, found)
+        waiting = mixed.where("not _asked and _comp <> _main")
+        if asked is not None:
+            waiting = waiting.join(asked, ["_bucket", ROW], "left_anti")
+        order = W.partitionBy("_bucket").orderBy(ROW)
+        heads = settled(waiting.select("_bucket", F.col(ROW).alias("_b"), F.col("_comp").alias("_bcomp"), F.row_number().over(order).alias("_place")).where(F.col("_place") <= more), "more-heads")
+        if heads.isEmpty():
+            break
+        sides = heads.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        met = mixed.withColumn("_salt", F.pmod(F.xxhash64(ROW), F.lit(SALTS)).cast("int")).join(sides, ["_bucket", "_salt"]).where("_comp <> _bcomp")
+        new = settled(_pairs(met.select(F.col(ROW).alias("_a"), "_b")).join(pairs, ["_a", "_b"], "left_anti"), "more-pairs")
+        taken = heads.select("_bucket", F.col("_b").alias(ROW))
+        asked, more = taken if asked is None else asked.union(taken), more * GROWTH
+        fresh = _links(new, whole)
+        pairs = pairs.union(new)
+        if not fresh.isEmpty():
+            links = links.union(fresh)
+            found = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
     # Copies follow the text that stands for them; few links per text remain, so this join has no hot key but copies.
     joined = attach_component(copies, found)
     best = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col(ROW).alias("r"))

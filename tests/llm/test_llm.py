@@ -176,3 +176,35 @@ def test_word_ids_equal_the_tokenizers():
     ids = packing.word_ids(model, bare, packing.end_ids(model), text.split(" "), pieces)
     whole = model.encode(text, add_special_tokens=False).ids
     assert b"".join(ids[w] for w in text.split(" ")) == b"".join(i.to_bytes(4, "little") for i in whole)
+
+
+def test_no_link_is_lost_where_heads_are_missed(spark, monkeypatch):
+    """All texts in one bucket, heads alike no other text: chains are found all the same."""
+    words = [f"w{i}" for i in range(400)]
+    alone = [" ".join(f"x{j}y{i}" for i in range(60)) for j in range(4)]
+    chains = [" ".join(words[40 * c : 40 * c + 40] + [f"c{c}"] * n) for c in range(8) for n in range(1, 5)]
+    rows = list(enumerate(alone + chains))
+    import strandline.llm.dart_minhash as module
+
+    def one_bucket(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([[7]] * batch.num_rows, pa.list_(pa.int64()))], ["_row", "_bands"])
+
+    monkeypatch.setattr(module, "_signatures", one_bucket)
+    monkeypatch.setattr(module, "MORE_HEADS", 2)
+    sets = []
+    for _, t in rows:
+        w = t.split()
+        sets.append(Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)))
+    root = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            common, either = (sets[i] & sets[j]).total(), (sets[i] | sets[j]).total()
+            if common >= 0.8 * either:
+                old, new = max(root[i], root[j]), min(root[i], root[j])
+                root = [new if r == old else r for r in root]
+    assert len(set(root)) < len(rows) - 10
+    found = module.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {r["_id"]: r["class_id"] for r in found.collect()} == dict(enumerate(root))
