@@ -32,7 +32,8 @@ def pixel_window(pixels: DataFrame, row: int, col: int, height: int, width: int)
 def toa_reflectance(pixels: DataFrame, coeffs: DataFrame, bands: dict[int, str]) -> DataFrame:
     """Digital numbers times the coefficient of their band; coeffs is (scene_id, band, coeff).
 
-    The coefficients become one row a scene before they meet the pixels.
+    The coefficients become one row a scene before they meet the pixels. A band without a
+    coefficient is NULL; no pixel is dropped.
     """
     wide = settled(
         coeffs.where(F.col("band").isin(list(bands)))
@@ -40,15 +41,15 @@ def toa_reflectance(pixels: DataFrame, coeffs: DataFrame, bands: dict[int, str])
         .agg(*[F.max(F.when(F.col("band") == k, F.col("coeff"))).alias(f"_c{k}") for k in bands]),
         "coeffs",
     )
-    return pixels.join(wide, "scene_id").select(
+    return pixels.join(wide, "scene_id", "left").select(
         *KEY, *[(F.col(c) * F.col(f"_c{k}")).alias(c) for k, c in bands.items()]
     )
 
 
 def coefficient_lookup(bands: DataFrame, coeffs: DataFrame) -> DataFrame:
-    """Long form: rows (scene_id, row, col, band, value) with the coefficient of their scene and band."""
+    """Long form: rows (scene_id, row, col, band, value) with the coefficient of their scene and band, NULL where there is none."""
     known = settled(coeffs.select("scene_id", "band", "coeff"), "coeffs")
-    return bands.join(known, ["scene_id", "band"])
+    return bands.join(known, ["scene_id", "band"], "left")
 
 
 def add_blank_bands(pixels: DataFrame, bands: list[str], n: int) -> DataFrame:

@@ -45,6 +45,6 @@ def best_shift(scores: DataFrame) -> DataFrame:
 
 
 def apply_shift(target: DataFrame, shift: DataFrame) -> DataFrame:
-    """Target pixels moved to the places of the base."""
-    moved = target.join(shift.select("scene_id", "dr", "dc"), "scene_id")
+    """Target pixels moved to the places of the base; a scene without a shift stays where it is."""
+    moved = target.join(shift.select("scene_id", "dr", "dc"), "scene_id", "left").fillna(0, ["dr", "dc"])
     return moved.withColumn("row", F.col("row") - F.col("dr")).withColumn("col", F.col("col") - F.col("dc")).drop("dr", "dc")

@@ -22,17 +22,20 @@ POINT_DIGITS = 9
 CHUNK = 4096
 
 
-def segments(vertices: DataFrame, keys: list[str]) -> DataFrame:
+def segments(vertices: DataFrame, keys: list[str], chunk: int = CHUNK) -> DataFrame:
     """Consecutive vertices of each line as segments (keys..., seg, x0, y0, x1, y1).
 
-    seq runs without gaps. Lines are cut into chunks that share their end vertex, so a
-    line with very many vertices does not become one sort group.
+    Missing numbers in seq are bridged, wherever they lie. Lines are cut into chunks, so a line with
+    very many vertices does not become one sort group; a chunk also gets the first vertex of the next
+    chunk that has any.
     """
-    chunk = F.expr(f"seq div {CHUNK}")
-    chunks = F.when((F.col("seq") % CHUNK == 0) & (F.col("seq") > 0), F.array(chunk - 1, chunk)).otherwise(F.array(chunk))
+    placed = vertices.select(*keys, "seq", "x", "y", F.floor(F.col("seq") / chunk).alias("_chunk"))
+    heads = placed.groupBy(*keys, "_chunk").agg(F.min(F.struct("seq", "x", "y")).alias("_head"))
+    before = F.lag("_chunk").over(Window.partitionBy(*keys).orderBy("_chunk"))
+    ends = heads.withColumn("_chunk", before).where("_chunk is not null").select(*keys, "_head.*", "_chunk")
     w = Window.partitionBy(*keys, "_chunk").orderBy("seq")
     return (
-        vertices.withColumn("_chunk", F.explode(chunks))
+        placed.unionByName(ends)
         .select(
             *keys, F.col("seq").alias("seg"), F.col("x").alias("x0"), F.col("y").alias("y0"),
             F.lead("x").over(w).alias("x1"), F.lead("y").over(w).alias("y1"),
