@@ -156,10 +156,11 @@ def _(t):
     return back.groupBy("year").agg(F.count("*").alias("n"), F.round(F.sum("tsk"), 4).alias("tsk"))
 
 
-@query("a14_tolerant_input", f"""with {LINES} select year(d)::int "year", count(*) n from lines where year(d) in (1996, 1998, 2000) group by 1""")
+@query("a14_tolerant_input", f"""with {LINES} select year(d)::int "year", count(*) n from lines where year(d) not in (1997, 1999) group by 1""")
 def _(t):
     folder = new_folder(t.spark, "csv")
     rows = lines(t).select(F.lit(0).alias("_c0"), F.date_format("date", "MM-dd-yyyy").alias("date"), "transect", "tsk", "seaice", F.year("date").alias("year"))
-    rows.where(F.col("year").isin(1996, 1998, 2000)).write.partitionBy("year").option("header", "true").csv(folder)
-    back = tb.read_daily_csv(t.spark, *[f"{folder}/year={y}" for y in range(1996, 2001)], schema=CSV_SCHEMA)
+    first, last = rows.agg(F.min("year"), F.max("year")).first()
+    rows.where(~F.col("year").isin(1997, 1999)).write.partitionBy("year").option("header", "true").csv(folder)
+    back = tb.read_daily_csv(t.spark, *[f"{folder}/year={y}" for y in range(first, last + 1)], schema=CSV_SCHEMA)
     return back.groupBy(F.right("date", F.lit(4)).cast("int").alias("year")).agg(F.count("*").alias("n"))
