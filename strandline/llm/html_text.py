@@ -1,8 +1,8 @@
 """Main text of web pages by site template removal.
 
 Pages are parsed into blocks, each with the hashes of the element subtrees around it. Spark counts
-on how many pages of a host every subtree outside an article occurs; blocks below a subtree that
-recurs on many pages of their host are deleted. Navigation, page headers and footers, forms, adverts,
+with how many different remaining contents every subtree occurs on the pages of its host; blocks
+below a subtree that recurs so are deleted, inside article and main elements too. Navigation, page headers and footers, forms, adverts,
 notices and comments are boilerplate by their element or class wherever they stand.
 """
 
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ROW, attach, map_arrow
+from strandline.llm.common import ROW, map_arrow
 from strandline.session import settled
 
 #: Fixed lists of HTML: elements without text of their own, elements that start a block, elements without end tags.
@@ -24,16 +24,22 @@ ASIDE = frozenset("nav header footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in class, id or role that mark boilerplate.
-MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|widget|navigation|contentinfo|complementary)(?:$|[\s_-])", re.I)
+WORDS = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|widget|navigation|contentinfo|complementary)(?:$|[\s_-])"
+MARKS = re.compile(rf"(?:^|[\s_-]){WORDS}", re.I)
+#: An article is boilerplate only where a class begins with a mark (comment, related-post; not has-sidebar).
+ARTICLE_MARKS = re.compile(rf"(?:^|\s){WORDS}", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
-#: A subtree is a template when it recurs on so many pages of a host and on such a share of them.
-PAGES, SHARE = 5, 0.3
+#: A subtree is a template when it recurs beside so many different remaining contents of a host. Outside the
+#: article (or main) of pages that are mostly article, two are enough.
+PAGES, OUTSIDE = 5, 2
+#: The remaining content is told by its longest blocks, so that copies of a page with small changes are one content.
+LONGEST = 3
 
 
 def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
-    """(text, inside an article, hashes of the enclosing block subtrees) of every block that is not boilerplate itself."""
+    """(text, inside an article or h1, hashes of the enclosing block subtrees) of every block that is not boilerplate itself."""
     import xxhash
 
     out: list[list] = []
@@ -44,7 +50,7 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words and not (stack and stack[-1][1]):
-            out.append([words, any(s[2] for s in stack), []])
+            out.append([words, any(s[2] or s[0] == "h1" for s in stack), []])
 
     def close():
         tag, drops, _, first = stack.pop()
@@ -97,7 +103,7 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
                 at = stop.end() if stop else end
                 continue
             inside = bool(stack) and stack[-1][2]
-            drops = bool(stack) and stack[-1][1] or tag in SILENT or tag in ASIDE and not (tag == "header" and inside) or bool(HIDDEN.search(m[3])) or tag not in ("html", "body", "article", "main") and any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(m[3]))
+            drops = bool(stack) and stack[-1][1] or tag in SILENT or tag in ASIDE and not (tag == "header" and inside) or bool(HIDDEN.search(m[3])) or tag not in ("html", "body", "main") and any((ARTICLE_MARKS if tag == "article" else MARKS).search(a or b or c) for a, b, c in NAMED.findall(m[3]))
             if drops and not (stack and stack[-1][1]):
                 flush()
             stack.append([tag, drops, inside or tag in ("article", "main"), len(out)])
@@ -107,32 +113,60 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
     return [(b[0], b[1], b[2]) for b in out]
 
 
+def subtrees(found: list[tuple[str, bool, list[int]]]) -> list[dict]:
+    """Every subtree of a page: its hash, whether it is outside the article, hashes of the longest blocks that remain without it.
+
+    Where most of the text is in an article, only that remains: a subtree with all of it always leaves
+    the same (nothing), so copies of an article amid changing boxes do not make it a template.
+    """
+    import xxhash
+
+    inside = [b for b in found if b[1]]
+    mostly = 2 * sum(len(b[0]) for b in inside) >= sum(len(b[0]) for b in found)
+    ranked = [(xxhash.xxh64_intdigest(b[0]) - 2**63, set(b[2])) for b in sorted(inside if mostly else found, key=lambda b: (-len(b[0]), b[0]))]
+    main = {h for b in inside for h in b[2]}
+    out = []
+    for h in {h for b in found for h in b[2]}:
+        rest = []
+        for text, trees in ranked:
+            if h not in trees:
+                rest.append(text)
+                if len(rest) == LONGEST:
+                    break
+        out.append({"tree": h, "outside": mostly and h not in main, "rest": rest})
+    return out
+
+
 def _parse(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("main", pa.bool_()), ("trees", pa.list_(pa.int64()))]))
+    kind = pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))]))
+    tree = pa.list_(pa.struct([("tree", pa.int64()), ("outside", pa.bool_()), ("rest", pa.list_(pa.int64()))]))
     for batch in batches:
-        found = [[{"text": t, "main": m, "trees": h} for t, m, h in blocks(p or "")] for p in batch.column("html").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("url"), pa.array(found, kind)], [ROW, "_id", "_url", "_blocks"])
+        pages = [blocks(p or "") for p in batch.column("html").to_pylist()]
+        found = [[{"text": t, "trees": h} for t, _, h in page] for page in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("url"), pa.array(found, kind), pa.array([subtrees(p) for p in pages], tree)], [ROW, "_id", "_url", "_blocks", "_subtrees"])
 
 
-def main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html", least: int = PAGES, share: float = SHARE) -> DataFrame:
+def main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html", least: int = PAGES, outside: int = OUTSIDE) -> DataFrame:
     """One row per row of pages: _id, _url, text (blocks joined by newlines; empty if none), n_chars.
 
-    A page with an article (or main) element gives that element's blocks; articles are never taken for
-    templates, as copies of one article recur too. Other pages give what is left outside templates. A
-    null url is a host of its own, a null html is empty, repeated rows each count as a page. Empty table: no rows.
+    What is left outside templates is kept, whether inside an article or not; an article only says
+    where fewer recurrences make a template. The counts are absolute: neither further pages of a
+    host nor repeated rows make a template less or more likely. A null url is a host of its own, a
+    null html is empty. Empty table: no rows.
     """
     kind = pages.schema[ident].dataType.simpleString()
     parsed = settled(map_arrow(pages.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(url).alias("url"), F.col(body).alias("html")), _parse,
-                               f"{ROW} long, _id {kind}, _url string, _blocks array<struct<text: string, main: boolean, trees: array<bigint>>>"), "blocks")
+                               f"{ROW} long, _id {kind}, _url string, _blocks array<struct<text: string, trees: array<bigint>>>, _subtrees array<struct<tree: bigint, outside: boolean, rest: array<bigint>>>"), "blocks")
     host = F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), r"^[a-zA-Z][^:/]*://([^/?#]*)", 1))
-    whole = parsed.select("*", host.alias("_host"), F.exists("_blocks", lambda b: b["main"]).alias("_has"))
-    loose = whole.where("not _has").select(ROW, "_host", F.explode("_blocks").alias("b")).select(ROW, "_host", F.explode("b.trees").alias("_tree")).distinct()
-    counted = attach(loose, ["_host", "_tree"], F.col(ROW), {"_n": (F.sum, F.lit(1))})
-    sizes = whole.groupBy("_host").agg(F.count("*").alias("_pages")).withColumnRenamed("_host", "_h")
-    common = counted.where(F.col("_n") >= least).join(sizes, F.col("_host") == F.col("_h")).where(F.col("_n") >= share * F.col("_pages"))
-    templates = common.groupBy(ROW).agg(F.collect_set("_tree").alias("_gone"))
-    joined = whole.join(templates, ROW, "left")
+    trees = parsed.select(ROW, host.alias("_host"), F.inline("_subtrees")).select(ROW, F.xxhash64("_host", "tree").alias("_key"), "tree", "outside", "rest")
+    # A subtree with nothing beside it has one remaining content, the empty one.
+    rests = trees.select("_key", F.posexplode(F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.array(F.lit(0).cast("long")))).alias("_nth", "_rest")).distinct()
+    counts = rests.groupBy("_key", "_nth").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.max("_n").alias("_n"))
+    recurring = settled(counts.where(F.col("_n") >= min(least, outside)).withColumnRenamed("_key", "_common"), "templates")
+    common = trees.join(recurring, F.col("_key") == F.col("_common")).where(F.col("_n") >= F.when(F.col("outside"), outside).otherwise(least))
+    templates = common.groupBy(ROW).agg(F.collect_set("tree").alias("_gone"))
+    joined = parsed.select(ROW, "_id", "_url", "_blocks").join(templates, ROW, "left")
     gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
-    kept = F.when(F.col("_has"), F.filter("_blocks", lambda b: b["main"])).otherwise(F.filter("_blocks", lambda b: ~F.arrays_overlap(b["trees"], gone)))
+    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["trees"], gone))
     text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
     return joined.select("_id", "_url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))

@@ -208,3 +208,20 @@ def test_no_link_is_lost_where_heads_are_missed(spark, monkeypatch):
     assert len(set(root)) < len(rows) - 10
     found = module.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
     assert {r["_id"]: r["class_id"] for r in found.collect()} == dict(enumerate(root))
+
+
+def texts_of(spark, pages):
+    rows = [(i, u, h) for i, (u, h) in enumerate(pages)]
+    got = {r["_id"]: r["text"] for r in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    return [got[i] for i in range(len(rows))]
+
+
+def test_html_templates_inside_articles(spark):
+    box = "<div><p>Read our other stories</p></div>"
+    boxed = [("http://a/", f"<h1>Title {i}</h1><main><p>Story number {i} of many</p>{box}</main>") for i in range(8)]
+    copies = [("http://b/", f"<div><p>box {i}</p></div><article><p>One and the same long story</p><p>Its end</p></article>") for i in range(8)]
+    teaser = [("http://c/", "<div><p>A long story that stands in a plain element of the page</p></div><article><p>Teaser</p></article><article class='comment'><p>Nonsense</p></article>")]
+    got = texts_of(spark, boxed + copies + teaser)
+    assert got[:8] == [f"Title {i}\nStory number {i} of many" for i in range(8)]
+    assert got[8:16] == [f"box {i}\nOne and the same long story\nIts end" for i in range(8)]
+    assert got[16] == "A long story that stands in a plain element of the page\nTeaser"
