@@ -225,3 +225,12 @@ def test_html_templates_inside_articles(spark):
     assert got[:8] == [f"Title {i}\nStory number {i} of many" for i in range(8)]
     assert got[8:16] == [f"box {i}\nOne and the same long story\nIts end" for i in range(8)]
     assert got[16] == "A long story that stands in a plain element of the page\nTeaser"
+
+
+def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
+    box = "<div><p>Only in this section</p></div>"
+    section = [("http://d/", f"<div><p>Own text {i} of the section</p></div>{box}") for i in range(6)]
+    others = [("http://d/", f"<article><p>Another article {i}</p></article>") for i in range(60)]
+    got = texts_of(spark, section + others)
+    assert got[:6] == [f"Own text {i} of the section" for i in range(6)]
+    assert got[6:] == [f"Another article {i}" for i in range(60)]
