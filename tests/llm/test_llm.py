@@ -234,3 +234,26 @@ def test_html_templates_do_not_depend_on_the_size_of_the_host(spark):
     got = texts_of(spark, section + others)
     assert got[:6] == [f"Own text {i} of the section" for i in range(6)]
     assert got[6:] == [f"Another article {i}" for i in range(60)]
+
+
+def clean_texts(n, seed=1, lines=20):
+    import random
+
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 8)))
+    return ["\n".join(" ".join(word() for _ in range(10)) for _ in range(lines)) for _ in range(n)]
+
+
+def verdicts(spark, rows):
+    return {r["_id"]: r for r in quality_rules.quality_verdicts(spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id long, text string, lang string, source string")).collect()}
+
+
+def test_quality_rules_hold_every_row_against_some_rows(spark):
+    junk = " ".join(f"#*$%{i}|<>" for i in range(200))
+    texts = clean_texts(81)
+    rows = [(t, "en", "s") for t in texts[:60]] + [(texts[80], "en", "rare"), (junk, "en", "rare"), (junk, "xx", None), (junk, None, None)]
+    got = verdicts(spark, rows)
+    assert all(r["distance"] is not None for r in got.values())
+    assert got[60]["kept"] and not any(got[i]["kept"] for i in (61, 62, 63))
+    few = verdicts(spark, [(t, "en", "s") for t in texts[60:80]] + [(junk, "en", "s")])
+    assert not few[20]["kept"] and sum(r["kept"] for r in few.values()) >= 18
