@@ -257,3 +257,13 @@ def test_quality_rules_hold_every_row_against_some_rows(spark):
     assert got[60]["kept"] and not any(got[i]["kept"] for i in (61, 62, 63))
     few = verdicts(spark, [(t, "en", "s") for t in texts[60:80]] + [(junk, "en", "s")])
     assert not few[20]["kept"] and sum(r["kept"] for r in few.values()) >= 18
+
+
+def test_quality_rules_reject_a_deviation_in_one_feature(spark):
+    texts = clean_texts(70)
+    spaced = "\n".join(f"{line}\nread more" for line in texts[60].split("\n"))
+    stutter = " ".join(w if i % 2 else f"{w} {w}" for i, w in enumerate(texts[61].split()))
+    marked = " ".join(f"{w}#" if i % 5 == 0 else w for i, w in enumerate(texts[62].split()))
+    got = verdicts(spark, [(t, "en", "s") for t in texts[:60] + texts[63:]] + [(t, "en", "s") for t in (spaced, stutter, marked)])
+    assert [got[i]["kept"] for i in (67, 68, 69)] == [False] * 3 and not any(got[i]["base_failed"] for i in (67, 68, 69))
+    assert sum(got[i]["kept"] for i in range(67)) >= 65
