@@ -2,9 +2,10 @@
 
 Every rolling pair of words of a text is joined with the places where that pair stands in a
 template. A hit votes for the diagonal (place in the text minus place in the template); votes are
-summed by diagonal, neighbouring diagonals of one template are merged, and a span counts when the
-pairs it has in common with the template reach the share asked for. The words of each hit are
-compared themselves, so no hash collision becomes a vote.
+summed by diagonal and neighbouring diagonals of one template are merged. Every merged span is then
+verified: its words are compared with the template in the order of both, each place of the template
+counts once, and the parts of the span that reach the share asked for are its findings. The words of
+each hit are compared themselves, so no hash collision becomes a vote.
 """
 
 from __future__ import annotations
@@ -65,6 +66,49 @@ def _pairs():
     return run
 
 
+def verified(hits: list[tuple[int, int]], pairs: int, need: float) -> list[tuple[int, int, int]]:
+    """(template places found, start, end) of the parts of a span that agree with a template of so many pairs.
+
+    hits are (place in the text, place in the template). A part is a chain rising in both places, so a
+    place of the template counts once, over at most twice the words of the template. Parts with more
+    places come first, then shorter ones, and no two overlap.
+    """
+    # late[j][c]: latest start of a chain of c places that ends at place j - 1 of the template or before.
+    late = [[-1] * (pairs + 1) for _ in range(pairs + 1)]
+    found = []
+    for at, place in sorted(hits, key=lambda h: (h[0], -h[1])):
+        for c in range(place + 1, 0, -1):
+            start = at if c == 1 else late[place][c - 1]
+            if start < 0:
+                continue
+            if c >= need and at + 2 - start <= 2 * (pairs + 1):
+                found.append((c, start, at + 2))
+            for j in range(place + 1, pairs + 1):
+                if late[j][c] >= start:
+                    break
+                late[j][c] = start
+    out: list[tuple[int, int, int]] = []
+    used: set[int] = set()
+    for c, start, end in sorted(found, key=lambda f: (-f[0], f[2] - f[1], f[1])):
+        if used.isdisjoint(range(start, end)):
+            used.update(range(start, end))
+            out.append((c, start, end))
+    return out
+
+
+def _verify(share: float):
+    def run(batches):
+        for batch in batches:
+            rows = []
+            for r in batch.to_pylist():
+                hits = [(h["at"], h["tat"]) for h in r["hits"]]
+                rows += [(r[ROW], r["label"], False, start, end, c / r["pairs"]) for c, start, end in verified(hits, r["pairs"], share * r["pairs"])]
+            kinds = [pa.int64(), pa.string(), pa.bool_(), pa.int64(), pa.int64(), pa.float64()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], [ROW, "label", "base", "start", "end", "score"])
+
+    return run
+
+
 def scan(docs: DataFrame, text: str = "text", ident: str = "doc_id", share: float = SHARE) -> tuple[DataFrame, DataFrame]:
     """(documents: _row, _id, n_words; spans: _row, label, base, start, end, score).
 
@@ -75,16 +119,19 @@ def scan(docs: DataFrame, text: str = "text", ident: str = "doc_id", share: floa
     words = settled(map_arrow(docs.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(text).alias("text")), _pairs(),
                               f"{ROW} long, _id {kind}, n_words long, _hits array<struct<at: bigint, pair: string>>"), "license-words")
     votes = words.select(ROW, F.inline("_hits")).join(template_pairs(docs.sparkSession), F.col("pair") == F.col("tpair")).withColumn("diagonal", F.col("at") - F.col("tat"))
-    lines = votes.groupBy(ROW, "template", "label", "base", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("start"), (F.max("at") + 2).alias("end"))
+    lines = votes.groupBy(ROW, "template", "label", "base", "pairs", "diagonal").agg(F.count("*").alias("votes"), F.min("at").alias("start"), (F.max("at") + 2).alias("end"), F.collect_list(F.struct("at", "tat")).alias("hits"))
     exact = lines.where("base and votes = pairs")
     # Further templates: diagonals next to each other, whose places are near, are one span.
     near = W.partitionBy(ROW, "template").orderBy("diagonal")
     apart = (F.col("diagonal") - F.lag("diagonal").over(near) > GAP) | (F.col("start") - F.lag("end").over(near) > GAP)
     merged = lines.where("not base").withColumn("_new", F.coalesce(apart, F.lit(True)).cast("int")).withColumn("_span", F.sum("_new").over(near))
-    fuzzy = merged.groupBy(ROW, "template", "label", "base", "pairs", "_span").agg(F.sum("votes").alias("votes"), F.min("start").alias("start"), F.max("end").alias("end"))
-    fuzzy = fuzzy.where((F.col("votes") >= share * F.col("pairs")) & (F.col("end") - F.col("start") <= 2 * (F.col("pairs") + 1)))
-    cols = [ROW, "label", "base", "start", "end", F.least(F.lit(1.0), F.col("votes") / F.col("pairs")).alias("score")]
-    return words.select(ROW, "_id", "n_words"), exact.select(*cols).union(fuzzy.select(*cols))
+    spans = merged.groupBy(ROW, "template", "label", "pairs", "_span").agg(F.flatten(F.collect_list("hits")).alias("hits"))
+    # A span with too few places of the template cannot hold a finding.
+    spans = spans.where(F.size(F.array_distinct(F.transform("hits", lambda h: h["tat"]))) >= share * F.col("pairs"))
+    fuzzy = map_arrow(spans.select(ROW, "label", "pairs", "hits"), _verify(share), f"{ROW} long, label string, base boolean, start long, end long, score double")
+    cols = [ROW, "label", "base", "start", "end"]
+    exact = exact.select(*cols, F.lit(1.0).alias("score"))
+    return words.select(ROW, "_id", "n_words"), exact.union(fuzzy.select(*cols, "score"))
 
 
 def scan_documents(docs: DataFrame, **options) -> DataFrame:

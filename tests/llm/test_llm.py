@@ -267,3 +267,12 @@ def test_quality_rules_reject_a_deviation_in_one_feature(spark):
     got = verdicts(spark, [(t, "en", "s") for t in texts[:60] + texts[63:]] + [(t, "en", "s") for t in (spaced, stutter, marked)])
     assert [got[i]["kept"] for i in (67, 68, 69)] == [False] * 3 and not any(got[i]["base_failed"] for i in (67, 68, 69))
     assert sum(got[i]["kept"] for i in range(67)) >= 65
+
+
+def test_license_spans_are_compared_with_the_template(spark):
+    notice = "Licensed under the Apache License, Version 2.0"
+    rows = [(1, "4.0 4.0 4.0 4.0 4.0 4.0"), (2, "2.0 " * 6), (3, notice + " 2.0" * 12), (4, notice + "\n" + notice), (5, "licensed under the old apache license version 2 0"),
+            (6, "license version 2 0 the apache license licensed under the"), (7, "x " * 50 + notice)]
+    got = {r["_id"]: r for r in license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: r["labels"] for i, r in got.items()} == {1: "", 2: "", 3: "apache-2.0", 4: "apache-2.0", 5: "apache-2.0", 6: "", 7: "apache-2.0"}
+    assert license_scan.verified([(i + 8 * k, i) for k in range(2) for i in range(7)], 7, 5.6) == [(7, 0, 8), (7, 8, 16)]
