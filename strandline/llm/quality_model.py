@@ -1,7 +1,8 @@
 """Quality classifier: random-indexing word vectors pooled per document and a two-layer network.
 
-A word is a bucket of its hash. Every bucket has a fixed sparse ternary index vector; its word vector
-is the sum of the index vectors that stand next to it in the training texts. A document is the mean
+A word is a bucket of the hash of the whole word. Every bucket has a fixed sparse ternary index vector;
+its word vector is the sum of the index vectors that stand next to it in all training texts, labelled
+or not, summed by Spark into a table of fixed size. A document is the mean
 of its word vectors, beside the mean of its own index vectors. A two-layer network learns from a
 bounded sample of labelled rows, and a temperature fitted on rows set apart calibrates its output.
 """
@@ -17,10 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandline.llm.common import map_arrow
+from strandline.session import settled
 
 BUCKETS, DIM, HIDDEN = 16_384, 48, 32
 #: About so many labelled rows are learnt from.
 SAMPLE = 4000
+#: Parts the table of context vectors is summed in, and tasks whose sums meet in the first step.
+BLOCKS, FAN = 32, 16
 PIECE = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -39,7 +43,7 @@ def pieces(text: str) -> np.ndarray:
             found.append("\x00again")
         elif len(p) > 1 and p.isupper():
             found.append("\x00upper")
-        found.append(p if len(p) < 6 else p[-4:])
+        found.append(p)
         last = p
     return np.fromiter((zlib.crc32(x.encode("utf-8", "surrogatepass")) % BUCKETS for x in found), np.int64, len(found))
 
@@ -51,16 +55,51 @@ def pooled(ids: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     return np.concatenate([vectors[ids].mean(0), [np.log1p(len(ids)) / 8, len(seen) / (len(ids) + 10)]]).astype(np.float32)
 
 
-def fit(texts: list[str], labels: list[int], seed: int = 5) -> dict:
-    """Word vectors, network and temperature; without both labels the score is the share of label 1 (0.5 without rows)."""
+def _neighbours(batches):
+    """Sums of the index vectors beside each bucket over the texts of a task: (block, int64 table as bytes)."""
+    index = index_vectors()
+    at = np.argsort(index == 0, axis=1, kind="stable")[:, :4]
+    sign = np.take_along_axis(index, at, 1)
+    table = np.zeros(BUCKETS * DIM, np.int64)
+    for batch in batches:
+        ids = [pieces(t or "") for t in batch.column("text").to_pylist()]
+        left = np.concatenate([np.zeros(0, np.int64), *[x[:-1] for x in ids]])
+        right = np.concatenate([np.zeros(0, np.int64), *[x[1:] for x in ids]])
+        word, beside = np.concatenate([left, right]), np.concatenate([right, left])
+        for k in range(4):
+            table += np.rint(np.bincount(word * DIM + at[beside, k], sign[beside, k], len(table))).astype(np.int64)
+    parts = table.reshape(BLOCKS, -1)
+    used = np.flatnonzero(parts.any(1))
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array([parts[i].tobytes() for i in used], pa.binary())], ["block", "sums"])
+
+
+def _add(table: pa.Table) -> pa.Table:
+    total = np.zeros(BUCKETS * DIM // BLOCKS, np.int64)
+    for part in table.column("sums"):
+        total += np.frombuffer(part.as_buffer(), np.int64)
+    return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int64()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+
+def context_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
+    """BUCKETS x DIM sums of the index vectors beside each bucket over all rows of docs.
+
+    Tasks send sums of whole numbers, added in two steps, so the result does not depend on how rows are dealt.
+    """
+    sums = map_arrow(docs.select(F.col(text).alias("text")), _neighbours, "block long, sums binary")
+    kind = "block long, sums binary"
+    some = sums.withColumn("part", F.floor(F.spark_partition_id() / FAN)).groupBy("block", "part").applyInArrow(_add, kind)
+    whole = settled(some.groupBy("block").applyInArrow(_add, kind), "context")
+    out = np.zeros((BLOCKS, BUCKETS * DIM // BLOCKS), np.int64)
+    for r in whole.collect():
+        out[r["block"]] = np.frombuffer(r["sums"], np.int64)
+    return out.reshape(BUCKETS, DIM)
+
+
+def fit(texts: list[str], labels: list[int], sums: np.ndarray, seed: int = 5) -> dict:
+    """Network and temperature on word vectors from sums; without both labels the score is the share of label 1 (0.5 without rows)."""
     index = index_vectors()
-    context = np.zeros((BUCKETS, DIM), np.float32)
     ids = [pieces(t) for t in texts]
-    for x in ids:
-        if len(x) > 1:
-            np.add.at(context, x[1:], index[x[:-1]])
-            np.add.at(context, x[:-1], index[x[1:]])
-    context /= np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+    context = (sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-6)).astype(np.float32)
     vectors = np.concatenate([context, index], 1)
     y = np.array(labels, np.float64)
     if len(y) < 10 or y.min() == y.max():
@@ -98,16 +137,19 @@ def score(model: dict, text: str) -> float:
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: str, sample: int = SAMPLE, text: str = "text", ident: str = "doc_id") -> dict:
-    """Model from about sample labelled rows (the least hashes of their ids) among those where usable holds.
+    """Model from the rows where usable (over _id) holds: word vectors from all of them, the network and
+    the temperature from about sample labelled ones (the least hashes of their ids).
 
-    The sample is bounded, its texts are whole. Rows with null labels or ids are left out.
+    The sample is bounded, its texts are whole. Rows with null ids are left out, those with null labels
+    are only in the word vectors.
     """
     ready = labels.where("quality is not null").select(F.col(ident).alias("_id"), F.col("quality").alias("_y")).where(usable)
     count = ready.count()
     share = min(1.0, sample / max(count, 1))
     picked = ready.where(F.pmod(F.xxhash64(F.col("_id"), F.lit(3)), F.lit(1_000_000)) < share * 1_000_000)
     rows = docs.select(F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_t")).join(picked, "_id").orderBy("_id").collect()
-    return fit([r["_t"] for r in rows], [int(r["_y"]) for r in rows])
+    training = docs.select(F.col(ident).alias("_id"), F.col(text).alias("_t")).where("_id is not null").where(usable)
+    return fit([r["_t"] for r in rows], [int(r["_y"]) for r in rows], context_vectors(training, "_t"))
 
 
 def scores(docs: DataFrame, model: dict, text: str = "text", ident: str = "doc_id") -> DataFrame:

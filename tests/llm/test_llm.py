@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import dart_minhash, exact_dedup, html_text, katz, license_scan, mixing, packing, quality_rules, warc
+from strandline.llm import dart_minhash, exact_dedup, html_text, katz, license_scan, mixing, packing, quality_model, quality_rules, warc
 from strandline.llm.common import training_row
 
 KIND = "doc_id long, text string, lang string, source string, n_chars long, _row long, _best string"
@@ -276,3 +276,21 @@ def test_license_spans_are_compared_with_the_template(spark):
     got = {r["_id"]: r for r in license_scan.scan_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {i: r["labels"] for i, r in got.items()} == {1: "", 2: "", 3: "apache-2.0", 4: "apache-2.0", 5: "apache-2.0", 6: "", 7: "apache-2.0"}
     assert license_scan.verified([(i + 8 * k, i) for k in range(2) for i in range(7)], 7, 5.6) == [(7, 0, 8), (7, 8, 16)]
+
+
+def test_word_vectors_come_from_all_training_rows(spark):
+    import numpy as np
+
+    texts = ["good words here here", "education position", None, "x", "unlabelled fraction stands alone"] * 3
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    index, want = quality_model.index_vectors(), np.zeros((quality_model.BUCKETS, quality_model.DIM))
+    for t in texts[:-1]:
+        ids = quality_model.pieces(t or "")
+        for a, b in zip(ids, ids[1:]):
+            want[a] += index[b]
+            want[b] += index[a]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    assert (quality_model.context_vectors(df.where("doc_id <> 14")) == want).all()
+    model = quality_model.train(df, labels, "_id <> 14")
+    assert np.allclose(model["vectors"][:, : quality_model.DIM], want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6), atol=1e-6)
+    assert len(set(map(int, quality_model.pieces("education position fraction")))) == 3
