@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from strandline.llm.common import ROW, keyed
 from strandline.session import settled
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -127,15 +128,15 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, iden
     of its own and comes last, a null or empty array is the null source. A null text has size 0.
     Documents of size 0 are taken as often as their hash says, which moves no tokens. The whole
     documents nearest to the flow are taken, so a source misses its target by half a document per
-    pattern and round at most. Ties of the hash are broken by id and text; equal rows are
-    interchangeable. Empty table: no rows.
+    pattern and round at most. The order is a hash of id and text, and among rows equal in both a hash
+    of their row identity, so a group of repeated rows is split at the cut. Empty table: no rows.
     """
     names = F.array(F.col("source")) if sources is None else sources
     pattern = F.when(names.isNull() | (F.size(names) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(names)))
-    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(ident).cast("string"), F.lit("")), F.col(ident).isNull())
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), pattern.alias("_pattern"), word_count(F.col(text)).alias("_size"),
-                         key.alias("_key"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("_tie"))
-    light = settled(packed.select("_pattern", "_size", "_key", "_tie"), "sizes")
+    key = F.xxhash64(F.lit(seed), F.coalesce(F.col(ident).cast("string"), F.lit("")), F.col(ident).isNull(), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
+    whole = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), pattern.alias("_pattern"), word_count(F.col(text)).alias("_size"), key.alias("_key")))
+    packed = whole.withColumn("_copy", F.xxhash64(ROW))
+    light = packed.select("_pattern", "_size", "_key", "_copy")
     flows, stats = plan(light, cap, share, weights)
     spark = docs.sparkSession
     rows = []
@@ -145,39 +146,64 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, iden
         rows.append((p, int(full), int(part), int(size), float(target)))
     kind = "_pattern array<string>, _full long, _part long, _source_size long, _target double"
     flow = settled(spark.createDataFrame(rows, kind), "flow")
-    cut = _cuts(light.select("_pattern", "_size", "_key", "_tie"), flow)
+    cut = _cuts(light, flow)
     out = packed.join(cut, F.col("_pattern").eqNullSafe(F.col("_cp"))).drop("_cp")
-    before = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & (F.col("_tie") <= F.col("_cut_tie")))
+    before = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & ((F.col("_copy") < F.col("_cut_from")) | F.coalesce(F.col("_copy") <= F.col("_cut_copy"), F.lit(False))))
     times = F.col("_full") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
     return out.select("_doc.*", "_size", F.col("_pattern").alias("_sources"), "_source_size", "_target", times.cast("long").alias("_times"))
 
 
-def _cuts(light: DataFrame, flow: DataFrame) -> DataFrame:
-    """flow by pattern (_cp) with the last (_cut_key, _cut_tie) that the partial round still takes.
+def _narrowed(rows: DataFrame, state: DataFrame, column: str, on=None) -> DataFrame:
+    """state with _lo, the range of 2^-24 of the hash column in which _need is reached, and the _need that is left there.
 
-    Sums over ranges of the hash narrow the place down level by level, each a pre-aggregated count of
-    at most BUCKETS ranges a pattern; only the documents of one range of 2^-24 of a pattern are ordered one by one.
+    rows of a pattern that meet the condition on are summed by ranges, level by level, each a
+    pre-aggregated sum of at most BUCKETS ranges a pattern.
     """
-    bits = BUCKETS.bit_length() - 1
-    state = flow.select(F.col("_pattern").alias("_cp"), "_full", "_part", "_source_size", "_target", F.lit(0).cast("long").alias("_lo"), F.col("_part").alias("_need"))
-    unsigned = F.shiftrightunsigned(F.col("_key").bitwiseXOR(F.lit(-(2**63))), 1)
-    rows = light.select("_pattern", "_size", "_key", "_tie", unsigned.alias("_pos"))
-    shift = 63
+    bits, shift = BUCKETS.bit_length() - 1, 63
+    state = state.withColumn("_lo", F.lit(0).cast("long"))
+    same = F.col("_pattern").eqNullSafe(F.col("_cp"))
+    same = same if on is None else same & on
     for _ in range(2):
         shift -= bits
-        near = rows.join(state.where("_need > 0"), F.col("_pattern").eqNullSafe(F.col("_cp")) & (F.shiftright(F.col("_pos"), shift + bits) == F.col("_lo")))
-        sums = near.groupBy("_cp", F.shiftright(F.col("_pos"), shift).alias("_b")).agg(F.sum("_size").alias("_s"), F.first("_need").alias("_need"))
-        run = F.sum("_s").over(W.partitionBy("_cp").orderBy("_b"))
-        first = sums.withColumn("_run", run).where("_run >= _need").groupBy("_cp").agg(F.min_by(F.struct("_b", (F.col("_need") - F.col("_run") + F.col("_s")).alias("_left")), "_b").alias("_at")).withColumnRenamed("_cp", "_np")
-        state = settled(
-            state.join(first, F.col("_cp").eqNullSafe(F.col("_np")), "left")
-            .withColumn("_lo", F.coalesce("_at._b", "_lo")).withColumn("_need", F.coalesce("_at._left", "_need")).drop("_at", "_np"), "cuts")
-    last = rows.join(state.where("_need > 0"), F.col("_pattern").eqNullSafe(F.col("_cp")) & (F.shiftright(F.col("_pos"), shift) == F.col("_lo")))
-    run = F.sum("_size").over(W.partitionBy("_cp").orderBy("_key", "_tie").rowsBetween(W.unboundedPreceding, 0))
-    taken = last.withColumn("_run", run).where("_run - _size / 2.0 <= _need").groupBy("_cp").agg(F.max(F.struct("_key", "_tie")).alias("_last")).withColumnRenamed("_cp", "_np")
+        near = rows.join(state.where("_need > 0"), same & (F.shiftright(_place(column), shift + bits) == F.col("_lo")))
+        sums = near.groupBy("_cp", F.shiftright(_place(column), shift).alias("_b")).agg(F.sum("_size").alias("_s"), F.first("_need").alias("_need"))
+        state = settled(_reached(state, sums, "_b", "_lo"), "cuts")
+    return state
+
+
+def _place(column: str):
+    """Place of a hash among 2^63, in its order."""
+    return F.shiftrightunsigned(F.col(column).bitwiseXOR(F.lit(-(2**63))), 1)
+
+
+def _reached(state: DataFrame, sums: DataFrame, place: str, to: str) -> DataFrame:
+    """state with the first place (in column to) at which the running sum of _s reaches _need, and what is needed of that place."""
+    run = F.sum("_s").over(W.partitionBy("_cp").orderBy(place))
+    first = sums.withColumn("_run", run).where("_run >= _need").groupBy("_cp").agg(F.min_by(F.struct(place, (F.col("_need") - F.col("_run") + F.col("_s")).alias("_left")), place).alias("_at")).withColumnRenamed("_cp", "_np")
+    return (state.join(first, F.col("_cp").eqNullSafe(F.col("_np")), "left")
+            .withColumn(to, F.coalesce(f"_at.{place}", to)).withColumn("_need", F.coalesce("_at._left", "_need")).drop("_at", "_np"))
+
+
+def _cuts(light: DataFrame, flow: DataFrame) -> DataFrame:
+    """flow by pattern (_cp) with the key (_cut_key) at which the partial round stops, and the place among its rows:
+    those with _copy below _cut_from or up to _cut_copy are taken.
+
+    The place is narrowed down over the keys, then over the rows of one key, so neither many keys nor
+    many rows of one key are ordered one by one: only those of a range of 2^-24 are.
+    """
+    level = 2 * (BUCKETS.bit_length() - 1)
+    state = flow.select(F.col("_pattern").alias("_cp"), "_full", "_part", "_source_size", "_target", F.col("_part").alias("_need"))
+    state = _narrowed(light, state, "_key").withColumn("_cut_key", F.lit(None).cast("long"))
+    same = F.col("_pattern").eqNullSafe(F.col("_cp"))
+    near = light.join(state.where("_need > 0"), same & (F.shiftright(_place("_key"), 63 - level) == F.col("_lo")))
+    keys = near.groupBy("_cp", "_key").agg(F.sum("_size").alias("_s"), F.first("_need").alias("_need"))
+    state = settled(_reached(state, keys, "_key", "_cut_key"), "cuts")
+    one = F.col("_key") == F.col("_cut_key")
+    state = _narrowed(light, state, "_copy", one)
+    last = light.join(state.where("_need > 0"), same & one & (F.shiftright(_place("_copy"), 63 - level) == F.col("_lo")))
+    run = F.sum("_size").over(W.partitionBy("_cp").orderBy("_copy").rowsBetween(W.unboundedPreceding, 0))
+    taken = last.withColumn("_run", run).where("_run - _size / 2.0 <= _need").groupBy("_cp").agg(F.max("_copy").alias("_last")).withColumnRenamed("_cp", "_np")
     # Where not even the first document of the range fits, all of the ranges before it are taken.
-    start = F.shiftleft(F.col("_lo"), shift + 1).bitwiseXOR(F.lit(-(2**63)))
+    start = F.shiftleft(F.col("_lo"), 63 - level + 1).bitwiseXOR(F.lit(-(2**63)))
     return state.join(taken, F.col("_cp").eqNullSafe(F.col("_np")), "left").select(
-        "_cp", "_full", "_source_size", "_target",
-        F.when(F.col("_part") == 0, F.lit(None)).otherwise(F.coalesce("_last._key", start - 1)).cast("long").alias("_cut_key"),
-        F.coalesce("_last._tie", F.lit(2**63 - 1)).cast("long").alias("_cut_tie"))
+        "_cp", "_full", "_source_size", "_target", F.when(F.col("_part") > 0, F.col("_cut_key")).alias("_cut_key"), start.alias("_cut_from"), F.col("_last").alias("_cut_copy"))

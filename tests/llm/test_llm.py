@@ -294,3 +294,12 @@ def test_word_vectors_come_from_all_training_rows(spark):
     model = quality_model.train(df, labels, "_id <> 14")
     assert np.allclose(model["vectors"][:, : quality_model.DIM], want / np.maximum(np.linalg.norm(want, axis=1, keepdims=True), 1e-6), atol=1e-6)
     assert len(set(map(int, quality_model.pieces("education position fraction")))) == 3
+
+
+def test_mixing_splits_repeated_rows_at_the_cut(spark):
+    rows = [(None, "one two three four", "a")] * 700 + [(5, "one two", "b")] * 300 + [(i, "a b c", "b") for i in range(100, 200)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert len(got) == len(rows)
+    for source in "ab":
+        own = [r for r in got if r["source"] == source]
+        assert abs(sum(r["_size"] * r["_times"] for r in own) - own[0]["_target"]) <= 2.5
