@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from strandline.llm import dart_minhash, exact_dedup, html_text, katz, license_scan, merkle, mixing, packing, quality_model, quality_rules, spelling, warc
+from strandline.llm import dart_minhash, exact_dedup, html_text, katz, license_scan, merkle, mixing, packing, quality_model, quality_rules, set_join, spelling, warc
 from strandline.llm.common import training_row
 
 
@@ -74,6 +74,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("_id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_set_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return set_join.jaccard_components(_table(spark, sf_dir, "documents")).withColumnRenamed("_id", "doc_id")
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_license_scan": op2_license_scan,
@@ -87,6 +91,7 @@ QUERIES = {
     "op10_html_text": op10_html_text,
     "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
+    "op13_set_join": op13_set_join,
     "pipeline": corpus_pipeline.run,
 }
 
