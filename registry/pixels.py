@@ -58,6 +58,13 @@ def _(t):
     return t.grid().select("scene_id", "row", "col", sp.encode_floor("v").alias("e"))
 
 
+@query("b4_with_voids", """select scene_id, "row", col, case when col % 7 > 1 then trunc(v * 127 + 128)::int end e from grid""")
+def _(t):
+    """Void pixels as NULL and as NaN."""
+    v = F.when(F.col("col") % 7 == 0, F.lit(float("nan"))).when(F.col("col") % 7 > 1, F.col("v"))
+    return t.grid().select("scene_id", "row", "col", sp.encode_trunc(v).alias("e"))
+
+
 @query("b4_encode_trunc", """select scene_id, "row", col, trunc(v * 127 + 128)::int e from grid""")
 def _(t):
     return t.grid().select("scene_id", "row", "col", sp.encode_trunc("v").alias("e"))

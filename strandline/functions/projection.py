@@ -28,6 +28,19 @@ UTM_ALPHA = (
     61 * _N**3 / 240 - 103 * _N**4 / 140,
     49561 * _N**4 / 161280,
 )
+# The inverse series: of the meridian arc, and of geographic from conformal latitude.
+UTM_BETA = (
+    _N / 2 - 2 * _N**2 / 3 + 37 * _N**3 / 96 - _N**4 / 360,
+    _N**2 / 48 + _N**3 / 15 - 437 * _N**4 / 1440,
+    17 * _N**3 / 480 - 37 * _N**4 / 840,
+    4397 * _N**4 / 161280,
+)
+UTM_DELTA = (
+    2 * _N - 2 * _N**2 / 3 - 2 * _N**3 + 116 * _N**4 / 45,
+    7 * _N**2 / 3 - 8 * _N**3 / 5 - 227 * _N**4 / 45,
+    56 * _N**3 / 15 - 136 * _N**4 / 35,
+    4279 * _N**4 / 630,
+)
 UTM_ECC = math.sqrt(WGS84_F * (2 - WGS84_F))
 STEREO_SCALE = SPHERE_R * (1 + math.sin(math.radians(STEREO_LAT_TS)))
 
@@ -45,6 +58,33 @@ def utm_xy(lon: Column | str, lat: Column | str, lon0: float = UTM_LON0) -> tupl
     return UTM_E0 + UTM_K0 * UTM_A * east, UTM_K0 * UTM_A * north
 
 
+def utm_lonlat(x: Column | str, y: Column | str, lon0: Column | float = UTM_LON0) -> tuple[Column, Column]:
+    """Inverse of utm_xy, in degrees."""
+    xi, eta = col(y) / (UTM_K0 * UTM_A), (col(x) - UTM_E0) / (UTM_K0 * UTM_A)
+    north, east = xi, eta
+    for j, b in enumerate(UTM_BETA, start=1):
+        north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
+        east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
+    chi = F.asin(F.sin(north) / F.cosh(east))
+    phi = chi
+    for j, d in enumerate(UTM_DELTA, start=1):
+        phi = phi + d * F.sin(2 * j * chi)
+    return lon0 + F.degrees(F.atan2(F.sinh(east), F.cos(north))), F.degrees(phi)
+
+
+def affine_xy(row: Column | str, column: Column | str, affine: Column) -> tuple[Column, Column]:
+    """World coordinates of a pixel centre; affine is a struct (a, b, c, d, e, f) with x = a col + b row + c, y = d col + e row + f at pixel corners."""
+    i, j = col(column) + 0.5, col(row) + 0.5
+    return affine["a"] * i + affine["b"] * j + affine["c"], affine["d"] * i + affine["e"] * j + affine["f"]
+
+
+def affine_pixel(x: Column, y: Column, affine: Column) -> tuple[Column, Column]:
+    """Fractional (row, col) of a place, whole numbers at pixel centres; inverse of affine_xy."""
+    det = affine["a"] * affine["e"] - affine["b"] * affine["d"]
+    dx, dy = x - affine["c"], y - affine["f"]
+    return (affine["a"] * dy - affine["d"] * dx) / det - 0.5, (affine["e"] * dx - affine["b"] * dy) / det - 0.5
+
+
 def stereo_xy(lon: Column | str, lat: Column | str) -> tuple[Column, Column]:
     """Geographic degrees to the climate grid (north polar stereographic, sphere)."""
     lam = F.radians(col(lon) - STEREO_LON0)

@@ -28,8 +28,10 @@ def encode_floor(x: Column | str) -> Column:
 
 
 def encode_trunc(x: Column | str) -> Column:
-    """Index to 1..255, one step is 1/127, zero sits at 128."""
-    return (col(x) * 127 + 128).cast("int")
+    """Index to 1..255, one step is 1/127, zero sits at 128. NULL and NaN give NULL."""
+    x = col(x)
+    valid = x.isNotNull() & ~F.isnan(x.cast("double"))
+    return F.when(valid, (x * 127 + 128).cast("int"))
 
 
 def decode_floor(t: Column | str) -> Column:

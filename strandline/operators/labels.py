@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strandline.functions.projection import affine_pixel, affine_xy, utm_lonlat
 from strandline.operators.blocks import BLOCK, along_row, with_halo
 from strandline.operators.spatial import in_polygons
 
@@ -139,6 +140,75 @@ def upsample_nearest(source: DataFrame, value: str, factor: int) -> DataFrame:
     )
 
 
+#: Side of the target tiles of a reprojection.
+WARP_TILE = 64
+
+
+def _warp_position() -> tuple[Column, Column]:
+    """Fractional source (row, col) under the centre of target pixel (row, col) of its frame."""
+    x, y = affine_xy("row", "col", F.col("target"))
+    lon, lat = utm_lonlat(x, y, F.col("lon0"))
+    return affine_pixel(F.when(F.col("geographic"), lon).otherwise(x), F.when(F.col("geographic"), lat).otherwise(y), F.col("source"))
+
+
+def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = True, tile: int = WARP_TILE) -> DataFrame:
+    """(scene_id, row, col, value) on the target grid of each scene, for every target pixel.
+
+    source: (scene_id, row, col, value) label planes. frames, one row a scene: scene_id, target and source
+    (structs a..f, see affine_xy), nrows, ncols of the target, source_rows, source_cols, lon0 (central
+    meridian of the target's UTM zone), geographic (the source is in degrees; else in the target's zone).
+
+    Each target pixel is mapped to its place in the source. smooth takes 4 x 4 pixels around it by
+    cubic B-spline, normalised over those that exist; otherwise the pixel underneath counts. Places
+    outside the source, and places without any pixel that counts, are NULL.
+
+    Target pixels are never shuffled: a tile of them knows the source box its places lie in (as wide as
+    the mapping makes it), gets that box as one array, and is unfolded afterwards.
+    """
+    steps = lambda size: F.explode(F.sequence(F.lit(0), F.expr(f"({size} - 1) div {tile}").cast("int")))
+    tiles = frames.where("nrows > 0 and ncols > 0").withColumn("_tr", steps("nrows")).withColumn("_tc", steps("ncols"))
+    inside = lambda axis, size: F.explode(F.sequence(F.col(axis) * tile, (F.least((F.col(axis) + 1) * tile, F.col(size)) - 1).cast("int")))
+    unfold = lambda df: df.withColumn("row", inside("_tr", "nrows")).withColumn("col", inside("_tc", "ncols"))
+    v, u = _warp_position()
+    reach = MAX_KERNEL - 1 if smooth else 0
+    first = lambda p: F.floor(p if smooth else p + 0.5).cast("int")
+    span = unfold(tiles).groupBy("scene_id", "_tr", "_tc").agg(
+        F.min(first(v)).alias("_r0"), F.max(first(v)).alias("_r1"), F.min(first(u)).alias("_c0"), F.max(first(u)).alias("_c1"),
+        F.first("source_rows").alias("_h"), F.first("source_cols").alias("_w"),
+    )
+    low = lambda c: F.greatest(F.col(c) - reach, F.lit(0))
+    high = lambda c, size: F.least(F.col(c) + reach + int(smooth), F.col(size) - 1).cast("int")
+    boxes = span.select("scene_id", "_tr", "_tc", low("_r0").alias("_r0"), high("_r1", "_h").alias("_r1"), low("_c0").alias("_c0"), high("_c1", "_w").alias("_c1")).where("_r0 <= _r1 and _c0 <= _c1")
+    cells = boxes.withColumn("row", F.explode(F.sequence("_r0", "_r1"))).withColumn("col", F.explode(F.sequence("_c0", "_c1")))
+    planes = source.select("scene_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias("_v"))
+    filled = cells.join(planes, ["scene_id", "row", "col"], "left")
+    patch = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "_v"))), lambda x: x["_v"]).alias("_patch")
+    patches = filled.groupBy("scene_id", "_tr", "_tc").agg(patch, *[F.first(c).alias(c) for c in ("_r0", "_r1", "_c0", "_c1")])
+    whole = unfold(tiles.join(patches, ["scene_id", "_tr", "_tc"], "left")).select("scene_id", "row", "col", v.alias("_y"), u.alias("_x"), "source_rows", "source_cols", "_patch", "_r0", "_r1", "_c0", "_c1")
+
+    def at(r: Column, c: Column) -> Column:
+        within = r.between(F.col("_r0"), F.col("_r1")) & c.between(F.col("_c0"), F.col("_c1"))
+        return F.when(within, F.get("_patch", (r - F.col("_r0")) * (F.col("_c1") - F.col("_c0") + 1) + c - F.col("_c0")))
+
+    ry, rx = F.floor(F.col("_y") + 0.5).cast("int"), F.floor(F.col("_x") + 0.5).cast("int")
+    covered = ry.between(F.lit(0), F.col("source_rows") - 1) & rx.between(F.lit(0), F.col("source_cols") - 1)
+    if not smooth:
+        return whole.select("scene_id", "row", "col", F.when(covered, at(ry, rx)).alias(value))
+    whole = whole.withColumn("_i", F.floor("_y").cast("int")).withColumn("_j", F.floor("_x").cast("int"))
+    wy, wx = (_spline_taps(F.col(p) - F.col(i)) for p, i in (("_y", "_i"), ("_x", "_j")))
+    taps = F.array(*[F.struct((wy[a] * wx[b]).alias("w"), at(F.col("_i") + a - 1, F.col("_j") + b - 1).alias("v")) for a in range(4) for b in range(4)])
+    known = whole.select("scene_id", "row", "col", covered.alias("_in"), F.filter(taps, lambda t: t["v"].isNotNull()).alias("_taps"))
+    add = lambda get: F.aggregate("_taps", F.lit(0.0), lambda s, t: s + get(t))
+    result = F.try_divide(add(lambda t: t["w"] * t["v"]), add(lambda t: t["w"]))
+    return known.select("scene_id", "row", "col", F.when(F.col("_in"), result).alias(value))
+
+
+def _spline_taps(t: Column) -> list[Column]:
+    """Cubic B-spline weights of the four pixels around a place t beyond the second one."""
+    s = 1 - t
+    return [s * s * s / 6, (4 - 6 * t * t + 3 * t * t * t) / 6, (4 - 6 * s * s + 3 * s * s * s) / 6, t * t * t / 6]
+
+
 def crop_to(pixels: DataFrame, image: DataFrame) -> DataFrame:
     """Pixels inside the extent of the image of the same scene."""
     ext = image.groupBy("scene_id").agg(

@@ -21,6 +21,14 @@ def labelled_images(
     return px.labelled_stack(bands, fine.withColumn("label", F.col("label").cast("int")), visible, nir)
 
 
+def reprojected_images(
+    bands: DataFrame, label: DataFrame, frames: DataFrame, visible: list[str], nir: str, smooth: bool = True
+) -> DataFrame:
+    """labelled_images for label planes on a grid and in a projection of their own (frames: see labels.reproject)."""
+    fine = lb.reproject(label, "label", frames, smooth)
+    return px.labelled_stack(bands, fine.withColumn("label", F.col("label").cast("int")), visible, nir)
+
+
 def labelled_tiles(images: DataFrame, rows: Column, cols: Column, side: int = ti.TILE, skip_void: bool = True) -> DataFrame:
     """Full tiles of labelled images with all eight copies of each pixel (scene_id, tile, copy, tile_row, tile_col, b1..b5).
 
