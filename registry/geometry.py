@@ -38,6 +38,23 @@ def _(t):
     return hits.select(F.col("l_transect_id").alias("transect_id"), F.round("x", 9).alias("x"), F.round("y", 9).alias("y")).distinct()
 
 
+# Upright segments along the same lines: one a supplier, and pieces that reach into or beyond them.
+UPRIGHT = """lhs as (select s_suppkey id, s_suppkey % 50 * 10.0::double x0, 0.0::double y0, s_suppkey % 50 * 10.0::double x1, 100.0::double y1 from supplier),
+    rhs as (select p_partkey id, p_partkey % 60 * 10.0::double x0, p_partkey % 13 * 10.0::double y0, p_partkey % 60 * 10.0::double x1, p_partkey % 13 * 10.0::double - 45 + p_partkey % 7 * 20 y1 from part)"""
+
+
+@query("c7_shared_pieces", f"""with {UPRIGHT} select l.id transect_id, r.id line_id, round(greatest(least(r.y0, r.y1), 0), 6) y0, round(least(greatest(r.y0, r.y1), 100), 6) y1
+    from lhs l join rhs r on l.x0 = r.x0 where greatest(least(r.y0, r.y1), 0) < least(greatest(r.y0, r.y1), 100)""")
+def _(t):
+    """Pieces that transects and lines share; a piece is given upwards."""
+    at = lambda c, n: (F.col(c) % n * 10.0).cast("double")
+    left = t.raw("supplier").select(F.col("s_suppkey").alias("id"), at("s_suppkey", 50).alias("x0"), F.lit(0.0).alias("y0"), at("s_suppkey", 50).alias("x1"), F.lit(100.0).alias("y1"))
+    low = at("p_partkey", 13)
+    right = t.raw("part").select(F.col("p_partkey").alias("id"), at("p_partkey", 60).alias("x0"), low.alias("y0"), at("p_partkey", 60).alias("x1"), (low - 45 + F.col("p_partkey") % 7 * 20).alias("y1"))
+    pieces = sl.segment_overlaps(left, right, CELL)
+    return pieces.select(F.col("l_id").alias("transect_id"), F.col("r_id").alias("line_id"), F.round("y0", 6).alias("y0"), F.round("y1", 6).alias("y1"))
+
+
 @query("g3_distinct_crossing_points", f"""with {SEGS}, {hits_sql("h", "ts")} select distinct x, y from h""")
 def _(t):
     return sl.crossing_points(coast(t, False), t.transects(), CELL)
@@ -124,14 +141,15 @@ def _(t):
     return found.join(inside, "event_id", "left_semi").select("event_id", "scene_id")
 
 
-@query("i8_clip_raster", f"""with rg as (select poly_id, seq, {ORIGIN_X}::double + (x + 162.75::double) * 2000 + 100 x, {ORIGIN_Y}::double + (y - 66.08::double) * 20000 - 400 y from ring where poly_id = 0),
-    edges as (select x x0, y y0, lead(x) over (order by seq) x1, lead(y) over (order by seq) y1 from rg qualify x1 is not null),
+@query("i8_clip_raster", f"""with rg as (select poly_id, seq, {ORIGIN_X}::double + (x + 162.75::double) * 2000 + 100 x, {ORIGIN_Y}::double + (y - 66.08::double) * 20000 - 400 y from ring),
+    edges as (select poly_id, x x0, y y0, lead(x) over w x1, lead(y) over w y1 from rg window w as (partition by poly_id order by seq) qualify x1 is not null),
     px as (select scene_id, "row", col, v, {ORIGIN_X}::double + (col + 0.5::double) * {PIXEL}::double x, {ORIGIN_Y}::double - ("row" + 0.5::double) * {PIXEL}::double y from grid)
-    select scene_id, "row", col, any_value(v) v from px, edges where (y0 > y) <> (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) group by 1, 2, 3 having count(*) % 2 = 1""")
+    select distinct scene_id, "row", col, v from (select scene_id, "row", col, poly_id, any_value(v) v from px, edges where (y0 > y) <> (y1 > y)
+      and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) group by 1, 2, 3, 4 having count(*) % 2 = 1)""")
 def _(t):
     from strandline.operators.labels import clip_pixels
 
-    ring = t.ring().where("poly_id = 0").select(
+    ring = t.ring().select(
         "poly_id", "seq", (F.lit(ORIGIN_X) + (F.col("x") + 162.75) * 2000 + 100).alias("x"), (F.lit(ORIGIN_Y) + (F.col("y") - 66.08) * 20000 - 400).alias("y"))
     x, y = pr.pixel_xy("row", "col", ORIGIN_X, ORIGIN_Y, PIXEL)
     return clip_pixels(t.grid().withColumn("x", x).withColumn("y", y), ring, strip=20.0).select("scene_id", "row", "col", "v")

@@ -8,46 +8,45 @@ from registry.tables import GRID_COLS, SCENE_ROWS  # noqa: F401
 from strandline.functions import names as nm
 from strandline.operators import labels as lb
 
-VALID = f"""{PIP_SQL}, inside as (select image_id, time_start, pixel_id, any_value("value") "value" from label_pixels, (select * from edges where poly_id = 2)
+VALID = f"""{PIP_SQL}, inside as (select poly_id, image_id, time_start, pixel_id, any_value("value") "value" from label_pixels, edges
       where time_start >= date '1996-01-01' and time_start < date '2001-01-01' and (y0 > lat) <> (y1 > lat) and lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0)
-      group by 1, 2, 3 having count(*) % 2 = 1),
-    valid as (select image_id, time_start, count(*) pixels, sum(("value" < 1)::int)::bigint nodata_count from inside group by 1, 2
-      having sum(("value" < 1)::int) < (select avg(c) from (select count(*) / 3.0::double c from inside group by image_id)))"""
+      group by 1, 2, 3, 4 having count(*) % 2 = 1),
+    valid as (select poly_id, image_id, time_start, count(*) pixels, sum(("value" < 1)::int)::bigint nodata_count from inside i group by 1, 2, 3
+      having sum(("value" < 1)::int) < (select avg(c) from (select count(*) / 3.0::double c from inside m where m.poly_id = i.poly_id group by image_id)))"""
 
 
 def valid(t):
-    ring = t.ring().where("poly_id = 2")
-    every = lb.valid_images(t.label_pixels(), "1996-01-01", "2001-01-01", ring, 1 << 60)
-    mean = every.agg(F.avg(F.col("pixels") / 3.0).alias("m"))
-    return every.where(F.col("nodata_count") < mean.scalar())
+    """Images with fewer void pixels in a region than a third of its pixels in an average image."""
+    every = lb.valid_images(t.label_pixels(), "1996-01-01", "2001-01-01", t.ring(), 1 << 60)
+    mean = every.groupBy("poly_id").agg(F.avg(F.col("pixels") / 3.0).alias("m"))
+    return every.join(mean, "poly_id").where(F.col("nodata_count") < F.col("m")).drop("m")
 
 
-@query("d8_valid_label_images", f"with {VALID} select image_id, pixels, nodata_count from valid")
+@query("d8_valid_label_images", f"with {VALID} select poly_id, image_id, pixels, nodata_count from valid")
 def _(t):
-    return valid(t).select("image_id", "pixels", "nodata_count")
+    return valid(t).select("poly_id", "image_id", "pixels", "nodata_count")
 
 
-@query("d8_nodata_limit", f"""with {PIP_SQL}, inside as (select image_id, pixel_id, any_value("value") "value" from label_pixels, (select * from edges where poly_id = 0)
+@query("d8_nodata_limit", f"""with {PIP_SQL}, inside as (select poly_id, image_id, pixel_id, any_value("value") "value" from label_pixels, edges
       where time_start >= date '1995-06-01' and time_start < date '2000-06-01' and (y0 > lat) <> (y1 > lat) and lon < x0 + (lat - y0) * (x1 - x0) / (y1 - y0)
-      group by 1, 2 having count(*) % 2 = 1)
-    select image_id, count(*) pixels, sum(("value" < 1)::int)::bigint nodata_count from inside group by 1 having sum(("value" < 1)::int) < 12""")
+      group by 1, 2, 3 having count(*) % 2 = 1)
+    select poly_id, image_id, count(*) pixels, sum(("value" < 1)::int)::bigint nodata_count from inside group by 1, 2 having sum(("value" < 1)::int) < 12""")
 def _(t):
-    ring = t.ring().where("poly_id = 0")
-    return lb.valid_images(t.label_pixels(), "1995-06-01", "2000-06-01", ring, 12).select("image_id", "pixels", "nodata_count")
+    return lb.valid_images(t.label_pixels(), "1995-06-01", "2000-06-01", t.ring(), 12).select("poly_id", "image_id", "pixels", "nodata_count")
 
 
-@query("d9_image_months", f"""with {VALID} select image_id, strftime(time_start, '%Y-%m') as "month", strftime(time_start, '%Y-%m-%d') as "day", (select count(*) from valid) images from valid""")
+@query("d9_image_months", f"""with {VALID} select distinct image_id, strftime(time_start, '%Y-%m') as "month", strftime(time_start, '%Y-%m-%d') as "day", (select count(distinct image_id) from valid) images from valid""")
 def _(t):
-    v = valid(t)
+    v = valid(t).select("image_id", "time_start").distinct()
     return lb.image_months(v).withColumn("images", v.agg(F.count("*").alias("n")).scalar())
 
 
-LABEL_LIST = f"""{VALID}, lab as (select 'data/labels/gsw_' || image_id || '.tif' label_path, (strptime(image_id || '_01', '%Y_%m_%d')::date + 14) label_date from valid)"""
+LABEL_LIST = f"""{VALID}, lab as (select 'data/labels/gsw_' || image_id || '.tif' label_path, (strptime(image_id || '_01', '%Y_%m_%d')::date + 14) label_date from (select distinct image_id from valid))"""
 
 
 def label_list(t):
     path = F.concat(F.lit("data/labels/gsw_"), F.col("image_id"), F.lit(".tif"))
-    return valid(t).select(path.alias("label")).withColumn("label_date", lb.label_date(nm.date_in_name("label")))
+    return valid(t).select("image_id").distinct().select(path.alias("label")).withColumn("label_date", lb.label_date(nm.date_in_name("label")))
 
 
 @query("c5_nearest_label", f"""with {LABEL_LIST}, days as (select distinct l_shipdate::date d from lineitem),

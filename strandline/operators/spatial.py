@@ -67,48 +67,81 @@ def _cell(v: Column, size: float) -> Column:
     return F.floor(v / size).cast("bigint")
 
 
-def _with_cells(df: DataFrame, lo_x: Column, hi_x: Column, lo_y: Column, hi_y: Column, size: float) -> DataFrame:
-    """One row for each cell the box touches, with the first cell of the box."""
-    return (
-        df.withColumn("_fx", _cell(lo_x, size)).withColumn("_fy", _cell(lo_y, size))
-        .withColumn("_cx", F.explode(F.sequence(F.col("_fx"), _cell(hi_x, size))))
-        .withColumn("_cy", F.explode(F.sequence(F.col("_fy"), _cell(hi_y, size))))
-    )
+#: Part of a cell by which walks are widened, so that rounding never loses a cell.
+PAD = 1e-6
 
 
 def _segment_cells(segs: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    a, b, c, d = (F.col(n) for n in ("x0", "x1", "y0", "y1"))
-    return _with_cells(
-        segs, F.least(a, b) - margin, F.greatest(a, b) + margin, F.least(c, d) - margin, F.greatest(c, d) + margin, size
-    )
+    """One row (_cx, _cy) for each cell that a segment passes, or comes closer to than margin.
+
+    The segment is walked column by column, each with the rows it passes there, so rows grow with its
+    length, not with its box.
+    """
+    pad = margin + PAD * size
+    x0, x1, y0, y1 = (F.col(c) for c in ("x0", "x1", "y0", "y1"))
+    low, high = F.least(x0, x1), F.greatest(x0, x1)
+    across = segs.withColumn("_cx", F.explode(F.sequence(_cell(low - pad, size), _cell(high + pad, size))))
+
+    def at(x: Column, otherwise: Column) -> Column:
+        """y of the segment at x, held to its ends; otherwise where it is vertical."""
+        t = F.try_divide(F.least(F.greatest(x, low), high) - x0, x1 - x0)
+        return F.coalesce(y0 + t * (y1 - y0), otherwise)
+
+    left, right = at(F.col("_cx") * size - pad, y0), at((F.col("_cx") + 1) * size + pad, y1)
+    return across.withColumn("_cy", F.explode(F.sequence(_cell(F.least(left, right) - pad, size), _cell(F.greatest(left, right) + pad, size))))
 
 
 def _prefixed(df: DataFrame, prefix: str) -> DataFrame:
     return df.select(*[F.col(c).alias(f"{prefix}{c}") for c in df.columns])
 
 
+def _meeting(left: DataFrame, right: DataFrame, cell: float) -> tuple[DataFrame, tuple[Column, ...]]:
+    """Pairs of segments that pass one cell, as l_<name> and r_<name>, and the terms ax, ay, bx, by, ox, oy of their lines."""
+    a, b = _prefixed(_segment_cells(left, cell), "l_"), _prefixed(_segment_cells(right, cell), "r_")
+    pairs = a.join(b, (F.col("l__cx") == F.col("r__cx")) & (F.col("l__cy") == F.col("r__cy")))
+    ax, ay = F.col("l_x1") - F.col("l_x0"), F.col("l_y1") - F.col("l_y0")
+    bx, by = F.col("r_x1") - F.col("r_x0"), F.col("r_y1") - F.col("r_y0")
+    return pairs, (ax, ay, bx, by, F.col("r_x0") - F.col("l_x0"), F.col("r_y0") - F.col("l_y0"))
+
+
+def _once(x: Column, y: Column, cell: float) -> Column:
+    """A pair that shares several cells counts in the one its result lies in."""
+    return (_cell(x, cell) == F.col("l__cx")) & (_cell(y, cell) == F.col("l__cy"))
+
+
+CELLS = [f"{p}{c}" for p in ("l_", "r_") for c in ("_cx", "_cy")]
+
+
 def segment_crossings(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
     """Pairs of crossing segments with the parameters t (left), u (right) and the point x, y.
 
-    End points count. Columns come back as l_<name> and r_<name>. cell should be near the
-    length of the longer segments.
+    End points count. Columns come back as l_<name> and r_<name>. Segments on one line have no
+    single point; see segment_overlaps. cell should be near the length of most segments.
     """
-    a, b = _prefixed(_segment_cells(left, cell), "l_"), _prefixed(_segment_cells(right, cell), "r_")
-    once = (F.col("l__cx") == F.greatest("l__fx", "r__fx")) & (F.col("l__cy") == F.greatest("l__fy", "r__fy"))
-    pairs = a.join(b, (F.col("l__cx") == F.col("r__cx")) & (F.col("l__cy") == F.col("r__cy")) & once)
-    ax, ay = F.col("l_x1") - F.col("l_x0"), F.col("l_y1") - F.col("l_y0")
-    bx, by = F.col("r_x1") - F.col("r_x0"), F.col("r_y1") - F.col("r_y0")
-    ox, oy = F.col("r_x0") - F.col("l_x0"), F.col("r_y0") - F.col("l_y0")
+    pairs, (ax, ay, bx, by, ox, oy) = _meeting(left, right, cell)
     det = ax * by - ay * bx
     hit = pairs.withColumn("t", F.try_divide(ox * by - oy * bx, det)).withColumn("u", F.try_divide(ox * ay - oy * ax, det))
     on_both = F.col("t").between(0, 1) & F.col("u").between(0, 1)
-    helpers = [f"{p}{c}" for p in ("l_", "r_") for c in ("_fx", "_fy", "_cx", "_cy")]
-    return (
-        hit.where(on_both)
-        .withColumn("x", F.col("l_x0") + F.col("t") * ax)
-        .withColumn("y", F.col("l_y0") + F.col("t") * ay)
-        .drop(*helpers)
-    )
+    placed = hit.where(on_both).withColumn("x", F.col("l_x0") + F.col("t") * ax).withColumn("y", F.col("l_y0") + F.col("t") * ay)
+    return placed.where(_once(F.col("x"), F.col("y"), cell)).drop(*CELLS)
+
+
+def segment_overlaps(left: DataFrame, right: DataFrame, cell: float) -> DataFrame:
+    """Pairs of segments on one line that share a piece: t0 < t1 along the left one, and its ends x0, y0, x1, y1.
+
+    Columns of the segments come back as l_<name> and r_<name>.
+    """
+    pairs, (ax, ay, bx, by, ox, oy) = _meeting(left, right, cell)
+    length = ax * ax + ay * ay
+    first = F.try_divide(ox * ax + oy * ay, length)
+    last = F.try_divide((ox + bx) * ax + (oy + by) * ay, length)
+    same = (length > 0) & (ax * by - ay * bx == 0) & (ax * oy - ay * ox == 0)
+    run = pairs.where(same).withColumn("t0", F.greatest(F.least(first, last), F.lit(0.0))).withColumn("t1", F.least(F.greatest(first, last), F.lit(1.0)))
+    run = run.where("t0 < t1")
+    middle = (F.col("t0") + F.col("t1")) / 2
+    run = run.where(_once(F.col("l_x0") + middle * ax, F.col("l_y0") + middle * ay, cell))
+    ends = [(F.col(f"l_{c}0") + F.col(t) * d).alias(f"{c}{i}") for i, t in ((0, "t0"), (1, "t1")) for c, d in (("x", ax), ("y", ay))]
+    return run.select(*[c for c in run.columns if c not in CELLS], *ends)
 
 
 def crossing_points(lines: DataFrame, transects: DataFrame, cell: float) -> DataFrame:
@@ -123,6 +156,15 @@ def crossing_points(lines: DataFrame, transects: DataFrame, cell: float) -> Data
     return hits.select(*[(F.round(c, POINT_DIGITS) + 0.0).alias(c) for c in ("x", "y")]).distinct()
 
 
+def shared_lines(lines: DataFrame, transects: DataFrame, cell: float) -> DataFrame:
+    """Distinct pieces (x0, y0, x1, y1) that a line and a transect have in common, from the lesser end to the greater."""
+    only = ["x0", "y0", "x1", "y1"]
+    found = segment_overlaps(transects.select(*only).distinct(), lines.select(*only).distinct(), cell)
+    end = lambda i: F.struct(*[(F.round(f"{c}{i}", POINT_DIGITS) + 0.0).alias(c) for c in ("x", "y")])
+    ends = found.select(F.least(end(0), end(1)).alias("a"), F.greatest(end(0), end(1)).alias("b")).distinct()
+    return ends.select(F.col("a.x").alias("x0"), F.col("a.y").alias("y0"), F.col("b.x").alias("x1"), F.col("b.y").alias("y1"))
+
+
 def segment_distance(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
     """Distance of a point from a segment."""
     dx, dy = x1 - x0, y1 - y0
@@ -141,7 +183,7 @@ def points_near(points: DataFrame, segs: DataFrame, cell: float, within: float =
     s = _segment_cells(segs, cell, within)
     d = segment_distance(*[F.col(c) for c in ("x", "y", "x0", "y0", "x1", "y1")])
     return (
-        p.join(s, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") < within).drop("_cx", "_cy", "_fx", "_fy")
+        p.join(s, ["_cx", "_cy"]).withColumn("distance", d).where(F.col("distance") < within).drop("_cx", "_cy")
     )
 
 
@@ -179,50 +221,85 @@ def ring_edges(rings: DataFrame, keys: list[str]) -> DataFrame:
     return segments(rings, keys)
 
 
-def in_polygons(points: DataFrame, key: str, rings: DataFrame, poly_key: str = "poly_id", strip: float = 0.01) -> DataFrame:
-    """(key, poly_key) for every point inside a polygon, by the even-odd rule over all its rings.
+def polygon_cover(rings: DataFrame, cell: float, poly_key: str = "poly_id") -> tuple[DataFrame, DataFrame]:
+    """Cells of polygons under the even-odd rule over all their rings: (border, inside).
 
-    Edges are listed by the horizontal strips they span; only those in the strip of a
-    point can be crossed by a ray from it, so points meet few edges. key is unique.
+    border (poly, _cx, _cy, _odd, x0, y0, x1, y1): one row for each edge in each cell an edge passes;
+    _odd tells whether the lower left corner of the cell is inside. inside (poly, _level, _cx, _cy): cells
+    without an edge that lie inside, in each row of cells joined to the largest aligned runs of 2^_level.
+    Both grow with the outline, not with the area.
     """
     keys = [poly_key] + (["ring"] if "ring" in rings.columns else [])
-    e = ring_edges(rings, keys)
-    first, last = _cell(F.least("y0", "y1"), strip), _cell(F.greatest("y0", "y1"), strip)
-    # Written once: its size after the strips are listed decides whether it is broadcast.
-    edges = settled(e.withColumn("_cy", F.explode(F.sequence(first, last))).select(poly_key, "_cy", "x0", "y0", "x1", "y1"), "edges")
-    p = points.select(key, "x", "y").withColumn("_cy", _cell(F.col("y"), strip))
-    y = F.col("y")
-    spans = (F.col("y0") > y) != (F.col("y1") > y)
+    edges = settled(_segment_cells(ring_edges(rings, keys).select(poly_key, "x0", "y0", "x1", "y1"), cell), "cover")
+    # Cuts of the lower side of a cell: their running number along the row is the parity of the corners.
+    y = F.col("_cy") * cell
     cut = F.col("x0") + F.try_divide((y - F.col("y0")) * (F.col("x1") - F.col("x0")), F.col("y1") - F.col("y0"))
-    hits = p.join(edges, "_cy").where(spans & (F.col("x") < cut))
-    return hits.groupBy(key, poly_key).agg(F.count("*").alias("n")).where("n % 2 = 1").select(key, poly_key)
+    here = ((F.col("y0") > y) != (F.col("y1") > y)) & (_cell(cut, cell) == F.col("_cx"))
+    cells = edges.groupBy(poly_key, "_cx", "_cy").agg(F.sum(F.coalesce(here, F.lit(False)).cast("long")).alias("_cuts"))
+    row = Window.partitionBy(poly_key, "_cy").orderBy("_cx")
+    upto = F.sum("_cuts").over(row.rowsBetween(Window.unboundedPreceding, 0))
+    cells = settled(cells.select(poly_key, "_cx", "_cy", ((upto - F.col("_cuts")) % 2 == 1).alias("_odd"), (upto % 2 == 1).alias("_after"), F.lead("_cx").over(row).alias("_next")), "cover-cells")
+    border = edges.join(cells.select(poly_key, "_cx", "_cy", "_odd"), [poly_key, "_cx", "_cy"])
+    runs = cells.where("_after and _next > _cx + 1").select(poly_key, "_cy", (F.col("_cx") + 1).alias("a"), F.col("_next").alias("b"))
+    # [a, b) as aligned runs: at most one before and one after the middle for each power of two.
+    up = lambda v, k: F.expr(f"shiftleft(shiftright({v} + shiftleft(1L, {k}) - 1, {k}), {k})")
+    down = lambda v, k: F.expr(f"shiftleft(shiftright({v}, {k}), {k})")
+    levels = runs.withColumn("_level", F.explode(F.sequence(F.lit(0), F.ceil(F.log2((F.col("b") - F.col("a")).cast("double") + 1)).cast("int"))))
+    la, lb_, ha, hb = up("a", "_level"), down("b", "_level"), up("a", "_level + 1"), down("b", "_level + 1")
+    # A run of this level is taken where the next level does not cover it.
+    whole = la < lb_
+    first = F.when(whole & ((la < ha) | (ha >= hb)), la)
+    last = F.when(whole & ((lb_ > hb) | (ha >= hb)), lb_ - F.expr("shiftleft(1L, _level)"))
+    taken = levels.select(poly_key, "_cy", "_level", F.explode(F.array_distinct(F.array_compact(F.array(first, last)))).alias("_start"))
+    inside = taken.select(poly_key, "_level", F.expr("shiftright(_start, _level)").alias("_cx"), "_cy")
+    return border, settled(inside, "cover-inside")
+
+
+def in_polygons(points: DataFrame, key: str, rings: DataFrame, poly_key: str = "poly_id", strip: float = 0.01) -> DataFrame:
+    """(key, poly_key) for every point inside a polygon, by the even-odd rule over all its rings.
+
+    Polygons are covered by cells of side strip (see polygon_cover). A point meets one cell of a polygon at
+    most: in an inner one it is inside; in a border cell the way from the corner to the point counts the
+    few edges of that cell. key is unique.
+    """
+    border, inner = polygon_cover(rings, strip, poly_key)
+    p = points.select(key, "x", "y").withColumn("_cx", _cell(F.col("x"), strip)).withColumn("_cy", _cell(F.col("y"), strip))
+    x, y, low = F.col("x"), F.col("y"), F.col("_cy") * strip
+    dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
+    meets = lambda v: (F.col("y0") > v) != (F.col("y1") > v)
+    cut = lambda v: F.col("x0") + F.try_divide((v - F.col("y0")) * dx, dy)
+    right = lambda v: _cell(v, strip) >= F.col("_cx")
+    # Up the left side of the cell, then across: an edge on the way changes the side. Where an edge passes
+    # a corner of the way is told by its cut alone, so both parts of the way agree to the last bit.
+    rising = (dx > 0) == (dy > 0)
+    below = F.when(meets(y), right(cut(y)) == rising).otherwise(F.col("y0") <= y)
+    above = F.when(meets(low), right(cut(low)) != rising).otherwise(F.col("y0") > low)
+    up = (right(F.col("x0")) != right(F.col("x1"))) & above & below
+    across = meets(y) & right(cut(y)) & (cut(y) <= x)
+    steps = F.coalesce(up.cast("int"), F.lit(0)) + F.coalesce(across.cast("int"), F.lit(0))
+    near = p.join(border, ["_cx", "_cy"]).groupBy(key, poly_key).agg(F.sum(steps).alias("n"), F.max(F.col("_odd").cast("int")).alias("odd"))
+    on_border = near.where("(n + odd) % 2 = 1").select(key, poly_key)
+    # The levels in use are few: the logarithm of the widest run.
+    used = [r[0] for r in inner.select("_level").distinct().collect()]
+    if not used:
+        return on_border
+    at = p.select(key, F.col("_cy"), F.inline(F.array(*[F.struct(F.lit(k).alias("_level"), F.shiftright("_cx", k).alias("_cx")) for k in sorted(used)])))
+    return on_border.union(at.join(inner, ["_level", "_cx", "_cy"]).select(key, poly_key))
 
 
 def clip_segments(segs: DataFrame, key: str, rings: DataFrame, cell: float, strip: float, poly_key: str = "poly_id") -> DataFrame:
     """Pieces of segments inside each polygon (key, poly_key, t0, t1, x0, y0, x1, y1).
 
-    A segment is cut where it crosses an edge; a piece stays when its middle is inside.
+    A segment is cut where it crosses an edge; a piece stays when its middle is inside. Segments that cross
+    no edge of a polygon concern it only if they begin inside.
     """
     keys = [poly_key] + (["ring"] if "ring" in rings.columns else [])
     edges = ring_edges(rings, keys)
-    bounds = rings.groupBy(poly_key).agg(
-        F.min("x").alias("bx0"), F.max("x").alias("bx1"), F.min("y").alias("by0"), F.max("y").alias("by1")
-    )
-    # Segments whose box meets the box of a polygon, found by cell as well.
-    s = _segment_cells(segs.select(key, "x0", "y0", "x1", "y1"), cell)
-    b = _with_cells(bounds, F.col("bx0"), F.col("bx1"), F.col("by0"), F.col("by1"), cell)
-    near = (
-        s.join(b.select(poly_key, "_cx", "_cy", F.col("_fx").alias("_gx"), F.col("_fy").alias("_gy")), ["_cx", "_cy"])
-        .where((F.col("_cx") == F.greatest("_fx", "_gx")) & (F.col("_cy") == F.greatest("_fy", "_gy")))
-        .select(key, poly_key, "x0", "y0", "x1", "y1")
-    )
-    hits = segment_crossings(segs.select(key, "x0", "y0", "x1", "y1"), edges.select(poly_key, "x0", "y0", "x1", "y1"), cell)
-    inner = hits.select(
-        F.col(f"l_{key}").alias(key), F.col(f"r_{poly_key}").alias(poly_key),
-        *[F.col(f"l_{c}").alias(c) for c in ("x0", "y0", "x1", "y1")], "t",
-    )
-    ends = near.withColumn("t", F.explode(F.array(F.lit(0.0), F.lit(1.0))))
-    cuts = ends.unionByName(inner).distinct()
+    segs = segs.select(key, "x0", "y0", "x1", "y1")
+    hits = settled(segment_crossings(segs, edges.select(poly_key, "x0", "y0", "x1", "y1"), cell).select(F.col(f"l_{key}").alias(key), F.col(f"r_{poly_key}").alias(poly_key), "t"), "cuts")
+    begun = in_polygons(segs.select(key, F.col("x0").alias("x"), F.col("y0").alias("y")), key, rings, poly_key, strip)
+    ends = hits.select(key, poly_key).union(begun.select(key, poly_key)).distinct()
+    cuts = ends.withColumn("t", F.explode(F.array(F.lit(0.0), F.lit(1.0)))).unionByName(hits).distinct().join(segs, key)
     w = Window.partitionBy(key, poly_key).orderBy("t")
     pieces = cuts.withColumn("t1", F.lead("t").over(w)).where("t1 is not null and t1 > t").withColumnRenamed("t", "t0")
     dx, dy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")

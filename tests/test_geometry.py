@@ -98,3 +98,62 @@ def test_midpoint_of_bent_line(spark):
 def test_regions_have_no_gap(spark):
     df = spark.createDataFrame([(17336,), (17337,), (17370,), (17394,), (17443,)], "t int").select(sh.region_of("t").alias("r"))
     assert [r.r for r in df.collect()] == [n for _, n in sh.REGIONS][::-1]
+
+
+def test_walk_grows_with_the_length(spark):
+    """A diagonal of 1,000 km and cells of 1 km: rows in proportion to the length, and no crossing is lost."""
+    long = lines(spark, [[0, 0, 700000, 710000], [700000, 3, 5, 600000], [5000, 0, 5000, 9e5]])
+    cells = sl._segment_cells(long, 1000.0)
+    assert cells.count() < 3 * 3 * 1000 and cells.distinct().count() == cells.count()
+    short = lines(spark, [[x * 1000.0, 500000.0, x * 1000.0 + 1000, 500000.0] for x in range(700)])
+    assert {(r.l_id) for r in sl.segment_crossings(long, short, 1000.0).collect()} == {0, 1, 2}
+    assert sl.segment_crossings(long, long.where("id = 1"), 1000.0).count() == 2
+
+
+def test_shared_pieces_of_collinear_segments(spark):
+    a = lines(spark, [[0, 0, 30, 15], [0, 0, 0, 10], [5, 5, 5, 5]])
+    b = lines(spark, [[10, 5, 50, 25], [40, 20, 30, 15], [20, 10, 2, 1], [0, 4, 0, -7], [1, 4, 1, 8], [0, 0, 3, 3]])
+    got = {(r.l_id, r.r_id, round(r.t0, 9), round(r.t1, 9)) for r in sl.segment_overlaps(a, b, 4.0).collect()}
+    assert got == {(0, 0, round(1 / 3, 9), 1.0), (0, 2, round(2 / 30, 9), round(20 / 30, 9)), (1, 3, 0.0, 0.4)}
+    assert sl.segment_overlaps(a, b, 4.0).count() == 3
+    assert sl.shared_lines(b.union(b), a, 4.0).count() == 3
+
+
+def test_polygon_cover_equals_ray_casting_on_the_lattice(spark):
+    """Stars with vertices, edges and points on cell corners; holes; overlapping polygons."""
+    rng = np.random.default_rng(3)
+    rows, edges = [], {}
+    for p in range(6):
+        for ring in range(2):
+            n = int(rng.integers(3, 9))
+            turn = np.sort(rng.random(n)) * 2 * np.pi
+            far = rng.integers(1, 9, n) / (1 + ring)
+            xy = [(round(float(5 * p + f * np.cos(a)) * 2) / 2, round(float(f * np.sin(a)) * 2) / 2) for a, f in zip(turn, far)]
+            xy.append(xy[0])
+            rows += [(p, ring, i, x, y) for i, (x, y) in enumerate(xy)]
+            edges.setdefault(p, []).extend(zip(xy[:-1], xy[1:]))
+    rings = spark.createDataFrame(rows, "poly_id int, ring int, seq int, x double, y double")
+    places = [(i, float(x) / 4, float(y) / 4) for i, (x, y) in enumerate((x, y) for x in range(-40, 150) for y in range(-40, 41, 3))]
+    pts = spark.createDataFrame(places, "id int, x double, y double")
+    want = set()
+    for i, x, y in places:
+        for p, es in edges.items():
+            hits = sum((y0 > y) != (y1 > y) and x < x0 + (y - y0) * (x1 - x0) / (y1 - y0) for (x0, y0), (x1, y1) in es)
+            if hits % 2:
+                want.add((i, p))
+    for cell in (0.5, 0.3, 7.0):
+        got = [tuple(r) for r in sl.in_polygons(pts, "id", rings, strip=cell).collect()]
+        assert len(got) == len(set(got)) and set(got) == want, cell
+
+
+def test_polygons_side_by_side_stay_linear(spark):
+    """A point meets the cells of the polygons around it, not all polygons of its strip."""
+    n = 200
+    rows = [(p, i, p * 10.0 + x, y) for p in range(n) for i, (x, y) in enumerate([(0.0, 0.0), (8.0, 0.0), (8.0, 8.0), (0.0, 8.0), (0.0, 0.0)])]
+    rings = spark.createDataFrame(rows, "poly_id int, seq int, x double, y double")
+    border, inner = sl.polygon_cover(rings, 1.0)
+    assert border.groupBy("_cx", "_cy").count().agg(F.max("count")).first()[0] <= 4
+    assert border.count() + inner.count() < 100 * n
+    assert inner.select("poly_id", F.explode(F.expr("sequence(shiftleft(_cx, _level), shiftleft(_cx + 1, _level) - 1)")).alias("x"), "_cy").groupBy("x", "_cy").count().where("count > 1").isEmpty()
+    pts = spark.createDataFrame([(i, i + 0.5, 4.5) for i in range(10 * n)], "id int, x double, y double")
+    assert sl.in_polygons(pts, "id", rings, strip=1.0).count() == 8 * n
