@@ -22,8 +22,11 @@ SALTS = 32
 
 
 def keyed(df: DataFrame, *columns: str | Column, label: str = "rows") -> DataFrame:
-    """Columns of df with a unique _row, written once so that every later read sees the same identities."""
-    columns = columns or tuple(F.col(f"`{c}`") for c in df.columns if c != ROW)
+    """Columns of df with a unique _row, written once so that every later read sees the same identities.
+
+    Without columns, all columns of df come packed as _doc, so none of them can meet an internal name.
+    """
+    columns = columns or (F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_doc"),)
     return settled(df.select(*columns, F.monotonically_increasing_id().alias(ROW)), label)
 
 

@@ -172,14 +172,14 @@ def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     return settled(mixed.select(ROW, "_bucket", "_asked", "_comp", F.col("_most._comp").alias("_main")), "mixed")
 
 
-def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
-    """One row per row of docs: _row, _id, class_id (least id of the class), class_size, kept (one row of a class).
+def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", row: str | None = None) -> DataFrame:
+    """One row per row of docs: _row (from column row, unique numbers, if given), _id, class_id (least id of the class), class_size, kept (one row of a class).
 
     Equal texts share a class, also empty and null ones; among different texts only those with words
     can be near. Null ids come last. Repeated rows are in one class. Empty table: no rows.
     """
-    whole = settled(docs.select((F.col(ROW) if ROW in docs.columns else F.monotonically_increasing_id()).alias(ROW), F.col(ident).alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("text")), "texts")
-    copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW)), whole.rdd.getNumPartitions()).select(ROW, "_id", "keep_row", "kept"), "copies")
+    whole = settled(docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias(ROW), F.col(f"`{ident}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "texts")
+    copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW))).select(ROW, "_id", "keep_row", "kept"), "copies")
     singles = copies.where("kept").select(ROW)
     bands = settled(map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>").join(singles, ROW, "left_semi"), "bands")
     # Members and heads of every bucket with more than one text; each head is the least in an order of its own (numbers, so that they are hash aggregated).
@@ -226,9 +226,10 @@ def attach_component(copies: DataFrame, found: DataFrame, salts: int = 16) -> Da
 
 
 def without_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each class, with all columns of docs."""
+    """One row of each class, with all columns of docs unchanged, whatever their names; nulls, ties and repeated rows as above."""
     from strandline.llm.common import keyed
 
     whole = keyed(docs)
-    gone = near_duplicates(whole).where("not kept").select(ROW)
-    return whole.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    light = whole.select(ROW, F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
+    gone = near_duplicates(light, row=ROW).where("not kept").select(ROW)
+    return whole.join(gone, ROW, "left_anti").select("_doc.*")

@@ -36,27 +36,29 @@ def digests(df: DataFrame, text: Column, ident: Column, row: Column | None = Non
     )
 
 
-def classes(rows: DataFrame, runs: int, largest: bool = False, fan_in: int = FAN_IN) -> DataFrame:
-    """rows (of digests) with keep_row, keep_id, group_size and kept.
+def classes(rows: DataFrame, largest: bool = False, fan_in: int = FAN_IN) -> DataFrame:
+    """rows (of digests, written) with keep_row, keep_id, group_size and kept. Ids may be of any type that has an order.
 
     The row with the smallest _id stays (largest: the largest); null ids come last; of equal ids the
     row with the smallest _row stays, so exactly one row of every group is kept even among repeated rows.
     """
-    best = F.struct(F.col("_id").isNull().alias("null"), (-F.col("_id") if largest else F.col("_id")).alias("id"), F.col(ROW).alias("row"))
-    level = rows.groupBy("_run", *KEY).agg(F.min(best).alias("_best"), F.count("*").alias("_n"))
+    best = F.struct((F.col("_id").isNotNull() if largest else F.col("_id").isNull()).alias("null"), F.col("_id").alias("id"), (-F.col(ROW) if largest else F.col(ROW)).alias("row"))
+    pick = F.max if largest else F.min
+    runs = (rows.agg(F.max("_run")).first()[0] or 0) + 1
+    level = rows.groupBy("_run", *KEY).agg(pick(best).alias("_best"), F.count("*").alias("_n"))
     levels = [level]
     while runs > 1:
         runs = -(-runs // fan_in)
         merged = levels[-1].withColumn("_run", F.floor(F.col("_run") / fan_in).cast("int"))
-        levels.append(merged.groupBy("_run", *KEY).agg(F.min("_best").alias("_best"), F.sum("_n").alias("_n")))
+        levels.append(merged.groupBy("_run", *KEY).agg(pick("_best").alias("_best"), F.sum("_n").alias("_n")))
     # Only groups of two and more travel down again.
     down = levels.pop().where("_n > 1")
     for level in reversed(levels):
         child = level.select(F.col("_run").alias("_child"), F.floor(F.col("_run") / fan_in).cast("int").alias("_run"), *KEY)
         down = child.join(down, ["_run", *KEY]).select(F.col("_child").alias("_run"), *KEY, "_best", "_n")
     found = rows.join(down, ["_run", *KEY], "left")
-    keep_row = F.coalesce("_best.row", ROW)
-    keep_id = F.when(F.col("_best").isNull(), F.col("_id")).otherwise(-F.col("_best.id") if largest else F.col("_best.id"))
+    keep_row = F.coalesce(-F.col("_best.row") if largest else F.col("_best.row"), ROW)
+    keep_id = F.when(F.col("_best").isNull(), F.col("_id")).otherwise(F.col("_best.id"))
     return found.select(*rows.columns, keep_row.alias("keep_row"), keep_id.alias("keep_id"), F.coalesce("_n", F.lit(1)).cast("long").alias("group_size"), (keep_row == F.col(ROW)).alias("kept"))
 
 
@@ -67,15 +69,15 @@ def exact_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     Repeated rows: one of them is kept. Empty table: no rows. Other columns are never read.
     """
     rows = digests(docs, F.col(text), F.col(ident))
-    found = classes(rows, docs.rdd.getNumPartitions(), largest)
+    found = classes(rows, largest)
     return found.select(F.col("_id").alias(ident), "keep_id", "group_size", "kept", F.col("_sha").alias("text_sha256"))
 
 
 def without_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", largest: bool = False) -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
+    """The rows of docs that stay, with all their columns unchanged, whatever their names; nulls and repeated rows as above."""
     from strandline.llm.common import keyed
 
     whole = keyed(docs)
-    rows = digests(whole, F.col(text), F.col(ident), F.col(ROW))
-    gone = classes(rows, whole.rdd.getNumPartitions(), largest).where("not kept").select(ROW)
-    return whole.join(gone, ROW, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = digests(whole, F.col(f"_doc.`{text}`"), F.col(f"_doc.`{ident}`"), F.col(ROW))
+    gone = classes(rows, largest).where("not kept").select(ROW)
+    return whole.join(gone, ROW, "left_anti").select("_doc.*")

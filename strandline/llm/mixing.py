@@ -120,9 +120,20 @@ def plan(sized: DataFrame, cap: float = 2.0, share: float = 1.5, weights: tuple[
     return [(r["_pattern"], r["n"], f) for r, f in zip(totals, sent, strict=True)], {s: (sizes[i], target[i]) for s, i in index.items()}
 
 
-def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, ident: str = "doc_id", seed: int = 7,
+def mix(docs: DataFrame, *args, prefix: str = "_", **options) -> DataFrame:
+    """The columns of docs, and those of mixed() under <prefix>size, <prefix>sources, <prefix>source_size, <prefix>target, <prefix>times.
+
+    A prefix that would give a column of docs its name again is an error.
+    """
+    names = {f"_{n}": f"{prefix}{n}" for n in ("size", "sources", "source_size", "target", "times")}
+    if clash := sorted(set(names.values()) & set(docs.columns)):
+        raise ValueError(f"columns {clash} are in the input already: give another prefix")
+    return mixed(docs, *args, **options).select("_doc.*", *[F.col(a).alias(b) for a, b in names.items()])
+
+
+def mixed(docs: DataFrame, text: str = "text", sources: Column | None = None, ident: str = "doc_id", seed: int = 7,
         cap: float = 2.0, share: float = 1.5, weights: tuple[float, ...] = (5, 2, 1)) -> DataFrame:
-    """docs with _size, _sources, _source_size, _target (of its first source) and _times: how often the mix takes the document.
+    """The columns of docs packed as _doc, with _size, _sources, _source_size, _target (of its first source) and _times: how often the mix takes the document.
 
     sources is an array of source names (default: the one in column source); a null name is a source
     of its own and comes last, a null or empty array is the null source. A null text has size 0.
@@ -131,10 +142,10 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, iden
     pattern and round at most. The order is a hash of id and text, and among rows equal in both a hash
     of their row identity, so a group of repeated rows is split at the cut. Empty table: no rows.
     """
-    names = F.array(F.col("source")) if sources is None else sources
+    names = F.array(F.col("source").cast("string")) if sources is None else sources
     pattern = F.when(names.isNull() | (F.size(names) == 0), F.array(F.lit(None).cast("string"))).otherwise(F.array_sort(F.array_distinct(names)))
     key = F.xxhash64(F.lit(seed), F.coalesce(F.col(ident).cast("string"), F.lit("")), F.col(ident).isNull(), F.coalesce(F.col(text), F.lit("")), F.col(text).isNull())
-    whole = keyed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), pattern.alias("_pattern"), word_count(F.col(text)).alias("_size"), key.alias("_key")))
+    whole = keyed(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_doc"), pattern.alias("_pattern"), word_count(F.col(text)).alias("_size"), key.alias("_key"))
     packed = whole.withColumn("_copy", F.xxhash64(ROW))
     light = packed.select("_pattern", "_size", "_key", "_copy")
     flows, stats = plan(light, cap, share, weights)
@@ -150,7 +161,7 @@ def mix(docs: DataFrame, text: str = "text", sources: Column | None = None, iden
     out = packed.join(cut, F.col("_pattern").eqNullSafe(F.col("_cp"))).drop("_cp")
     before = (F.col("_key") < F.col("_cut_key")) | ((F.col("_key") == F.col("_cut_key")) & ((F.col("_copy") < F.col("_cut_from")) | F.coalesce(F.col("_copy") <= F.col("_cut_copy"), F.lit(False))))
     times = F.col("_full") + F.when(F.coalesce(before, F.lit(False)), 1).otherwise(0)
-    return out.select("_doc.*", "_size", F.col("_pattern").alias("_sources"), "_source_size", "_target", times.cast("long").alias("_times"))
+    return out.select("_doc", "_size", F.col("_pattern").alias("_sources"), "_source_size", "_target", times.cast("long").alias("_times"))
 
 
 def _narrowed(rows: DataFrame, state: DataFrame, column: str, on=None) -> DataFrame:

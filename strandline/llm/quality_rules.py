@@ -163,7 +163,8 @@ def quality_verdicts(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 
 
 def passing(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are kept, with all their columns."""
+    """The rows of docs that are kept, with all their columns unchanged, whatever their names; nulls and repeated rows as above."""
     whole = keyed(docs)
-    gone = quality_verdicts(whole, ident="_row", **options).where("not kept").select(F.col("_id").alias("_row"))
-    return whole.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    light = whole.select("_row", *[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "_row"])
+    gone = quality_verdicts(light, ident="_row", **options).where("not kept").select(F.col("_id").alias("_row"))
+    return whole.join(gone, "_row", "left_anti").select("_doc.*")

@@ -30,7 +30,7 @@ def test_exact_dedup(spark, docs):
         own = next(t for t in groups if hashlib.sha256(t.encode()).hexdigest() == r["text_sha256"])
         assert r["group_size"] == len(groups[own]) and r["keep_id"] == max((i for i in groups[own] if i is not None), default=None)
     assert exact_dedup.exact_duplicates(docs.limit(0)).count() == 0
-    assert exact_dedup.without_duplicates(docs.drop("_row")).count() == len(groups)
+    assert exact_dedup.without_duplicates(docs).count() == len(groups)
 
 
 def test_near_duplicates(spark):
