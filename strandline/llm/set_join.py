@@ -28,6 +28,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from strandline.llm.common import attach, map_arrow
@@ -46,10 +47,12 @@ WINDOW, HEAVY = 2_000_000, 262_144
 SIZES = 1.2
 #: Position blocks of a set.
 PLACES = 64
-#: Words remembered with their hashes by a task.
-REMEMBERED = 500_000
+#: Bytes that are hashed together, and bytes up to which a word is hashed by its places.
+PIECE, LONG_WORD = 1 << 20, 64
 SALTS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
+POWERS = np.cumprod(np.full(LONG_WORD, 0xD6E8FEB86659FD93, np.uint64))
+BLANKS = np.isin(np.arange(256), [32, 9, 10, 11, 12, 13])
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Slack of a distance computed in floating point.
 SLACK = 1e-9
@@ -61,17 +64,66 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None, known: dict, k: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct hashes of a text's shingles of k words, A-Z lower-cased; fewer words are one shingle, none none."""
+def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and starts of the words of a text, all bytes at once; words beyond LONG_WORD bytes are hashed one by one."""
     import xxhash
 
-    words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()
-    if not words:
-        return np.empty(0, np.uint64)
-    if len(known) > REMEMBERED:
-        known.clear()
-    known.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) if w not in known)
-    h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+    raw = np.frombuffer(text, np.uint8)
+    blank = BLANKS[raw]
+    begins = ~blank
+    begins[1:] &= blank[:-1]
+    starts = np.flatnonzero(begins)
+    if not len(starts):
+        return np.empty(0, np.uint64), starts
+    first = starts[0]
+    place = np.arange(first, len(raw)) - np.repeat(starts, np.diff(starts, append=len(raw)))
+    with np.errstate(over="ignore"):
+        value = (raw[first:].astype(np.uint64) + np.uint64(1)) * POWERS[np.minimum(place, LONG_WORD - 1)]
+        value[blank[first:]] = 0
+        sizes = np.add.reduceat(begins[first:] | ~blank[first:], starts - first, dtype=np.int64)
+        h = _mix(np.add.reduceat(value, starts - first) + sizes.astype(np.uint64) * MIX)
+    for i in np.flatnonzero(sizes > LONG_WORD):
+        h[i] = xxhash.xxh64_intdigest(text[starts[i] : starts[i] + sizes[i]])
+    return h, starts
+
+
+def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles of k words, A-Z lower-cased; fewer words are one shingle, none none."""
+    raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
+    out, i = [], 0
+    while i < len(raw):
+        # As many texts as PIECE bytes hold are hashed together; a longer one goes in pieces cut between words.
+        j, size = i + 1, len(raw[i])
+        while j < len(raw) and size + len(raw[j]) <= PIECE:
+            size += len(raw[j])
+            j += 1
+        if size > PIECE:
+            out.append(_shingled(_in_pieces(raw[i]), k))
+        else:
+            h, starts = word_hashes(b" ".join(raw[i:j]))
+            ends = np.cumsum([len(t) + 1 for t in raw[i:j]])
+            out += [_shingled(part, k) for part in np.split(h, np.searchsorted(starts, ends[:-1]))]
+        i = j
+    return out
+
+
+def _in_pieces(text: bytes) -> np.ndarray:
+    import xxhash
+
+    words, parts = text.split(), []
+    for i in range(0, len(words), PIECE // LONG_WORD):
+        some = words[i : i + PIECE // LONG_WORD]
+        h, _ = word_hashes(b" ".join(w if len(w) <= LONG_WORD else b"-" for w in some))
+        for at, w in enumerate(some):
+            if len(w) > LONG_WORD:
+                h[at] = xxhash.xxh64_intdigest(w)
+        parts.append(h)
+    return np.concatenate(parts) if parts else np.empty(0, np.uint64)
+
+
+def _shingled(h: np.ndarray, k: int) -> np.ndarray:
+    if not len(h):
+        return h
     n = max(len(h) - k + 1, 1)
     with np.errstate(over="ignore"):
         s = np.full(n, min(len(h), k), np.uint64)
@@ -83,6 +135,10 @@ def shingle_set(text: str | None, known: dict, k: int = SHINGLE) -> np.ndarray:
     return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
+def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
+    return shingle_sets([text], k)[0]
+
+
 def parity(s: np.ndarray) -> bytes:
     """One bit for the tokens of equal low bits, set if their number is odd; as many bits as tokens, rounded up to a power of two."""
     bits = max(64, 1 << (len(s) - 1).bit_length())
@@ -114,7 +170,6 @@ def _described(batches):
     """A row for each text (its size, digest and least hashes), and rows of recurring tokens (token in _t1, count in n)."""
     import xxhash
 
-    known: dict = {}
     held, size = [], 0
     names = ["id", "_ik", "_t1", "_t2", "n", "_d1", "_d2", "_least", "_bits", "_heavy"]
 
@@ -127,7 +182,7 @@ def _described(batches):
     for batch in batches:
         ids = batch.column("id")
         kind = ids.type
-        sets = [shingle_set(t, known) for t in batch.column("text").to_pylist()]
+        sets = shingle_sets(batch.column("text").to_pylist())
         digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
         with np.errstate(over="ignore"):
             least = [[int((s * np.uint64(m)).min().view(np.int64)) for m in ORDERS] if len(s) else None for s in sets]
@@ -145,15 +200,13 @@ def _prefixes(heavy: np.ndarray, counts: np.ndarray):
     """Tokens of the prefixes of sets, rare ones first; heavy tokens (sorted) come last, by their counts."""
 
     def run(batches):
-        known: dict = {}
         seen: set = set()
         for batch in batches:
             rows = [(i, s) for i, s in enumerate(batch.column("_set").to_pylist()) if s not in seen]
             seen.update(s for _, s in rows)
-            texts = batch.column("text")
+            texts = batch.column("text").to_pylist()
             tokens, at = [], []
-            for i, _ in rows:
-                s = shingle_set(texts[i].as_py(), known)
+            for (i, _), s in zip(rows, shingle_sets([texts[i] for i, _ in rows]), strict=True):
                 want = prefix_length(len(s))
                 if len(heavy):
                     place = np.minimum(np.searchsorted(heavy, s), len(heavy) - 1)
@@ -174,14 +227,13 @@ def _prefixes(heavy: np.ndarray, counts: np.ndarray):
 
 def _common(batches):
     """(_a, _b, _na, _nb, _common): sizes of two texts' sets and of what they share."""
-    known: dict = {}
     last, right = object(), None
     for batch in batches:
         out = []
-        for b, ta, tb in zip(*(batch.column(c).to_pylist() for c in ("_b", "_ta", "_tb")), strict=True):
+        bs, ta, tb = (batch.column(c).to_pylist() for c in ("_b", "_ta", "_tb"))
+        for b, left, other in zip(bs, shingle_sets(ta), tb, strict=True):
             if b != last:
-                last, right = b, shingle_set(tb, known)
-            left = shingle_set(ta, known)
+                last, right = b, shingle_set(other)
             out.append((len(left), len(right), len(np.intersect1d(left, right, assume_unique=True))))
         numbers = np.array(out, np.int64).reshape(-1, 3)
         yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), *(pa.array(numbers[:, i]) for i in range(3))], ["_a", "_b", "_na", "_nb", "_common"])
@@ -301,9 +353,10 @@ def _candidates(entries: DataFrame, own: list[str]) -> DataFrame:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """entries of tokens whose lists hold several components."""
-    tokens = entries.groupBy("_tok").agg(F.min("_comp").alias("_low"), F.max("_comp").alias("_high")).where("_low < _high").select("_tok")
-    return settled(entries.join(settled(tokens, "tokens"), "_tok", "left_semi"), "lists")
+    """entries of tokens whose lists hold several components; one exchange, in which a leader's followers are one entry already."""
+    token = W.partitionBy("_tok")
+    ranged = entries.select("*", F.min("_comp").over(token).alias("_low"), F.max("_comp").over(token).alias("_high"))
+    return settled(ranged.where("_low < _high").drop("_low", "_high"), "lists")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id") -> DataFrame:
@@ -348,7 +401,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id
     grouped = grouped.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("_pos").alias("_pos"))
     entries = ["_tok", "_lead", "_comp", "_lo", "_hi", "_pos"]
     single = index.where("not _many").select("_tok", "_lead", "_comp", F.col("n").alias("_lo"), F.col("n").alias("_hi"), "_pos")
-    lists = _shared(single.select(*entries).distinct().union(grouped.select(*entries)))
+    lists = _shared(single.select(*entries).union(grouped.select(*entries)))
     told = []
     for turn in range(ROUNDS):
         met = settled(_head_pairs(lists, turn), "head-pairs")

@@ -189,7 +189,24 @@ def test_parity_never_exceeds_the_difference():
     for _ in range(200):
         a = [f"w{rng.randrange(300)}" for _ in range(rng.randrange(4, 700))]
         b = [x if rng.random() < 0.9 else f"w{rng.randrange(300)}" for x in a[: rng.randrange(4, 700)]] or a
-        x, y = (set_join.shingle_set(" ".join(t), {}) for t in (a, b))
+        x, y = (set_join.shingle_set(" ".join(t)) for t in (a, b))
         apart = len(set(x.tolist()) ^ set(y.tolist()))
         assert set_join.differing(set_join.parity(x), set_join.parity(y)) <= apart
         assert set_join.differing(set_join.parity(y), set_join.parity(x)) == set_join.differing(set_join.parity(x), set_join.parity(y))
+
+
+def test_word_hashes_of_long_texts_in_pieces():
+    """Texts hashed together, alone or in pieces give the same sets, words of any length included."""
+    rng = random.Random(9)
+    texts = [" ".join("".join(rng.choice("abü") for _ in range(rng.choice([1, 2, 5, 63, 64, 65, 90]))) for _ in range(rng.randrange(0, 60))) + rng.choice(["", " ", "\n\t"]) for _ in range(50)]
+    texts += [None, "", " ", "a\x00 a b c d", "a b c d", "x" * 3_000_000 + " a b c d e", "p q r s " * 400_000]
+    together = set_join.shingle_sets(texts)
+    for t, s in zip(texts, together, strict=True):
+        words = (t or "").split()
+        shingles = {tuple(words[i : i + 4]) for i in range(max(len(words) - 3, 1))} if words else set()
+        assert len(s) == len(shingles)
+        assert s.tolist() == set_join.shingle_set(t).tolist()
+    long = " ".join(x for x in texts[:50])
+    h, _ = set_join.word_hashes(long.encode())
+    assert h.tolist() == set_join._in_pieces(long.encode()).tolist() and len(set(h.tolist())) == len(set(long.split()))
+    assert set_join.shingle_set("p q r s " * 400_000).tolist() == set_join.shingle_set("p q r s p q r s").tolist()
