@@ -332,11 +332,12 @@ def _open() -> tuple:
 
 
 def _head_pairs(lists: DataFrame, turn: int) -> DataFrame:
-    """(_a, _b): leaders of a list with HEADS of it, others each turn."""
-    order = F.xxhash64("_lead", "_tok", "_turn")
-    turns = lists.select("*", F.explode(F.sequence(F.lit(turn * HEADS), F.lit(turn * HEADS + HEADS - 1))).alias("_turn")).withColumn("_order", order)
-    first = turns.groupBy("_tok", "_turn").agg(F.min("_order").alias("_order"))
-    heads = turns.join(first, ["_tok", "_turn", "_order"]).select("_tok", *[F.col(c).alias(f"{c}2") for c in ("_lo", "_hi", "_pos", "_comp", "_lead")]).distinct()
+    """(_a, _b): leaders of a list with HEADS of it, others each turn; lists with few entries for each head meet in full later."""
+    lists = lists.where(F.col("_entries") > 2 * HEADS)
+    turns = lists.select("*", F.explode(F.sequence(F.lit(turn * HEADS), F.lit(turn * HEADS + HEADS - 1))).alias("_turn"))
+    head = F.struct(F.xxhash64("_lead", "_tok", "_turn").alias("_order"), "_lo", "_hi", "_pos", "_comp", "_lead")
+    first = turns.groupBy("_tok", "_turn").agg(F.min(head).alias("_head"))
+    heads = first.select("_tok", *[F.col(f"_head.{c}").alias(f"{c}2") for c in ("_lo", "_hi", "_pos", "_comp", "_lead")]).distinct()
     other, near = _open()
     met = lists.join(heads, "_tok").where(other & near)
     return met.select(F.greatest("_lead", "_lead2").alias("_a"), F.least("_lead", "_lead2").alias("_b")).distinct()
@@ -353,9 +354,12 @@ def _candidates(entries: DataFrame, own: list[str]) -> DataFrame:
 
 
 def _shared(entries: DataFrame) -> DataFrame:
-    """entries of tokens whose lists hold several components; one exchange, in which a leader's followers are one entry already."""
+    """entries of tokens whose lists hold several components, with _entries, the length of their list.
+
+    One exchange, in which a leader's followers are one entry already.
+    """
     token = W.partitionBy("_tok")
-    ranged = entries.select("*", F.min("_comp").over(token).alias("_low"), F.max("_comp").over(token).alias("_high"))
+    ranged = entries.select("*", F.min("_comp").over(token).alias("_low"), F.max("_comp").over(token).alias("_high"), F.count("*").over(token).alias("_entries"))
     return settled(ranged.where("_low < _high").drop("_low", "_high"), "lists")
 
 
@@ -411,7 +415,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id
         new = told[-1].where("_linked")
         if not new.isEmpty():
             found = _linking(found.select(F.col("_set").alias("_a"), F.col("_comp").alias("_b")), new)
-            lists = _shared(_regrouped(lists, "_lead", found))
+            lists = _shared(_regrouped(lists, "_lead", found).drop("_entries"))
     pairs = settled(_candidates(lists, ["_lead"]).select(F.greatest("_lead", "_lead2").alias("_a"), F.least("_lead", "_lead2").alias("_b")).distinct(), "index-pairs")
     for part in told:
         pairs = pairs.join(part.select("_a", "_b"), ["_a", "_b"], "left_anti")
