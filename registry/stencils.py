@@ -101,3 +101,22 @@ def _side(name: str, line: str, pos: str, agg: str, frame: str) -> str:
 def _(t):
     gaps = t.grid().withColumn("v", F.when(F.abs("v") > 0.1, F.lit(None)).otherwise(F.col("v")))
     return st.fill_gaps(gaps, "v", reach=5).select("scene_id", "row", "col", (F.round("v", 8) + 0.0).alias("v"))
+
+
+QUADS = "\n      union all ".join(
+    f"""select g.scene_id, g."row", g.col, '{side}{way}' quad, min({{'d2': ({d}) * ({d}) + (g.col - s.col) * (g.col - s.col), 'dx': abs(g.col - s.col), 'v': s.{side}v}}) best
+      from gaps g join sites s on s.scene_id = g.scene_id and s."row" = g."row" and s.col {way} g.col
+      where g.x is null and s.{side}p is not null and ({d}) * ({d}) + (g.col - s.col) * (g.col - s.col) <= 90000 group by all"""
+    for side, d in (("u", 'g."row" - s.up'), ("d", 's.dp - g."row"')) for way in ("<=", ">"))
+
+
+@query("e10_fill_diagonal", f"""with gaps as (select scene_id, "row", col, case when abs(v) > 0.1::double or ("row" between 60 and 199 and col between 10 and 50) then null else v end x from grid),
+    sites as (select *, {_side("u", "col", '"row"', "last_value", "unbounded preceding and current row")},
+      {_side("d", "col", '"row"', "first_value", "1 following and unbounded following")} from gaps),
+    quads as ({QUADS}),
+    means as (select scene_id, "row", col, sum(best.v / sqrt(best.d2::double)) / sum(1 / sqrt(best.d2::double)) m from quads group by all)
+    select scene_id, "row", col, round(coalesce(x, m), 8) + 0.0::double v from gaps left join means using (scene_id, "row", col)""")
+def _(t):
+    lost = (F.abs("v") > 0.1) | (F.col("row").between(60, 199) & F.col("col").between(10, 50))
+    gaps = t.grid().withColumn("v", F.when(lost, F.lit(None)).otherwise(F.col("v")))
+    return st.fill_quadrants(gaps, "v").select("scene_id", "row", "col", (F.round("v", 8) + 0.0).alias("v"))

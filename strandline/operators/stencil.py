@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -120,3 +121,67 @@ def fill_gaps(pixels: DataFrame, value: str, reach: int = 300) -> DataFrame:
         lambda a, b: a + b, [F.coalesce(F.when(near[s], F.col(f"{s}.v") / F.col(f"{s}.d")), F.lit(0.0)) for s in sides]
     )
     return df.select("scene_id", "row", "col", F.coalesce(F.col(value), F.try_divide(total, weight)).alias(value))
+
+
+def _quadrant_means(value: str, reach: int):
+    import numpy as np
+
+    def run(key, table):
+        get = {c: table.column(c).to_numpy(zero_copy_only=False) for c in ("row", "col", value, "_ud", "_uv", "_dd", "_dv")}
+        row, col = get["row"] - get["row"].min(), get["col"] - get["col"].min()
+        shape = int(row.max()) + 1, int(col.max()) + 1
+        sites = {}
+        for side in "ud":
+            # A column without a site on this side is farther than any reach.
+            far, held = np.full(shape, np.inf), np.zeros(shape)
+            far[row, col], held[row, col] = np.where(np.isnan(get[f"_{side}d"].astype(float)), np.inf, get[f"_{side}d"].astype(float)), get[f"_{side}v"].astype(float)
+            sites[side] = far, held
+        own = get[value].astype(float)
+        gap = np.flatnonzero(np.isnan(own))
+        total, weight = np.zeros(len(gap)), np.zeros(len(gap))
+        for side, way, first in (("u", -1, 0), ("d", -1, 0), ("u", 1, 1), ("d", 1, 1)):
+            far, held = sites[side]
+            best, found = np.full(len(gap), np.inf), np.zeros(len(gap))
+            open_ = np.arange(len(gap))
+            for step in range(first, reach + 1):
+                at = col[gap[open_]] + way * step
+                # A column `step` away holds nothing nearer than that.
+                on = (at >= 0) & (at < shape[1]) & (step * step < best[open_])
+                open_, at = open_[on], at[on]
+                if not len(open_):
+                    break
+                lines = row[gap[open_]]
+                dist = far[lines, at] ** 2 + step * step
+                nearer = (dist < best[open_]) & (dist <= reach * reach)
+                best[open_[nearer]], found[open_[nearer]] = dist[nearer], held[lines[nearer], at[nearer]]
+            hit = np.isfinite(best)
+            total[hit] += found[hit] / np.sqrt(best[hit])
+            weight[hit] += 1 / np.sqrt(best[hit])
+        out = own.copy()
+        out[gap] = np.divide(total, weight, out=np.full(len(gap), np.nan), where=weight > 0)
+        return table.select(["scene_id", "row", "col"]).append_column(value, pa.array(out, pa.float64(), from_pandas=True))
+
+    return run
+
+
+def fill_quadrants(pixels: DataFrame, value: str, reach: int = 300, lines: int = 8) -> DataFrame:
+    """NULL pixels from the nearest valid pixel of each quadrant around them, weighted by 1 / distance.
+
+    Quadrants: columns up to the own one or beyond it, rows up to the own one or below it; of equally
+    near pixels the one in the nearer column. A column pass finds the next valid pixel above and below
+    each pixel; the row pass goes over these from column to column and stops where nothing nearer can
+    come. Sort groups are single raster columns, row groups `lines` raster lines. A gap without a valid
+    pixel within reach stays NULL. The plane is dense: a pixel that is no row of the table passes no
+    neighbour on. Empty table: no rows.
+    """
+    kind = {f.name: f.dataType.simpleString() for f in pixels.schema}["scene_id"]
+    df = pixels.select("scene_id", F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col"), F.col(value).cast("double").alias(value))
+    seen = F.when(F.col(value).isNotNull(), F.struct(F.col("row").alias("p"), F.col(value).alias("v")))
+    above = Window.partitionBy("scene_id", "col").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
+    below = Window.partitionBy("scene_id", "col").orderBy(F.desc("row")).rowsBetween(Window.unboundedPreceding, -1)
+    df = df.withColumn("_u", F.last(seen, ignorenulls=True).over(above)).withColumn("_d", F.last(seen, ignorenulls=True).over(below))
+    passed = df.select(
+        "scene_id", "row", "col", value, (F.col("row") - F.col("_u.p")).alias("_ud"), F.col("_u.v").alias("_uv"),
+        (F.col("_d.p") - F.col("row")).alias("_dd"), F.col("_d.v").alias("_dv"), F.expr(f"row div {lines}").alias("_line"),
+    )
+    return passed.groupBy("scene_id", "_line").applyInArrow(_quadrant_means(value, reach), f"scene_id {kind}, row int, col int, {value} double")

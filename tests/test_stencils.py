@@ -59,6 +59,39 @@ def test_fill_gaps(spark):
     assert got[1, 1] == 2.0 and np.isnan(got[0, 3])
 
 
+def brute_quadrants(a, reach):
+    out = a.copy()
+    sites = np.argwhere(~np.isnan(a))
+    for r, c in np.argwhere(np.isnan(a)):
+        best = {}
+        for y, x in sites:
+            d2 = (y - r) ** 2 + (x - c) ** 2
+            quad, rank = (x > c, y > r), (d2, abs(x - c))
+            if d2 <= reach ** 2 and (quad not in best or rank < best[quad][0]):
+                best[quad] = rank, a[y, x]
+        if best:
+            w = {q: 1 / np.sqrt(rank[0]) for q, (rank, _) in best.items()}
+            out[r, c] = sum(w[q] * v for q, (_, v) in best.items()) / sum(w.values())
+    return out
+
+
+@pytest.mark.parametrize("reach", [2, 6, 300])
+def test_fill_quadrants_of_an_l_shaped_gap(spark, reach):
+    a = RNG.random((19, 23))
+    a[3:16, 4:9] = np.nan
+    a[11:16, 4:20] = np.nan
+    a[RNG.random(a.shape) > 0.8] = np.nan
+    df = plane(spark, a).withColumn("v", F.when(F.isnan("v"), None).otherwise(F.col("v")))
+    got = to_array(stencil.fill_quadrants(df, "v", reach, lines=4), "v", a.shape)
+    assert np.allclose(got, brute_quadrants(a, reach), equal_nan=True)
+
+
+def test_fill_quadrants_without_neighbours(spark):
+    empty = plane(spark, np.full((3, 4), np.nan)).withColumn("v", F.lit(None).cast("double"))
+    assert stencil.fill_quadrants(empty, "v").where("v is not null").count() == 0
+    assert stencil.fill_quadrants(empty.limit(0), "v").count() == 0
+
+
 def test_blocks_hold_every_pixel_once_in_the_core(spark):
     a = RNG.random((17, 23))
     halo = blocks.with_halo(plane(spark, a), ["v"], 3, block=8)
