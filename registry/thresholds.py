@@ -231,8 +231,8 @@ def _(t):
 @query("d25_window_cover", f"""with {VOTES} select scene_id, "row", col, count(*) cover from pb group by 1, 2, 3""")
 def _(t):
     boxes = pt.distinct_boxes(pt.point_boxes(t.buffer_points(), georef(t), HALF))
-    inside = pt.pixels_in_boxes(t.grid().select("scene_id", "row", "col"), boxes, block=64)
-    return inside.groupBy("scene_id", "row", "col").agg(F.sum("weight").alias("cover"))
+    px = t.grid().select("scene_id", "row", "col", F.lit(0).alias("code"))
+    return pt.box_counts(px, boxes, F.lit(0), block=64).where("cover > 0").select("scene_id", "row", "col", "cover")
 
 
 LABELS = f"""{VOTES}, vote as (select c.scene_id, c."row", c.col, any_value(c.code) code, count(point_id) cover,
@@ -265,6 +265,29 @@ def _(t):
     return pl.label_from_points(t.bands4(), t.buffer_points(), georef(t, 16), "b2", "b4", half=3, rows=SCENE_ROWS, cols=16, block=64)
 
 
+# Each pixel as four columns, so that windows of the full half side fit into a scene.
+WIDE = f"""wide as (select scene_id, "row", (col * 4 + i)::int col, v * (1 - i / 10.0::double) v from grid, range(4) r(i)),
+    wgeo as (select scene_id, max("row") + 1 nr from grid group by 1),
+    wpoints as (select point_id, scene_id, ({ORIGIN_Y}::double - y) / {PIXEL}::double - 0.5::double fy, (x - {ORIGIN_X}::double - scene_id * {SCENE_STEP}::double) / {PIXEL}::double * 4 - 0.5::double fx from buffer_points),
+    boxes as (select point_id, scene_id, greatest(0, ceil(fy - 100))::int r0, least(nr - 1, floor(fy + 100))::int r1,
+      greatest(0, ceil(fx - 100))::int c0, least({4 * GRID_COLS - 1}, floor(fx + 100))::int c1 from wpoints join wgeo using (scene_id)),
+    whole as (select * from boxes where r1 - r0 + 1 >= 200 and c1 - c0 + 1 >= 200)"""
+
+
+@query("e7_half_100", f"""with {WIDE}, coded as (select scene_id, "row", col, trunc(v * 127 + 128)::int code from wide),
+    pb as (select c.scene_id, "row", col, code, point_id from coded c join whole w on c.scene_id = w.scene_id and "row" between r0 and r1 and col between c0 and c1),
+    phist as (select scene_id, point_id, code bin, count(*) n from pb group by all), potsu as ({otsu_sql("phist", "scene_id, point_id")}),
+    {LABELS.removeprefix(VOTES).lstrip(", ")}
+    select scene_id, "row", col, cover, label_any, label_majority, label_mean, case when cover > 0 then label_any else label_mean end label_final from lab""")
+def _(t):
+    sub = F.explode(F.sequence(F.lit(0), F.lit(3)))
+    wide = t.grid().withColumn("i", sub).select("scene_id", "row", (F.col("col") * 4 + F.col("i")).alias("col"), (F.col("v") * (1 - F.col("i") / 10.0)).alias("v"))
+    west = F.lit(ORIGIN_X) + F.col("scene_id") * SCENE_STEP
+    points = t.buffer_points().withColumn("x", west + (F.col("x") - west) * 4)
+    geo = georef(t, 4 * GRID_COLS)
+    return pl.label_codes(wide.select("scene_id", "row", "col", sp.encode_trunc("v").alias("code")), points, geo, pl.HALF)
+
+
 TILES = f"""tl as (select c.*, wy, wx, ((wx // 16) * ceil({SCENE_ROWS} / 16.0::double) + wy // 16 + 1)::int tile, (ceil({SCENE_ROWS} / 16.0::double) * ceil({{cols}} / 16.0::double))::int tiles
       from {{source}} c, (select (i * 16)::int wy from range({SCENE_ROWS}) r(i) where i * 16 < {SCENE_ROWS}) a,
       (select (i * 16)::int wx from range({{cols}}) r(i) where i * 16 < {{cols}}) b

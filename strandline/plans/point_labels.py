@@ -17,10 +17,9 @@ MAJORITY = 0.55
 MEAN_LIFT = 10
 
 
-def box_thresholds(coded: DataFrame, boxes: DataFrame, block: int = 256) -> DataFrame:
+def box_thresholds(coded: DataFrame, boxes: DataFrame, block: int = pt.PACKED) -> DataFrame:
     """Otsu threshold of every box; coded is (scene_id, row, col, code)."""
-    inside = pt.pixels_in_boxes(coded, boxes.select(*pt.BOX), block)
-    return threshold.otsu(threshold.histogram(inside, "code", tuple(pt.BOX)), tuple(pt.BOX))
+    return threshold.otsu(pt.box_histograms(coded, boxes, block), tuple(pt.BOX))
 
 
 def label_from_points(
@@ -37,34 +36,25 @@ def label_from_points(
     if blurring:
         index = stencil.gaussian_blur(index, "v", BLUR_SIZE, BLUR_SIGMA, rows, cols, block)
     coded = index.select("scene_id", "row", "col", sp.encode_trunc("v").alias("code"))
-    return label_codes(coded, points, georef, half, block)
+    return label_codes(coded, points, georef, half, min(block, pt.COUNTED))
 
 
-def label_codes(coded: DataFrame, points: DataFrame, georef: DataFrame, half: int, block: int = 256) -> DataFrame:
+def label_codes(coded: DataFrame, points: DataFrame, georef: DataFrame, half: int, block: int = pt.COUNTED) -> DataFrame:
     """The same from encoded pixels (scene_id, row, col, code)."""
     boxes = pt.distinct_boxes(pt.point_boxes(points, georef, half))
-    limits = settled(box_thresholds(coded, boxes, block).join(boxes, pt.BOX), "limits")
+    limits = settled(box_thresholds(coded, boxes, min(block, pt.PACKED)).join(boxes, pt.BOX), "limits")
     mean = settled(
         limits.groupBy("scene_id").agg(
             (F.sum(F.col("threshold") * F.col("weight")) / F.sum("weight") + MEAN_LIFT).alias("mean_threshold")
         ),
         "means",
     )
-    hit = sp.at_least("code", F.col("threshold"))
-    votes = (
-        pt.pixels_in_boxes(coded, limits, block, "left")
-        .groupBy("scene_id", "row", "col")
-        .agg(
-            F.first("code").alias("code"),
-            F.coalesce(F.sum("weight"), F.lit(0)).alias("cover"),
-            F.coalesce(F.max(F.when(F.col("threshold").isNotNull(), hit)), F.lit(0)).alias("label_any"),
-            F.coalesce(F.sum(hit * F.col("weight")), F.lit(0)).alias("hits"),
-        )
-    )
+    votes = pt.box_counts(coded, limits, "threshold", block)
+    label_any = (F.col("hits") > 0).cast("int")
     by_mean = sp.at_least("code", F.col("mean_threshold"))
     return votes.join(mean, "scene_id", "left").select(
-        "scene_id", "row", "col", "cover", "label_any",
+        "scene_id", "row", "col", "cover", label_any.alias("label_any"),
         (F.col("hits") > F.col("cover") * MAJORITY).cast("int").alias("label_majority"),
         by_mean.alias("label_mean"),
-        F.when(F.col("cover") > 0, F.col("label_any")).otherwise(by_mean).alias("label_final"),
+        F.when(F.col("cover") > 0, label_any).otherwise(by_mean).alias("label_final"),
     )

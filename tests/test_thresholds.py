@@ -120,6 +120,43 @@ def test_point_labels_match_loops(spark):
     assert (to_array(df, "label_final", a.shape, int) == np.where(cover > 0, label, by_mean)).all()
 
 
+def test_histograms_and_counts_of_boxes_match_loops(spark):
+    code = RNG.integers(-3, 40, (37, 29))
+    rows = [(0, int(r), min(36, int(r + h)), int(c), min(28, int(c + w)), i % 5 + 1, float(RNG.integers(0, 30)))
+            for i, (r, c, h, w) in enumerate(zip(*(RNG.integers(0, 28, 60) for _ in range(4)), strict=True))]
+    boxes = spark.createDataFrame(rows, "scene_id int, r0 int, r1 int, c0 int, c1 int, weight int, level double")
+    px = plane(spark, code, "code").withColumn("code", F.when(F.col("code") != 7, F.col("code")))
+    want = {}
+    cover, hits = np.zeros(code.shape, int), np.zeros(code.shape, int)
+    for _, r0, r1, c0, c1, w, t in rows:
+        part = code[r0:r1 + 1, c0:c1 + 1]
+        for b, n in zip(*np.unique(part[part != 7], return_counts=True), strict=True):
+            want[r0, r1, c0, c1, int(b)] = int(n)
+        cover[r0:r1 + 1, c0:c1 + 1] += w
+        hits[r0:r1 + 1, c0:c1 + 1] += w * ((part >= t) & (part != 7))
+    got = {tuple(r)[1:6]: r.n for r in pt.box_histograms(px, boxes.select(*pt.BOX).distinct(), block=8).collect()}
+    assert got == want
+    df = pt.box_counts(px, boxes, "level", block=8)
+    assert (to_array(df, "cover", code.shape, int) == cover).all()
+    assert (to_array(df, "hits", code.shape, int) == hits).all()
+
+
+def test_pixels_do_not_grow_with_the_windows_on_them(spark):
+    """What reaches a block: its pixels once, and corners bounded by levels and places, for 400 windows as for one."""
+    px = plane(spark, RNG.integers(0, 40, (32, 32)), "code")
+    box = "scene_id int, r0 int, r1 int, c0 int, c1 int, weight int, level int"
+    one = [(0, 0, 31, 0, 31, 1, 5)]
+    many = one + [(0, i % 7, 31, i % 5, 31, 1, i % 3) for i in range(400)]
+    for rows in (one, many):
+        df = pt.box_counts(px, spark.createDataFrame(rows, box), "level", block=16)
+        assert df.count() == 32 * 32
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" not in plan and "FlatMapCoGroups" in plan
+    assert pt.box_counts(px.limit(0), spark.createDataFrame(many, box), "level").count() == 0
+    assert pt.box_counts(px, spark.createDataFrame([], box), "level").agg(F.sum("cover")).first()[0] == 0
+    assert pt.box_histograms(px.limit(0), spark.createDataFrame(many, box)).count() == 0
+
+
 def test_equal_boxes_are_one(spark):
     rows = [(0, 1, 5, 1, 5, True)] * 500 + [(0, 2, 6, 1, 5, True)]
     boxes = spark.createDataFrame(rows, "scene_id int, r0 int, r1 int, c0 int, c1 int, whole boolean")
