@@ -1,6 +1,6 @@
 """Main text of web pages by site template removal.
 
-Pages are parsed into blocks, each with the hashes of the element subtrees around it. Spark counts
+Pages are parsed into blocks and the hashes of their element subtrees, which are runs of blocks. Spark counts
 with how many different remaining contents every subtree occurs on the pages of its host; blocks
 below a subtree that recurs so are deleted, inside article and main elements too. Navigation, page headers and footers, forms, adverts,
 notices and comments are boilerplate by their element or class wherever they stand.
@@ -23,12 +23,11 @@ SILENT = frozenset("script style noscript template iframe svg canvas object head
 ASIDE = frozenset("nav header footer aside form dialog menu".split())
 BLOCK = frozenset("address article aside blockquote body caption dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-#: Words in class, id or role that mark boilerplate.
-WORDS = r"(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|widget|navigation|contentinfo|complementary)(?:$|[\s_-])"
-MARKS = re.compile(rf"(?:^|[\s_-]){WORDS}", re.I)
-#: An article is boilerplate only where a class begins with a mark (comment, related-post; not has-sidebar).
-ARTICLE_MARKS = re.compile(rf"(?:^|\s){WORDS}", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Fixed words: parts of a class, id or role that mark boilerplate, and parts that only say what box it is.
+MARKS = re.compile(r"ads?|advert\w*|sponsor\w*|promo\w*|banner|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|cookies?|consent|notices?|popup|modal|newsletter|subscribe|share|social|related|comments?|disqus|widget|navigation|contentinfo|complementary")
+BOXES = frozenset("area articles bar block bottom box buttons container content form global header icons inner item items left links list main message outer overlay panel post posts primary right row secondary section signup site slot stories thread top unit wrap wrapper".split())
+#: A quote that is not closed before the end of its tag is an ordinary character.
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"(?=[\s/>])|'[^']*+'(?=[\s/>])|[\"'])*+)>", re.S)
 NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 #: A subtree is a template when it recurs beside so many different remaining contents of a host. Outside the
@@ -38,11 +37,29 @@ PAGES, OUTSIDE = 5, 2
 LONGEST = 3
 
 
-def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
-    """(text, inside an article or h1, hashes of the enclosing block subtrees) of every block that is not boilerplate itself."""
+#: Modulus and base of the running hash over the blocks of a page.
+PRIME, BASE = 2**61 - 1, 0x1F3D5B79A2C4E6
+Blocks = list[tuple[str, bool]]
+Trees = list[tuple[int, int, int]]
+
+
+def marked(names: str) -> bool:
+    """Whether a name is made of marks and words for boxes alone: cookie-notice is, social-science is not."""
+    for name in names.lower().split():
+        parts = [p for p in re.split(r"[_-]+", name) if p]
+        if any(MARKS.fullmatch(p) for p in parts) and all(MARKS.fullmatch(p) or p in BOXES or p.isdigit() for p in parts):
+            return True
+    return False
+
+
+def blocks(page: str) -> tuple[Blocks, Trees]:
+    """(text, inside an article or h1) of every block that is not boilerplate itself; (hash, first block, block behind the last) of the block subtrees."""
     import xxhash
 
-    out: list[list] = []
+    out: Blocks = []
+    trees: Trees = []
+    # Running hash over the blocks: that of any run of blocks follows from two of its values.
+    sums, powers = [0], [1]
     stack: list[list] = []  # [tag, drops, in article, first block]
     text: list[str] = []
 
@@ -50,18 +67,20 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
         words = " ".join(html.unescape("".join(text)).split())
         text.clear()
         if words and not (stack and stack[-1][1]):
-            out.append([words, any(s[2] or s[0] == "h1" for s in stack), []])
+            out.append((words, any(s[2] or s[0] == "h1" for s in stack)))
+            sums.append((sums[-1] * BASE + xxhash.xxh64_intdigest(words)) % PRIME)
+            powers.append(powers[-1] * BASE % PRIME)
 
     def close():
         tag, drops, _, first = stack.pop()
         if tag in BLOCK and not drops and tag not in ("html", "body") and len(out) > first:
-            h = xxhash.xxh64_intdigest("\n".join([tag, *[b[0] for b in out[first:]]])) - 2**63
-            for b in out[first:]:
-                b[2].append(h)
+            run = (sums[-1] - sums[first] * powers[len(out) - first]) % PRIME
+            trees.append((xxhash.xxh64_intdigest(f"{tag} {len(out) - first} {run}") - 2**63, first, len(out)))
 
     at, end = 0, len(page)
+    tags = page.rfind(">") + 1  # nothing behind it can be a tag, an open comment apart
     while at < end:
-        m = TOKEN.search(page, at)
+        m = TOKEN.search(page, at, tags) or (TOKEN.match(page, page.find("<!--", at)) if page.find("<!--", at) >= 0 else None)
         if m is None:
             text.append(page[at:])
             break
@@ -103,47 +122,74 @@ def blocks(page: str) -> list[tuple[str, bool, list[int]]]:
                 at = stop.end() if stop else end
                 continue
             inside = bool(stack) and stack[-1][2]
-            drops = bool(stack) and stack[-1][1] or tag in SILENT or tag in ASIDE and not (tag == "header" and inside) or bool(HIDDEN.search(m[3])) or tag not in ("html", "body", "main") and any((ARTICLE_MARKS if tag == "article" else MARKS).search(a or b or c) for a, b, c in NAMED.findall(m[3]))
+            drops = bool(stack) and stack[-1][1] or tag in SILENT or tag in ASIDE and not (tag == "header" and inside) or bool(HIDDEN.search(m[3])) or tag not in ("html", "body", "main") and any(marked(a or b or c) for a, b, c in NAMED.findall(m[3]))
             if drops and not (stack and stack[-1][1]):
                 flush()
             stack.append([tag, drops, inside or tag in ("article", "main"), len(out)])
     flush()
     while stack:
         close()
-    return [(b[0], b[1], b[2]) for b in out]
+    return out, trees
 
 
-def subtrees(found: list[tuple[str, bool, list[int]]]) -> list[dict]:
-    """Every subtree of a page: its hash, whether it is outside the article, hashes of the longest blocks that remain without it.
+def subtrees(found: Blocks, trees: Trees) -> list[dict]:
+    """Every subtree of a page: its hash, its runs of blocks, whether it is outside the article, hashes of the longest blocks that remain without it.
 
     Where most of the text is in an article, only that remains: a subtree with all of it always leaves
     the same (nothing), so copies of an article amid changing boxes do not make it a template.
     """
     import xxhash
 
-    inside = [b for b in found if b[1]]
-    mostly = 2 * sum(len(b[0]) for b in inside) >= sum(len(b[0]) for b in found)
-    ranked = [(xxhash.xxh64_intdigest(b[0]) - 2**63, set(b[2])) for b in sorted(inside if mostly else found, key=lambda b: (-len(b[0]), b[0]))]
-    main = {h for b in inside for h in b[2]}
+    mostly = 2 * sum(len(t) for t, inside in found if inside) >= sum(len(t) for t, _ in found)
+    articles = [0]  # blocks inside an article before each block
+    for _, inside in found:
+        articles.append(articles[-1] + inside)
+    rank = [(-len(t), t, i) for i, (t, inside) in enumerate(found) if inside or not mostly]
+    digest = {i: xxhash.xxh64_intdigest(t) - 2**63 for _, t, i in rank}
+
+    def longest(entries):
+        return sorted(entries)[:LONGEST]
+
+    by_block = {i: (n, t, i) for n, t, i in rank}
+    before: list[list] = [[]]
+    for i in range(len(found)):
+        before.append(longest([*before[-1], by_block[i]]) if i in by_block else before[-1])
+    behind: list[list] = [[]]
+    for i in reversed(range(len(found))):
+        behind.append(longest([*behind[-1], by_block[i]]) if i in by_block else behind[-1])
+    behind.reverse()
+    ranked = sorted(rank)
+    spans: dict[int, set] = {}
+    for h, first, last in trees:
+        spans.setdefault(h, set()).add((first, last))
     out = []
-    for h in {h for b in found for h in b[2]}:
-        rest = []
-        for text, trees in ranked:
-            if h not in trees:
-                rest.append(text)
-                if len(rest) == LONGEST:
-                    break
-        out.append({"tree": h, "outside": mostly and h not in main, "rest": rest})
+    for h, runs in spans.items():
+        if len(runs) == 1:
+            (first, last), = runs
+            rest = longest(before[first] + behind[last])
+        else:
+            gone = {i for first, last in runs for i in range(first, last)}
+            rest = []
+            for entry in ranked:
+                if entry[2] not in gone:
+                    rest.append(entry)
+                    if len(rest) == LONGEST:
+                        break
+        outside = mostly and not any(articles[last] > articles[first] for first, last in runs)
+        out.append({"tree": h, "outside": outside, "rest": [digest[i] for _, _, i in rest], "runs": [{"first": x, "last": y} for x, y in sorted(runs)]})
     return out
 
 
+RUNS = "array<struct<first: int, last: int>>"
+
+
 def _parse(batches):
-    kind = pa.list_(pa.struct([("text", pa.string()), ("trees", pa.list_(pa.int64()))]))
-    tree = pa.list_(pa.struct([("tree", pa.int64()), ("outside", pa.bool_()), ("rest", pa.list_(pa.int64()))]))
+    run = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))
+    tree = pa.list_(pa.struct([("tree", pa.int64()), ("outside", pa.bool_()), ("rest", pa.list_(pa.int64())), ("runs", run)]))
     for batch in batches:
         pages = [blocks(p or "") for p in batch.column("html").to_pylist()]
-        found = [[{"text": t, "trees": h} for t, _, h in page] for page in pages]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("url"), pa.array(found, kind), pa.array([subtrees(p) for p in pages], tree)], [ROW, "_id", "_url", "_blocks", "_subtrees"])
+        texts = [[t for t, _ in found] for found, _ in pages]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), batch.column("id"), batch.column("url"), pa.array(texts, pa.list_(pa.string())), pa.array([subtrees(*p) for p in pages], tree)], [ROW, "_id", "_url", "_blocks", "_subtrees"])
 
 
 def main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", body: str = "html", least: int = PAGES, outside: int = OUTSIDE) -> DataFrame:
@@ -156,17 +202,20 @@ def main_text(pages: DataFrame, ident: str = "page_id", url: str = "url", body:
     """
     kind = pages.schema[ident].dataType.simpleString()
     parsed = settled(map_arrow(pages.select(F.monotonically_increasing_id().alias("row"), F.col(ident).alias("id"), F.col(url).alias("url"), F.col(body).alias("html")), _parse,
-                               f"{ROW} long, _id {kind}, _url string, _blocks array<struct<text: string, trees: array<bigint>>>, _subtrees array<struct<tree: bigint, outside: boolean, rest: array<bigint>>>"), "blocks")
+                               f"{ROW} long, _id {kind}, _url string, _blocks array<string>, _subtrees array<struct<tree: bigint, outside: boolean, rest: array<bigint>, runs: {RUNS}>>"), "blocks")
     host = F.lower(F.regexp_extract(F.coalesce("_url", F.lit("")), r"^[a-zA-Z][^:/]*://([^/?#]*)", 1))
-    trees = parsed.select(ROW, host.alias("_host"), F.inline("_subtrees")).select(ROW, F.xxhash64("_host", "tree").alias("_key"), "tree", "outside", "rest")
+    trees = parsed.select(ROW, host.alias("_host"), F.inline("_subtrees")).select(ROW, F.xxhash64("_host", "tree").alias("_key"), "outside", "rest", "runs")
+    # Different contents take as many pages: subtrees on fewer are left out before their contents are counted.
+    often = settled(trees.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") >= min(least, outside)).select(F.col("_key").alias("_often")), "often")
     # A subtree with nothing beside it has one remaining content, the empty one.
-    rests = trees.select("_key", F.posexplode(F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.array(F.lit(0).cast("long")))).alias("_nth", "_rest")).distinct()
+    some = trees.join(often, F.col("_key") == F.col("_often"), "left_semi")
+    rests = some.select("_key", F.posexplode(F.when(F.size("rest") > 0, F.col("rest")).otherwise(F.array(F.lit(0).cast("long")))).alias("_nth", "_rest")).distinct()
     counts = rests.groupBy("_key", "_nth").agg(F.count("*").alias("_n")).groupBy("_key").agg(F.max("_n").alias("_n"))
     recurring = settled(counts.where(F.col("_n") >= min(least, outside)).withColumnRenamed("_key", "_common"), "templates")
-    common = trees.join(recurring, F.col("_key") == F.col("_common")).where(F.col("_n") >= F.when(F.col("outside"), outside).otherwise(least))
-    templates = common.groupBy(ROW).agg(F.collect_set("tree").alias("_gone"))
+    common = trees.drop("rest").join(recurring, F.col("_key") == F.col("_common")).where(F.col("_n") >= F.when(F.col("outside"), outside).otherwise(least))
+    templates = settled(common.groupBy(ROW).agg(F.flatten(F.collect_list("runs")).alias("_gone")), "deleted")
     joined = parsed.select(ROW, "_id", "_url", "_blocks").join(templates, ROW, "left")
-    gone = F.coalesce("_gone", F.array().cast("array<bigint>"))
-    kept = F.filter("_blocks", lambda b: ~F.arrays_overlap(b["trees"], gone))
-    text = F.array_join(F.transform(kept, lambda b: b["text"]), "\n")
+    gone = F.coalesce("_gone", F.array().cast(RUNS))
+    kept = F.filter("_blocks", lambda b, i: ~F.exists(gone, lambda g: (i >= g["first"]) & (i < g["last"])))
+    text = F.array_join(kept, "\n")
     return joined.select("_id", "_url", text.alias("text"), F.char_length(text).cast("long").alias("n_chars"))
