@@ -38,11 +38,12 @@ def word_ids(model, bare, ends, new: list[str], pieces: dict[str, bytes]) -> dic
     import numpy as np
     import regex
 
-    split = regex.compile(PIECES)
     plain = regex.compile(PLAIN).fullmatch
-    cut = {w: split.findall(w.lower()) for w in new if plain(w) and "<|" not in w}
-    whole = [w for w in new if w not in cut]
-    fresh = list(set().union(*cut.values()) - pieces.keys())
+    # No word holds a blank, so all are cut in one call and a blank stands behind each.
+    ready = new if new and plain(" ".join(new)) and not any("<|" in w for w in new) else [w for w in new if (not w or plain(w)) and "<|" not in w]
+    whole = [] if ready is new else list(set(new).difference(ready))
+    parts = regex.compile(f"{PIECES}| ").findall(" ".join([*ready, ""]).lower())
+    fresh = list(set(parts) - pieces.keys() - {" "})
     for i in range(0, len(fresh), 1024):
         part = fresh[i : i + 1024]
         ids = np.array(bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
@@ -54,7 +55,12 @@ def word_ids(model, bare, ends, new: list[str], pieces: dict[str, bytes]) -> dic
         for piece, until in zip(part, after.tolist(), strict=True):
             pieces[piece] = raw[at:until]
             at = until
-    return {w: b"".join([pieces[x] for x in parts]) for w, parts in cut.items()} | _one_by_one(model, whole)
+    held, at, out = [pieces.get(x) for x in parts], 0, {}
+    for word in ready:
+        until = parts.index(" ", at)
+        out[word] = b"".join(held[at:until])
+        at = until + 1
+    return out | _one_by_one(model, whole)
 
 
 def _one_by_one(model, words: list[str]) -> dict[str, bytes]:
@@ -109,15 +115,19 @@ def token_runs(tokenizer: str, end: int):
         tail = np.array([end], "<u4").tobytes()
         for batch in batches:
             texts = [(t or "").split(" ") for t in batch.column("text").to_pylist()]
-            words = set().union(*texts)
-            new = [w for w in words if w not in known]
+            # One look at each word; only texts with words not met before are gone through again.
+            held = [list(map(known.get, words)) for words in texts]
+            open_ = [i for i, x in enumerate(held) if None in x]
+            new = list({w for i in open_ for w, x in zip(texts[i], held[i], strict=True) if x is None})
             if len(known) + len(new) > packing.REMEMBERED:
                 known.clear()
-                new = list(words)
             if len(pieces) > packing.REMEMBERED:
                 pieces.clear()
-            known.update(word_ids(model, bare, ends, new, pieces))
-            ids = [b"".join(map(known.__getitem__, words)) + tail for words in texts]
+            fresh = word_ids(model, bare, ends, new, pieces)
+            known.update(fresh)
+            for i in open_:
+                held[i] = [fresh[w] if x is None else x for w, x in zip(texts[i], held[i], strict=True)]
+            ids = [b"".join(x) + tail for x in held]
             starts = []
             for x in ids:
                 starts.append(at)
