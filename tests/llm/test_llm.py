@@ -1,9 +1,11 @@
 """The operators against brute force on small tables."""
 
 import hashlib
+import time
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,6 +142,75 @@ def test_html(spark):
     assert got[1]["text"] == "Head & tail\nOne two\nthree" and got[2]["text"] == "" and got[12]["text"] == "own 2"
 
 
+def test_warc_records(spark):
+    """Repeated long rows have one response; every record carries the mandatory headers; a dictionary may be compressed."""
+    import struct
+
+    import zstandard
+
+    long = "y" * 3000
+    rows = [(5, "u", long)] * 4 + [(5, "a", long), (None, "u", long), (3, None, long), (7, "u", None)]
+    back = warc.round_trip(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    kinds = Counter((r["page_id"], r["url"], r["record_type"], r["refers_to"]) for r in back)
+    assert kinds == {(5, "u", "response", None): 1, (5, "u", "revisit", 5): 3, (5, "a", "revisit", 5): 1, (None, "u", "revisit", 5): 1, (3, None, "revisit", 5): 1, (7, "u", "response", None): 1}
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert warc.round_trip(empty).count() == 0
+    raw = warc.record(1, "u", b"abc", hashlib.sha1(b"abc").hexdigest(), None, False, "1", "2020-01-01T00:00:00Z")
+    heads, block = warc.parse(raw)
+    assert block == b"abc" and heads["WARC-Record-ID"].startswith("<urn:uuid:") and heads["WARC-Date"] == "2020-01-01T00:00:00Z"
+    for bad in (raw.replace(b"WARC-Date: 2020-01-01T00:00:00Z\r\n", b""), raw.replace(b"abc\r\n\r\n", b"abcd\r\n\r\n"), raw.replace(b"abc", b"abd")):
+        with pytest.raises(ValueError):
+            warc.parse(bad)
+    words = zstandard.ZstdCompressionDict(b"some words of a dictionary " * 9)
+    packed = zstandard.ZstdCompressor().compress(words.as_bytes())
+    archive = struct.pack("<II", warc.DICTIONARY, len(packed)) + packed + zstandard.ZstdCompressor(dict_data=words).compress(raw)
+    assert list(warc.frames(archive)) == [raw]
+
+
+def test_packed_ids_are_those_of_the_tokenizer(spark):
+    """Every id of whole texts against encoding each text at once, joined over the pieces."""
+    from tokenizers import Tokenizer
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(80)
+    texts = {r[0]: r[1] or "" for r in df.collect()}
+    own = [(-1, "  two  blanks "), (-2, "Tabs\tand\nlines"), (-3, ""), (-4, None), (-5, "x" * 70_000), (-6, "caf\u00e9 na\u00efve \u4f60\u597d \u00df")]
+    texts |= {i: t or "" for i, t in own}
+    got = defaultdict(list)
+    for r in packing.pack(df.union(spark.createDataFrame(own, "doc_id long, text string")), corpus_pipeline.tokenizer_path()).collect():
+        got[r["_id"]].append(r)
+    model = Tokenizer.from_file(corpus_pipeline.tokenizer_path())
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        ids = np.frombuffer(b"".join(bytes(r["ids"]) for r in sorted(got[i], key=lambda r: r["start"])), "<u4").tolist()
+        assert ids == [*model.encode(t, add_special_tokens=False).ids, 2]
+
+
+def test_html_markup_and_class_words(spark):
+    story = "<div class='social-science'><p>Study of people</p></div><p class='newsletter-archive-story'>An old letter</p>"
+    dropped = "<div class='cookie-notice'><p>We set cookies</p></div><ul id=site-nav-menu><li>Home</li></ul><div role='navigation'>Ways</div>"
+    rows = [("http://a/", f"<article>{story}{dropped}</article>"), ("http://b/", '<p class="x>Broken quote</p><p title="a > b">Next</p>'), ("http://c/", "<p>a < b and <b>c</b></p>"), ("http://d/", "<p>open <!-- never closed <p>gone</p>")]
+    assert texts_of(spark, rows) == ["Study of people\nAn old letter", "Broken quote\nNext", "a < b and c", "open"]
+
+
+def test_html_work_grows_with_the_page():
+    """Paragraphs in nested elements leave a run each, not a hash for each block in it; broken tags are read once."""
+    n = 2000
+    page = "".join(f"<div><p>line {i}</p>" for i in range(n)) + "</div>" * n
+    found, trees = html_text.blocks(page)
+    assert len(found) == n and len(trees) == 2 * n
+    assert len(html_text.subtrees(found, trees)) == 2 * n
+    start = time.perf_counter()
+    html_text.blocks('<p class="x ' * 20_000)
+    html_text.blocks('<p class="x>' * 20_000)
+    assert time.perf_counter() - start < 10
+
+
+def test_equal_subtrees_of_a_page_are_one():
+    found, trees = html_text.blocks("<div><p>twice</p></div><p>own</p><div><p>twice</p></div>")
+    tree = max(html_text.subtrees(found, trees), key=lambda t: len(t["runs"]))
+    assert tree["runs"] == [{"first": 0, "last": 1}, {"first": 2, "last": 3}] and len(tree["rest"]) == 1
+
+
 def test_near_duplicate_classes_against_all_pairs(spark):
     """Classes of the whole small documents table, by comparing every text with every other one."""
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
