@@ -12,7 +12,14 @@ Signatures are cut into bands. In every bucket the members are compared with a f
 counts when the exact similarity of the texts reaches the threshold. Buckets whose members are then
 not all in one component are gone through again: members outside the main component of the bucket
 become heads too, more of them every round, and meet the members of other components, until each has
-been one. So every two texts of a bucket are in one component or were compared.
+been one. So every two texts of a bucket are in one component or were compared. Only buckets that still
+hold several components stay in the work.
+
+Comparing is done in two steps. One byte of every coordinate travels with a text; two texts that agree in
+fewer than AGREE coordinates are not near. Of the others the texts meet in blocks: the rows of a family
+(texts whose buckets have the same main component) are dealt over blocks of bounded bytes, and a pair of blocks gets each
+text it needs once, however many pairs it is in. Both steps read sorted partitions as a stream, so a
+task holds the heads of one bucket, or the texts of two blocks.
 """
 
 from __future__ import annotations
@@ -38,8 +45,12 @@ HEADS = 3
 MASKS = [0, 0x7FFFFFFFFFFFFFFF, 0x2AAAAAAAAAAAAAAA]
 #: Further heads a bucket takes in the first round after that, and their growth from round to round.
 MORE_HEADS, GROWTH = 8, 4
-#: Parts into which the members of a bucket are split before they meet a head.
+#: Parts into which a key is split before its rows meet.
 SALTS = 16
+#: Coordinates in which a pair must agree: one at similarity 0.8 falls below with a probability of 2e-7.
+AGREE = 140
+#: Members of a bucket that go to one task, and bytes of text in a block.
+PART, BLOCK_BYTES = 4096, 2 << 20
 #: Texts whose darts are thrown together.
 TOGETHER = 32
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -114,62 +125,137 @@ def signatures(texts: list[np.ndarray], k: int) -> np.ndarray:
 def _signatures(batches):
     known: dict = {}
     for batch in batches:
-        out: list = []
+        out, short = [], []
         texts = [shingles(t or "", known) for t in batch.column("text").to_pylist()]
         for i in range(0, len(texts), TOGETHER):
             part = texts[i : i + TOGETHER]
-            sig = signatures(part, BANDS * ROWS).reshape(len(part), BANDS, ROWS)
+            flat = signatures(part, BANDS * ROWS)
+            sig = flat.reshape(len(part), BANDS, ROWS)
             with np.errstate(over="ignore"):
                 h = np.tile(np.arange(BANDS, dtype=np.uint64), (len(part), 1))
                 for j in range(ROWS):
                     h = _mix(h * MIX + sig[:, :, j])
             out += [x if len(u) else [] for x, u in zip(h.view(np.int64), part, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int64()))], [ROW, "_bands"])
+            # The low bits of a dart name its coordinate, so its high byte is kept.
+            short += [x.tobytes() for x in (flat >> np.uint64(56)).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.list_(pa.int64())), pa.array(short, pa.binary())], [ROW, "_bands", "_sig"])
+
+
+def _bytes_of(column: pa.Array) -> np.ndarray:
+    """Signatures of a column, one row each."""
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), BANDS * ROWS)
+
+
+def _agreeing(batches):
+    """The pairs that agree in enough coordinates."""
+    for batch in batches:
+        same = (_bytes_of(batch.column("_sa")) == _bytes_of(batch.column("_sb"))).sum(1)
+        yield batch.select(["_a", "_b", "_pa", "_pb"]).take(pa.array(np.flatnonzero(same >= AGREE)))
+
+
+def _meet(batches):
+    """Pairs of members with heads of their bucket in other components, from rows sorted by (bucket, part, heads first)."""
+    at, heads = None, []
+    names = ["_bucket", "_part", "_kind", ROW, "_comp", "_place"]
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        bucket, part, kind, row, comp, place = (batch.column(c).to_numpy(zero_copy_only=False) for c in names)
+        sig = _bytes_of(batch.column("_sig"))
+        cuts = np.flatnonzero((bucket[1:] != bucket[:-1]) | (part[1:] != part[:-1]) | (kind[1:] != kind[:-1])) + 1
+        found: list = []
+        for i, j in zip([0, *cuts], [*cuts, len(row)], strict=True):
+            if at != (bucket[i], part[i]):
+                at, heads = (bucket[i], part[i]), []
+            if kind[i] == 0:
+                heads += zip(row[i:j], comp[i:j], place[i:j], sig[i:j], strict=True)
+                continue
+            for r, c, p, s in heads:
+                hit = i + np.flatnonzero((comp[i:j] != c) & ((sig[i:j] == s).sum(1) >= AGREE))
+                found.append((row[hit], np.full(len(hit), r), place[hit], np.full(len(hit), p)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], ["_a", "_b", "_pa", "_pb"])
 
 
 def _similar(batches):
-    """(_a, _b) of the pairs whose weighted Jaccard similarity reaches the threshold."""
+    """(_a, _b) of a forest over the pairs whose weighted Jaccard similarity reaches the threshold, from rows sorted by (blocks, texts first, _b)."""
     known: dict = {}
-    last, right = None, None
+    at, sets, root = None, {}, {}
+
+    def top(x):
+        while (up := root.get(x, x)) != x:
+            root[x] = x = root.get(up, up)
+        return x
+
     for batch in batches:
-        keep = []
-        for i, (b, ta, tb) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("_b", "_ta", "_tb")), strict=True)):
+        kept: list = []
+        last, ids = None, None
+        for u, v, kind, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("_u", "_v", "_kind", "_a", "_b", "text")), strict=True):
+            if at != (u, v):
+                at, sets, root, last = (u, v), {}, {}, None
+            if kind == 0:
+                sets[a] = shingles(text, known)
+                continue
+            x, y = top(a), top(b)
+            if x == y:
+                continue
             if b != last:
-                last, right = b, shingles(tb, known)
-            left = shingles(ta, known)
-            if min(len(left), len(right)) < THRESHOLD * max(len(left), len(right)):
+                last, ids = b, sets[b]
+            left = sets[a]
+            if min(len(left), len(ids)) < THRESHOLD * max(len(left), len(ids)):
                 continue
-            common = len(np.intersect1d(left, right, assume_unique=True))
-            if common >= THRESHOLD * (len(left) + len(right) - common):
-                keep.append(i)
-        yield batch.select(["_a", "_b"]).take(pa.array(keep, pa.int64()))
+            places = np.searchsorted(ids, left)
+            places[places == len(ids)] = 0
+            common = int((ids[places] == left).sum())
+            if common >= THRESHOLD * (len(left) + len(ids) - common):
+                root[x] = y
+                kept.append((a, b))
+        if kept:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["_a", "_b"])
 
 
-def _pairs(pairs: DataFrame) -> DataFrame:
-    return settled(pairs.select(F.greatest("_a", "_b").alias("_a"), F.least("_a", "_b").alias("_b")).distinct(), "pairs")
+def _placed(members: DataFrame, family: str, sizes: DataFrame) -> DataFrame:
+    """(_row, _place): the block of each row; family is the column of members by whose least value rows are put together."""
+    rows = members.groupBy(ROW).agg(F.min(family).alias("_family")).join(sizes, ROW)
+    weighed = attach(rows, ["_family"], F.col(ROW), {"_all": (F.sum, F.col("_bytes") + 64)}, SALTS)
+    block = F.pmod(F.xxhash64(ROW), F.ceil(F.col("_all") / BLOCK_BYTES))
+    return settled(weighed.select(ROW, F.xxhash64("_family", block).alias("_place")), "places")
 
 
 def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """The pairs whose texts are similar.
-
-    A head may have very many members: its text goes to every salt once, its members to one salt each.
-    """
-    needed = pairs.select(F.col("_a").alias(ROW)).union(pairs.select(F.col("_b").alias(ROW))).distinct()
-    texts = settled(whole.select(ROW, "text").join(needed, ROW, "left_semi"), "near-texts")
-    left = pairs.join(texts.select(F.col(ROW).alias("_a"), F.col("text").alias("_ta")), "_a")
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
-    sides = salted.select("_b", "_salt").distinct().join(texts.select(F.col(ROW).alias("_b"), F.col("text").alias("_tb")), "_b")
-    both = salted.join(sides, ["_b", "_salt"])
-    return settled(map_arrow(both.select("_a", "_b", "_ta", "_tb"), _similar, "_a long, _b long"), "links")
+    """Links (_a, _b) that join the same texts as all pairs (_a, _b, _pa, _pb) whose texts are similar."""
+    turned = F.col("_a") < F.col("_b")
+    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)) for x, y in (("_a", "_b"), ("_b", "_a"), ("_pa", "_pb"), ("_pb", "_pa"))]
+    once = pairs.select(*[e.alias(n) for e, n in zip(ends, ["_a", "_b", "_pa", "_pb"], strict=True)]).distinct()
+    asked = settled(once.select(F.least("_pa", "_pb").alias("_u"), F.greatest("_pa", "_pb").alias("_v"), "_a", "_b"), "pairs")
+    rows = settled(asked.select("_u", "_v", F.explode(F.array("_a", "_b")).alias(ROW)).distinct(), "sides")
+    texts = rows.join(whole.select(ROW, "text"), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_a"), F.lit(0).cast("long").alias("_b"), "text")
+    lines = texts.union(asked.select("_u", "_v", F.lit(1), "_a", "_b", F.lit("")))
+    stream = lines.repartition("_u", "_v").sortWithinPartitions("_u", "_v", "_kind", "_b")
+    return settled(map_arrow(stream, _similar, "_a long, _b long"), "links")
+
+
+def _grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after links: only the components found so far and what links them are gone through."""
+    if found is None:
+        return settled(components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v"))), "components")
+    part = found.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+    edges = links.join(part, F.col("_a") == F.col("_n"), "left").select(F.coalesce("_c", "_a").alias("u"), "_b")
+    edges = edges.join(part, F.col("_b") == F.col("_n"), "left").select("u", F.coalesce("_c", "_b").alias("v"))
+    merged = settled(components(edges), "merged")
+    onto = merged.select(F.col("node").alias("_c"), F.col("component").alias("_to"))
+    moved = part.join(onto, "_c", "left").select(F.col("_n").alias("node"), F.coalesce("_to", "_c").alias("component"))
+    return settled(moved.union(merged.join(found.select("node"), "node", "left_anti")), "components")
 
 
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members of the buckets that lie in several components, with their own (_comp) and the bucket's most frequent one (_main)."""
+    """Members of the buckets that lie in several components, with their own (_comp), the bucket's most frequent one (_main) and its members (_count)."""
     placed = members.join(found.select(F.col("node").alias(ROW), "component"), ROW, "left").select(ROW, "_bucket", "_asked", F.coalesce("component", ROW).alias("_comp"))
-    counted = attach(placed, ["_bucket", "_comp"], F.col(ROW), {"_share": (F.sum, F.lit(1))}, SALTS)
-    main = {"_most": (F.max, F.struct("_share", "_comp")), "_low": (F.min, F.col("_comp")), "_high": (F.max, F.col("_comp"))}
-    mixed = attach(counted, ["_bucket"], F.col(ROW), main, SALTS, having="_ag__low < _ag__high")
-    return settled(mixed.select(ROW, "_bucket", "_asked", "_comp", F.col("_most._comp").alias("_main")), "mixed")
+    # A bucket of two was compared as a whole by its first heads, as any whose members all were heads.
+    of_part = placed.groupBy("_bucket", "_comp").agg(F.count("*").alias("_share"), F.count(F.when(~F.col("_asked"), 1)).alias("_left"))
+    of_all = of_part.groupBy("_bucket").agg(F.max(F.struct("_share", "_comp")).alias("_most"), F.sum("_share").alias("_count"), F.sum("_left").alias("_left"), F.count("*").alias("_parts"))
+    open_ones = settled(of_all.where("_parts > 1 and _left > 0").select("_bucket", F.col("_most._comp").alias("_main"), "_count"), "open")
+    return settled(placed.join(open_ones, "_bucket").select(ROW, "_bucket", "_asked", "_comp", "_main", "_count"), "mixed")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", row: str | None = None) -> DataFrame:
@@ -178,39 +264,47 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     Equal texts share a class, also empty and null ones; among different texts only those with words
     can be near. Null ids come last. Repeated rows are in one class. Empty table: no rows.
     """
-    whole = settled(docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias(ROW), F.col(f"`{ident}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")), "texts")
+    whole = settled(docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias(ROW), F.col(f"`{ident}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("_bytes", F.octet_length("text")), "texts")
     copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW))).select(ROW, "_id", "keep_row", "kept"), "copies")
     singles = copies.where("kept").select(ROW)
-    bands = settled(map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>").join(singles, ROW, "left_semi"), "bands")
+    signed = map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>, _sig binary")
+    bands = settled(signed.join(singles, ROW, "left_semi"), "bands")
+    sizes = whole.select(ROW, "_bytes")
     # Members and heads of every bucket with more than one text; each head is the least in an order of its own (numbers, so that they are hash aggregated).
     flat = bands.select(ROW, F.explode("_bands").alias("_bucket"))
-    heads = {"_n": (F.sum, F.lit(1))} | {f"_h{i}": (F.min, F.col(ROW).bitwiseXOR(F.lit(MASKS[i]))) for i in range(HEADS)}
-    full = settled(attach(flat, ["_bucket"], F.col(ROW), heads, having="_ag__n > 1"), "buckets")
-    first = F.array(*[F.col(f"_h{i}").bitwiseXOR(F.lit(MASKS[i])) for i in range(HEADS)])
-    pairs = _pairs(full.select(F.col(ROW).alias("_a"), F.explode(first).alias("_b")).where("_a <> _b"))
-    links = _links(pairs, whole)
-    found = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
-    members = full.select(ROW, "_bucket", F.array_contains(first, F.col(ROW)).alias("_asked"))
-    asked, more = None, MORE_HEADS
+    orders = [F.min(F.col(ROW).bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"_h{i}") for i, m in enumerate(MASKS[:HEADS])]
+    shared = settled(flat.groupBy("_bucket").agg(F.count("*").alias("_n"), *orders).where("_n > 1"), "shared")
+    full = settled(flat.join(shared.drop("_n"), "_bucket"), "buckets")
+    first = F.array(*[F.col(f"_h{i}") for i in range(HEADS)])
+    known = settled(bands.select(ROW, "_sig").join(_placed(full, "_h0", sizes), ROW), "known")
+    pairs = settled(full.select(F.col(ROW).alias("_a"), F.explode(F.array_distinct(first)).alias("_b")).where("_a <> _b").distinct(), "first-pairs")
+    left = pairs.join(known.select(F.col(ROW).alias("_a"), F.col("_sig").alias("_sa"), F.col("_place").alias("_pa")), "_a")
+    salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
+    sides = known.join(pairs.select(F.col("_b").alias(ROW)).distinct(), ROW, "left_semi").select(F.col(ROW).alias("_b"), F.col("_sig").alias("_sb"), F.col("_place").alias("_pb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    near = map_arrow(salted.join(sides, ["_b", "_salt"]).select("_a", "_b", "_pa", "_pb", "_sa", "_sb"), _agreeing, "_a long, _b long, _pa long, _pb long")
+    found = _grown(None, _links(near, whole))
+    members, texts, more = full.select(ROW, "_bucket", F.array_contains(first, F.col(ROW)).alias("_asked")), None, MORE_HEADS
     while True:
         mixed = _mixed(members, found)
-        waiting = mixed.where("not _asked and _comp <> _main")
-        if asked is not None:
-            waiting = waiting.join(asked, ["_bucket", ROW], "left_anti")
         order = W.partitionBy("_bucket").orderBy(ROW)
-        heads = settled(waiting.select("_bucket", F.col(ROW).alias("_b"), F.col("_comp").alias("_bcomp"), F.row_number().over(order).alias("_place")).where(F.col("_place") <= more), "more-heads")
+        waiting = mixed.where("not _asked and _comp <> _main").select("_bucket", ROW, F.row_number().over(order).alias("_at"))
+        heads = settled(waiting.where(F.col("_at") <= more).select("_bucket", ROW, F.lit(True).alias("_now")), "more-heads")
         if heads.isEmpty():
             break
-        sides = heads.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-        met = mixed.withColumn("_salt", F.pmod(F.xxhash64(ROW), F.lit(SALTS)).cast("int")).join(sides, ["_bucket", "_salt"]).where("_comp <> _bcomp")
-        new = settled(_pairs(met.select(F.col(ROW).alias("_a"), "_b")).join(pairs, ["_a", "_b"], "left_anti"), "more-pairs")
-        taken = heads.select("_bucket", F.col("_b").alias(ROW))
-        asked, more = taken if asked is None else asked.union(taken), more * GROWTH
-        fresh = _links(new, whole)
-        pairs = pairs.union(new)
-        if not fresh.isEmpty():
-            links = links.union(fresh)
-            found = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v")))
+        if texts is None:  # Later rounds need only texts of buckets that are mixed now.
+            texts = settled(whole.join(mixed.select(ROW).distinct(), ROW, "left_semi"), "mixed-texts")
+        marked = mixed.join(heads, ["_bucket", ROW], "left")
+        known = bands.select(ROW, "_sig").join(_placed(mixed, "_main", texts.select(ROW, "_bytes")), ROW)
+        parts = F.ceil(F.col("_count") / PART)
+        rows = settled(marked.join(known, ROW).where("_now or not _asked").select("_bucket", parts.alias("_parts"), ROW, "_comp", "_place", "_sig", "_now"), "meeting")
+        common = [ROW, "_comp", "_place", "_sig"]
+        ahead = rows.where("_now").select("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), *common)
+        behind = rows.select("_bucket", F.pmod(F.xxhash64(ROW), F.col("_parts")).alias("_part"), F.lit(1).alias("_kind"), *common)
+        stream = ahead.union(behind).repartition("_bucket", "_part").sortWithinPartitions("_bucket", "_part", "_kind")
+        fresh = _links(map_arrow(stream, _meet, "_a long, _b long, _pa long, _pb long"), texts)
+        # Who was asked has met every member of another component, so the two need not meet again.
+        members, more = marked.select(ROW, "_bucket", (F.col("_asked") | F.col("_now").isNotNull()).alias("_asked")), more * GROWTH
+        found = _grown(found, fresh)
     # Copies follow the text that stands for them; few links per text remain, so this join has no hot key but copies.
     joined = attach_component(copies, found)
     best = F.struct(F.col("_id").isNull().alias("n"), F.col("_id").alias("id"), F.col(ROW).alias("r"))

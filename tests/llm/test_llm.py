@@ -261,7 +261,8 @@ def test_no_link_is_lost_where_heads_are_missed(spark, monkeypatch):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([[7]] * batch.num_rows, pa.list_(pa.int64()))], ["_row", "_bands"])
+            alike = pa.array([bytes(module.BANDS * module.ROWS)] * batch.num_rows, pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([[7]] * batch.num_rows, pa.list_(pa.int64())), alike], ["_row", "_bands", "_sig"])
 
     monkeypatch.setattr(module, "_signatures", one_bucket)
     monkeypatch.setattr(module, "MORE_HEADS", 2)
