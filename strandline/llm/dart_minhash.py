@@ -172,15 +172,26 @@ def _meet(batches):
                 continue
             for r, c, p, s in heads:
                 hit = i + np.flatnonzero((comp[i:j] != c) & ((sig[i:j] == s).sum(1) >= AGREE))
-                found.append((row[hit], np.full(len(hit), r), place[hit], np.full(len(hit), p)))
+                found += [(row[hit[place[hit] == q]], r, q, p) for q in np.unique(place[hit])]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*found, strict=True)], ["_a", "_b", "_pa", "_pb"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*found, strict=True), [pa.list_(pa.int64())] + [pa.int64()] * 3, strict=True)], ["_as", "_b", "_pa", "_pb"])
+
+
+def _sides(batches):
+    """The texts that the pairs of blocks of a batch need, each once."""
+    for batch in batches:
+        u, v, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_u", "_v", "_b"))
+        many = batch.column("_as")
+        a, of = many.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), many.value_lengths().to_numpy(zero_copy_only=False))
+        every = np.unique(np.concatenate([np.stack([u, v, b], 1), np.stack([u[of], v[of], a], 1)]), axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[:, i])) for i in range(3)], ["_u", "_v", ROW])
 
 
 def _similar(batches):
     """(_a, _b) of a forest over the pairs whose weighted Jaccard similarity reaches the threshold, from rows sorted by (blocks, texts first, _b)."""
     known: dict = {}
     at, sets, root = None, {}, {}
+    last, right, met = None, None, set()
 
     def top(x):
         while (up := root.get(x, x)) != x:
@@ -189,27 +200,28 @@ def _similar(batches):
 
     for batch in batches:
         kept: list = []
-        last, ids = None, None
-        for u, v, kind, a, b, text in zip(*(batch.column(c).to_pylist() for c in ("_u", "_v", "_kind", "_a", "_b", "text")), strict=True):
+        for u, v, kind, b, many, text in zip(*(batch.column(c).to_pylist() for c in ("_u", "_v", "_kind", "_b", "_as", "text")), strict=True):
             if at != (u, v):
                 at, sets, root, last = (u, v), {}, {}, None
             if kind == 0:
-                sets[a] = shingles(text, known)
-                continue
-            x, y = top(a), top(b)
-            if x == y:
+                sets[b] = shingles(text, known)
                 continue
             if b != last:
-                last, ids = b, sets[b]
-            left = sets[a]
-            if min(len(left), len(ids)) < THRESHOLD * max(len(left), len(ids)):
-                continue
-            places = np.searchsorted(ids, left)
-            places[places == len(ids)] = 0
-            common = int((ids[places] == left).sum())
-            if common >= THRESHOLD * (len(left) + len(ids) - common):
-                root[x] = y
-                kept.append((a, b))
+                last, right, met = b, sets[b], set()
+            for a in many:
+                # A pair may come from several buckets.
+                if a in met or (x := top(a)) == (y := top(b)):
+                    continue
+                met.add(a)
+                left = sets[a]
+                if min(len(left), len(right)) < THRESHOLD * max(len(left), len(right)):
+                    continue
+                places = np.searchsorted(right, left)
+                places[places == len(right)] = 0
+                common = int((right[places] == left).sum())
+                if common >= THRESHOLD * (len(left) + len(right) - common):
+                    root[x] = y
+                    kept.append((a, b))
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*kept, strict=True)], ["_a", "_b"])
 
@@ -223,14 +235,12 @@ def _placed(members: DataFrame, family: str, sizes: DataFrame) -> DataFrame:
 
 
 def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Links (_a, _b) that join the same texts as all pairs (_a, _b, _pa, _pb) whose texts are similar."""
-    turned = F.col("_a") < F.col("_b")
-    ends = [F.when(turned, F.col(y)).otherwise(F.col(x)) for x, y in (("_a", "_b"), ("_b", "_a"), ("_pa", "_pb"), ("_pb", "_pa"))]
-    once = pairs.select(*[e.alias(n) for e, n in zip(ends, ["_a", "_b", "_pa", "_pb"], strict=True)]).distinct()
-    asked = settled(once.select(F.least("_pa", "_pb").alias("_u"), F.greatest("_pa", "_pb").alias("_v"), "_a", "_b"), "pairs")
-    rows = settled(asked.select("_u", "_v", F.explode(F.array("_a", "_b")).alias(ROW)).distinct(), "sides")
-    texts = rows.join(whole.select(ROW, "text"), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_a"), F.lit(0).cast("long").alias("_b"), "text")
-    lines = texts.union(asked.select("_u", "_v", F.lit(1), "_a", "_b", F.lit("")))
+    """Links (_a, _b) that join the same texts as those pairs whose texts are similar; pairs is _b, its partners _as of one block, their blocks _pb and _pa."""
+    asked = settled(pairs.select(F.least("_pa", "_pb").alias("_u"), F.greatest("_pa", "_pb").alias("_v"), "_b", "_as"), "pairs")
+    rows = settled(map_arrow(asked, _sides, f"_u long, _v long, {ROW} long").distinct(), "sides")
+    none = F.array().cast("array<long>")
+    texts = rows.join(whole.select(ROW, "text"), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_b"), none.alias("_as"), "text")
+    lines = texts.union(asked.select("_u", "_v", F.lit(1), "_b", "_as", F.lit("")))
     stream = lines.repartition("_u", "_v").sortWithinPartitions("_u", "_v", "_kind", "_b")
     return settled(map_arrow(stream, _similar, "_a long, _b long"), "links")
 
@@ -282,7 +292,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
     sides = known.join(pairs.select(F.col("_b").alias(ROW)).distinct(), ROW, "left_semi").select(F.col(ROW).alias("_b"), F.col("_sig").alias("_sb"), F.col("_place").alias("_pb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
     near = map_arrow(salted.join(sides, ["_b", "_salt"]).select("_a", "_b", "_pa", "_pb", "_sa", "_sb"), _agreeing, "_a long, _b long, _pa long, _pb long")
-    found = _grown(None, _links(near, whole))
+    found = _grown(None, _links(near.withColumn("_as", F.array("_a")), whole))
     members, texts, more = full.select(ROW, "_bucket", F.array_contains(first, F.col(ROW)).alias("_asked")), None, MORE_HEADS
     while True:
         mixed = _mixed(members, found)
@@ -301,7 +311,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
         ahead = rows.where("_now").select("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), *common)
         behind = rows.select("_bucket", F.pmod(F.xxhash64(ROW), F.col("_parts")).alias("_part"), F.lit(1).alias("_kind"), *common)
         stream = ahead.union(behind).repartition("_bucket", "_part").sortWithinPartitions("_bucket", "_part", "_kind")
-        fresh = _links(map_arrow(stream, _meet, "_a long, _b long, _pa long, _pb long"), texts)
+        fresh = _links(map_arrow(stream, _meet, "_as array<long>, _b long, _pa long, _pb long"), texts)
         # Who was asked has met every member of another component, so the two need not meet again.
         members, more = marked.select(ROW, "_bucket", (F.col("_asked") | F.col("_now").isNotNull()).alias("_asked")), more * GROWTH
         found = _grown(found, fresh)
