@@ -154,3 +154,15 @@ def test_work_folder_comes_from_the_session(spark):
     assert shared_dir(NoFolder("local[2]")) == shared_dir(NoFolder("local[2]"))
     with pytest.raises(RuntimeError):
         shared_dir(NoFolder("yarn"))
+
+
+def test_spine_work_is_dealt_over_the_tasks(spark):
+    """Stations of one task unfold to their days in many; ids as names.day_key makes them, also of a null and a repeated station."""
+    from strandline.functions.names import day_key
+
+    points = spark.createDataFrame([(i if i else None,) for i in [*range(200), 7]], "transect int").coalesce(1)
+    s = cl.spine(points, spark.createDataFrame([(2004,), (2005,), (None,)], "year int"))
+    parts = s.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 201 * 731
+    assert len(parts) > 1 and max(r["count"] for r in parts) < 201 * 731 / 2
+    assert s.where((F.col("id") != day_key("date", "transect")) | (F.col("day") != F.col("date").cast("string"))).count() == 0
