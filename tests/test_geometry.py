@@ -157,3 +157,26 @@ def test_polygons_side_by_side_stay_linear(spark):
     assert inner.select("poly_id", F.explode(F.expr("sequence(shiftleft(_cx, _level), shiftleft(_cx + 1, _level) - 1)")).alias("x"), "_cy").groupBy("x", "_cy").count().where("count > 1").isEmpty()
     pts = spark.createDataFrame([(i, i + 0.5, 4.5) for i in range(10 * n)], "id int, x double, y double")
     assert sl.in_polygons(pts, "id", rings, strip=1.0).count() == 8 * n
+
+
+def test_crowded_line_meets_in_one_place_only(spark):
+    """Many long segments on few lines, upright, level and slanted: every shared piece once, and no candidates beside them."""
+    rng = np.random.default_rng(8)
+    ways = [(0.0, 1.0), (1.0, 0.0), (2.0, -1.0), (-3.0, 4.0)]
+    make = lambda n: [(*(float(v) for v in (dx * a + x, dy * a, dx * b + x, dy * b)),) for (dx, dy), x, a, b in (
+        (ways[rng.integers(4)], float(rng.integers(3) * 64), int(rng.integers(-200, 200)), int(rng.integers(-200, 200))) for _ in range(n))]
+    left, right = make(120), make(150)
+    a, b = lines(spark, [list(v) for v in left]), lines(spark, [list(v) for v in right])
+    want = set()
+    for i, (x0, y0, x1, y1) in enumerate(left):
+        ax, ay = x1 - x0, y1 - y0
+        for j, (u0, v0, u1, v1) in enumerate(right):
+            if ax * (v1 - v0) != ay * (u1 - u0) or ax * (v0 - y0) != ay * (u0 - x0) or (ax, ay) == (0, 0):
+                continue
+            t = sorted(((u - x0) * ax + (v - y0) * ay) / (ax * ax + ay * ay) for u, v in ((u0, v0), (u1, v1)))
+            if max(t[0], 0.0) < min(t[1], 1.0):
+                want.add((i, j, round(max(t[0], 0.0), 9), round(min(t[1], 1.0), 9)))
+    found = [(r.l_id, r.r_id, round(r.t0, 9), round(r.t1, 9)) for r in sl.segment_overlaps(a, b, 64.0).collect()]
+    assert len(want) > 500 and set(found) == want and len(found) == len(want)
+    met = sl._later_starts(a, b, 64.0, "l_").count() + sl._later_starts(a, b, 64.0, "r_").count()
+    assert met < 2 * len(want)
