@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strandline.functions.projection import affine_pixel, affine_xy, utm_lonlat
 from strandline.operators.blocks import BLOCK, along_row, with_halo
 from strandline.operators.spatial import in_polygons
+from strandline.session import spread
 
 # A month label stands for the day this many days after its first.
 LABEL_DAY = 14
@@ -166,7 +167,8 @@ def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = T
     the mapping makes it), gets that box as one array, and is unfolded afterwards.
     """
     steps = lambda size: F.explode(F.sequence(F.lit(0), F.expr(f"({size} - 1) div {tile}").cast("int")))
-    tiles = frames.where("nrows > 0 and ncols > 0").withColumn("_tr", steps("nrows")).withColumn("_tc", steps("ncols"))
+    # A tile is one short row and thousands of pixels, so tiles are dealt by number; patches meet them in the same deal.
+    tiles = spread(frames.where("nrows > 0 and ncols > 0").withColumn("_tr", steps("nrows")).withColumn("_tc", steps("ncols")), "scene_id", "_tr", "_tc")
     inside = lambda axis, size: F.explode(F.sequence(F.col(axis) * tile, (F.least((F.col(axis) + 1) * tile, F.col(size)) - 1).cast("int")))
     unfold = lambda df: df.withColumn("row", inside("_tr", "nrows")).withColumn("col", inside("_tc", "ncols"))
     v, u = _warp_position()
@@ -184,7 +186,7 @@ def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = T
     filled = cells.join(planes, ["scene_id", "row", "col"], "left")
     patch = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "_v"))), lambda x: x["_v"]).alias("_patch")
     patches = filled.groupBy("scene_id", "_tr", "_tc").agg(patch, *[F.first(c).alias(c) for c in ("_r0", "_r1", "_c0", "_c1")])
-    whole = unfold(tiles.join(patches, ["scene_id", "_tr", "_tc"], "left")).select("scene_id", "row", "col", v.alias("_y"), u.alias("_x"), "source_rows", "source_cols", "_patch", "_r0", "_r1", "_c0", "_c1")
+    whole = unfold(spread(tiles.join(patches, ["scene_id", "_tr", "_tc"], "left"), "scene_id", "_tr", "_tc")).select("scene_id", "row", "col", v.alias("_y"), u.alias("_x"), "source_rows", "source_cols", "_patch", "_r0", "_r1", "_c0", "_c1")
 
     def at(r: Column, c: Column) -> Column:
         within = r.between(F.col("_r0"), F.col("_r1")) & c.between(F.col("_c0"), F.col("_c1"))

@@ -59,3 +59,11 @@ def test_reproject_scenes_of_any_size(spark, smooth):
     assert sum(v is None for v in want.values()) > 20 < sum(v is not None for v in want.values())
     for k, v in want.items():
         assert (got[k] is None) == (v is None) and (v is None or abs(got[k] - v) < 1e-9), k
+
+
+def test_tiles_of_few_frames_are_dealt_over_the_tasks(spark):
+    frames = [(s, (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), (1.0, 0.0, 0.0, 0.0, -1.0, 0.0), 64, 64, 3, 3, 0.0, False) for s in range(4)]
+    source = spark.createDataFrame([(s, 0, 0, 1.0) for s in range(4)], "scene_id int, row int, col int, label double")
+    out = lb.reproject(source, "label", spark.createDataFrame(frames, FRAME).coalesce(1), tile=8)
+    parts = out.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in parts) == 4 * 64 * 64 and max(r["count"] for r in parts) < 4 * 64 * 64 / 2
