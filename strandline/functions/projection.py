@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandline.functions.spectral import col
@@ -61,17 +61,37 @@ def utm_xy(lon: Column | str, lat: Column | str, lon0: float = UTM_LON0) -> tupl
 def utm_lonlat(x: Column | str, y: Column | str, lon0: Column | float = UTM_LON0) -> tuple[Column, Column]:
     """Inverse of utm_xy, in degrees."""
     xi, eta = col(y) / (UTM_K0 * UTM_A), (col(x) - UTM_E0) / (UTM_K0 * UTM_A)
+    north, east = _on_sphere(xi, eta)
+    return _lonlat(north, east, F.asin(F.sin(north) / F.cosh(east)), lon0)
+
+
+def _on_sphere(xi: Column, eta: Column) -> tuple[Column, Column]:
     north, east = xi, eta
     for j, b in enumerate(UTM_BETA, start=1):
         north = north - b * F.sin(2 * j * xi) * F.cosh(2 * j * eta)
         east = east - b * F.cos(2 * j * xi) * F.sinh(2 * j * eta)
-    chi = F.asin(F.sin(north) / F.cosh(east))
+    return north, east
+
+
+def _lonlat(north: Column, east: Column, chi: Column, lon0: Column | float) -> tuple[Column, Column]:
     phi = chi
     for j, d in enumerate(UTM_DELTA, start=1):
         phi = phi + d * F.sin(2 * j * chi)
     return lon0 + F.degrees(F.atan2(F.sinh(east), F.cos(north))), F.degrees(phi)
 
 
+def with_utm_lonlat(df: DataFrame, x: Column | str, y: Column | str, lon0: Column | float, lon: str, lat: str) -> DataFrame:
+    """df with utm_lonlat as columns lon and lat, term by term.
+
+    As one expression the terms are repeated in each other hundreds of times; as columns each is computed once a row.
+    """
+    df = df.withColumns({"_xi": col(y) / (UTM_K0 * UTM_A), "_eta": (col(x) - UTM_E0) / (UTM_K0 * UTM_A)})
+    df = df.withColumns(dict(zip(("_north", "_east"), _on_sphere(F.col("_xi"), F.col("_eta")), strict=True)))
+    df = df.withColumn("_chi", F.asin(F.sin("_north") / F.cosh("_east")))
+    df = df.withColumns(dict(zip((lon, lat), _lonlat(F.col("_north"), F.col("_east"), F.col("_chi"), lon0), strict=True)))
+    return df.drop("_xi", "_eta", "_north", "_east", "_chi")
+
+
 def affine_xy(row: Column | str, column: Column | str, affine: Column) -> tuple[Column, Column]:
     """World coordinates of a pixel centre; affine is a struct (a, b, c, d, e, f) with x = a col + b row + c, y = d col + e row + f at pixel corners."""
     i, j = col(column) + 0.5, col(row) + 0.5

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strandline.functions.projection import affine_pixel, affine_xy, utm_lonlat
+from strandline.functions.projection import affine_pixel, affine_xy, with_utm_lonlat
 from strandline.operators.blocks import BLOCK, along_row, with_halo
 from strandline.operators.spatial import in_polygons
 from strandline.session import spread
@@ -145,11 +145,12 @@ def upsample_nearest(source: DataFrame, value: str, factor: int) -> DataFrame:
 WARP_TILE = 64
 
 
-def _warp_position() -> tuple[Column, Column]:
-    """Fractional source (row, col) under the centre of target pixel (row, col) of its frame."""
-    x, y = affine_xy("row", "col", F.col("target"))
-    lon, lat = utm_lonlat(x, y, F.col("lon0"))
-    return affine_pixel(F.when(F.col("geographic"), lon).otherwise(x), F.when(F.col("geographic"), lat).otherwise(y), F.col("source"))
+def _warped(pixels: DataFrame) -> DataFrame:
+    """pixels with the fractional source (row, col) under the centre of target pixel (row, col) of its frame, as _y and _x."""
+    at = pixels.withColumns(dict(zip(("_tx", "_ty"), affine_xy("row", "col", F.col("target")), strict=True)))
+    at = with_utm_lonlat(at, "_tx", "_ty", F.col("lon0"), "_lon", "_lat")
+    place = [F.when(F.col("geographic"), F.col(g)).otherwise(F.col(p)) for g, p in (("_lon", "_tx"), ("_lat", "_ty"))]
+    return at.withColumns(dict(zip(("_y", "_x"), affine_pixel(*place, F.col("source")), strict=True))).drop("_tx", "_ty", "_lon", "_lat")
 
 
 def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = True, tile: int = WARP_TILE) -> DataFrame:
@@ -171,10 +172,10 @@ def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = T
     tiles = spread(frames.where("nrows > 0 and ncols > 0").withColumn("_tr", steps("nrows")).withColumn("_tc", steps("ncols")), "scene_id", "_tr", "_tc")
     inside = lambda axis, size: F.explode(F.sequence(F.col(axis) * tile, (F.least((F.col(axis) + 1) * tile, F.col(size)) - 1).cast("int")))
     unfold = lambda df: df.withColumn("row", inside("_tr", "nrows")).withColumn("col", inside("_tc", "ncols"))
-    v, u = _warp_position()
+    v, u = F.col("_y"), F.col("_x")
     reach = MAX_KERNEL - 1 if smooth else 0
     first = lambda p: F.floor(p if smooth else p + 0.5).cast("int")
-    span = unfold(tiles).groupBy("scene_id", "_tr", "_tc").agg(
+    span = _warped(unfold(tiles)).groupBy("scene_id", "_tr", "_tc").agg(
         F.min(first(v)).alias("_r0"), F.max(first(v)).alias("_r1"), F.min(first(u)).alias("_c0"), F.max(first(u)).alias("_c1"),
         F.first("source_rows").alias("_h"), F.first("source_cols").alias("_w"),
     )
@@ -186,7 +187,7 @@ def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = T
     filled = cells.join(planes, ["scene_id", "row", "col"], "left")
     patch = F.transform(F.array_sort(F.collect_list(F.struct("row", "col", "_v"))), lambda x: x["_v"]).alias("_patch")
     patches = filled.groupBy("scene_id", "_tr", "_tc").agg(patch, *[F.first(c).alias(c) for c in ("_r0", "_r1", "_c0", "_c1")])
-    whole = unfold(spread(tiles.join(patches, ["scene_id", "_tr", "_tc"], "left"), "scene_id", "_tr", "_tc")).select("scene_id", "row", "col", v.alias("_y"), u.alias("_x"), "source_rows", "source_cols", "_patch", "_r0", "_r1", "_c0", "_c1")
+    whole = _warped(unfold(spread(tiles.join(patches, ["scene_id", "_tr", "_tc"], "left"), "scene_id", "_tr", "_tc"))).select("scene_id", "row", "col", "_y", "_x", "source_rows", "source_cols", "_patch", "_r0", "_r1", "_c0", "_c1")
 
     def at(r: Column, c: Column) -> Column:
         within = r.between(F.col("_r0"), F.col("_r1")) & c.between(F.col("_c0"), F.col("_c1"))
@@ -197,12 +198,20 @@ def reproject(source: DataFrame, value: str, frames: DataFrame, smooth: bool = T
     if not smooth:
         return whole.select("scene_id", "row", "col", F.when(covered, at(ry, rx)).alias(value))
     whole = whole.withColumn("_i", F.floor("_y").cast("int")).withColumn("_j", F.floor("_x").cast("int"))
-    wy, wx = (_spline_taps(F.col(p) - F.col(i)) for p, i in (("_y", "_i"), ("_x", "_j")))
-    taps = F.array(*[F.struct((wy[a] * wx[b]).alias("w"), at(F.col("_i") + a - 1, F.col("_j") + b - 1).alias("v")) for a in range(4) for b in range(4)])
-    known = whole.select("scene_id", "row", "col", covered.alias("_in"), F.filter(taps, lambda t: t["v"].isNotNull()).alias("_taps"))
-    add = lambda get: F.aggregate("_taps", F.lit(0.0), lambda s, t: s + get(t))
-    result = F.try_divide(add(lambda t: t["w"] * t["v"]), add(lambda t: t["w"]))
-    return known.select("scene_id", "row", "col", F.when(F.col("_in"), result).alias(value))
+    # Weights and places of the four rows and columns once a pixel, then the sixteen values, then their sums.
+    near = {}
+    for axis, p, i, lo, hi in (("y", "_y", "_i", "_r0", "_r1"), ("x", "_x", "_j", "_c0", "_c1")):
+        for k, w in enumerate(_spline_taps(F.col(p) - F.col(i))):
+            place = F.col(i) + k - 1
+            near |= {f"_w{axis}{k}": w, f"_p{axis}{k}": F.when(place.between(F.col(lo), F.col(hi)), place - F.col(lo))}
+    whole = whole.withColumn("_in", covered).withColumn("_wide", F.col("_c1") - F.col("_c0") + 1).withColumns(near)
+    pairs = [(a, b) for a in range(4) for b in range(4)]
+    known = whole.withColumns({f"_v{a}{b}": F.get("_patch", F.col(f"_py{a}") * F.col("_wide") + F.col(f"_px{b}")) for a, b in pairs})
+    total, weight = F.lit(0.0), F.lit(0.0)
+    for a, b in pairs:
+        v, w = F.col(f"_v{a}{b}"), F.col(f"_wy{a}") * F.col(f"_wx{b}")
+        total, weight = total + F.coalesce(w * v, F.lit(0.0)), weight + F.when(v.isNotNull(), w).otherwise(0.0)
+    return known.select("scene_id", "row", "col", F.when(F.col("_in"), F.try_divide(total, weight)).alias(value))
 
 
 def _spline_taps(t: Column) -> list[Column]:
