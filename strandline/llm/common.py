@@ -30,6 +30,19 @@ def keyed(df: DataFrame, *columns: str | Column, label: str = "rows") -> DataFra
     return settled(df.select(*columns, F.monotonically_increasing_id().alias(ROW)), label)
 
 
+def among(df: DataFrame, rows: DataFrame, inside: bool = True) -> DataFrame:
+    """Rows of df whose _row is one of rows (inside False: is none of them); numbers as keyed gives them.
+
+    The numbers travel as bitmaps, one bit a row of df, so they are broadcast up to a very large table
+    and the texts of df stay where they are.
+    """
+    maps = settled(rows.groupBy(F.bitmap_bucket_number(ROW).alias("_bn")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(ROW)).alias("_bits")), "bitmaps")
+    byte = F.conv(F.hex(F.substring("_bits", (F.col("_bp") / 8).cast("int") + 1, 1)), 16, 10).cast("int")
+    found = F.coalesce(F.getbit(byte, (F.col("_bp") % 8).cast("int")) == 1, F.lit(False))
+    placed = df.select("*", F.bitmap_bucket_number(ROW).alias("_bn"), F.bitmap_bit_position(ROW).alias("_bp"))
+    return placed.join(maps, "_bn", "inner" if inside else "left").where(found if inside else ~found).select(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def training_row(doc_id: Column, parts: int) -> Column:
     """crc32 of doc_id as text modulo parts; a null doc_id counts as an empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import ROW, attach, map_arrow
+from strandline.llm.common import ROW, among, attach, map_arrow
 from strandline.llm.exact_dedup import classes, digests
 from strandline.operators.components import components
 from strandline.session import settled
@@ -147,10 +147,22 @@ def _bytes_of(column: pa.Array) -> np.ndarray:
 
 
 def _agreeing(batches):
-    """The pairs that agree in enough coordinates."""
+    """The pairs that agree in enough coordinates, from rows sorted by (blocks, signatures first)."""
+    at, held = None, {}
     for batch in batches:
-        same = (_bytes_of(batch.column("_sa")) == _bytes_of(batch.column("_sb"))).sum(1)
-        yield batch.select(["_a", "_b", "_pa", "_pb"]).take(pa.array(np.flatnonzero(same >= AGREE)))
+        pairs: list = []
+        for u, v, kind, b, many, sig in zip(*(batch.column(c).to_pylist() for c in ("_u", "_v", "_kind", "_b", "_as", "_sig")), strict=True):
+            if at != (u, v):
+                at, held = (u, v), {}
+            if kind == 0:
+                held[b] = sig
+            else:
+                pairs += [(a, b, u, v, held[a], held[b]) for a in many]
+        if pairs:
+            *names, left, right = zip(*pairs, strict=True)
+            left, right = (np.frombuffer(b"".join(x), np.uint8).reshape(len(pairs), -1) for x in (left, right))
+            near = np.flatnonzero((left == right).sum(1) >= AGREE)
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(c, np.int64)[near]) for c in names], ["_a", "_b", "_pa", "_pb"])
 
 
 def _meet(batches):
@@ -234,15 +246,20 @@ def _placed(members: DataFrame, family: str, sizes: DataFrame) -> DataFrame:
     return settled(weighed.select(ROW, F.xxhash64("_family", block).alias("_place")), "places")
 
 
-def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
-    """Links (_a, _b) that join the same texts as those pairs whose texts are similar; pairs is _b, its partners _as of one block, their blocks _pb and _pa."""
+def _in_blocks(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
+    """Rows (_u, _v, _kind, _b, _as, column) sorted by pairs of blocks: of each pair of blocks first the values (column, by _row) that its pairs need, each once, then the pairs."""
     asked = settled(pairs.select(F.least("_pa", "_pb").alias("_u"), F.greatest("_pa", "_pb").alias("_v"), "_b", "_as"), "pairs")
     rows = settled(map_arrow(asked, _sides, f"_u long, _v long, {ROW} long").distinct(), "sides")
     none = F.array().cast("array<long>")
-    texts = rows.join(whole.select(ROW, "text"), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_b"), none.alias("_as"), "text")
-    lines = texts.union(asked.select("_u", "_v", F.lit(1), "_b", "_as", F.lit("")))
-    stream = lines.repartition("_u", "_v").sortWithinPartitions("_u", "_v", "_kind", "_b")
-    return settled(map_arrow(stream, _similar, "_a long, _b long"), "links")
+    # Only the values of pairs that meet move.
+    held = rows.join(among(values.select(ROW, column), rows), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_b"), none.alias("_as"), column)
+    lines = held.union(asked.select("_u", "_v", F.lit(1), "_b", "_as", F.lit(None).cast(values.schema[column].dataType)))
+    return lines.repartition("_u", "_v").sortWithinPartitions("_u", "_v", "_kind", "_b")
+
+
+def _links(pairs: DataFrame, whole: DataFrame) -> DataFrame:
+    """Links (_a, _b) that join the same texts as those pairs whose texts are similar; pairs is _b, its partners _as of one block, their blocks _pb and _pa."""
+    return settled(map_arrow(_in_blocks(pairs, whole, "text"), _similar, "_a long, _b long"), "links")
 
 
 def _grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -274,7 +291,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     Equal texts share a class, also empty and null ones; among different texts only those with words
     can be near. Null ids come last. Repeated rows are in one class. Empty table: no rows.
     """
-    whole = settled(docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias(ROW), F.col(f"`{ident}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).withColumn("_bytes", F.octet_length("text")), "texts")
+    whole = docs.select((F.col(f"`{row}`") if row else F.monotonically_increasing_id()).alias(ROW), F.col(f"`{ident}`").alias("_id"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
+    # Rows that come with numbers are written already.
+    whole = (whole if row else settled(whole, "texts")).withColumn("_bytes", F.octet_length("text"))
     copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW))).select(ROW, "_id", "keep_row", "kept"), "copies")
     singles = copies.where("kept").select(ROW)
     signed = map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>, _sig binary")
@@ -286,12 +305,14 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     shared = settled(flat.groupBy("_bucket").agg(F.count("*").alias("_n"), *orders).where("_n > 1"), "shared")
     full = settled(flat.join(shared.drop("_n"), "_bucket"), "buckets")
     first = F.array(*[F.col(f"_h{i}") for i in range(HEADS)])
-    known = settled(bands.select(ROW, "_sig").join(_placed(full, "_h0", sizes), ROW), "known")
+    places = _placed(full, "_h0", sizes)
     pairs = settled(full.select(F.col(ROW).alias("_a"), F.explode(F.array_distinct(first)).alias("_b")).where("_a <> _b").distinct(), "first-pairs")
-    left = pairs.join(known.select(F.col(ROW).alias("_a"), F.col("_sig").alias("_sa"), F.col("_place").alias("_pa")), "_a")
+    left = pairs.join(places.select(F.col(ROW).alias("_a"), F.col("_place").alias("_pa")), "_a")
     salted = left.withColumn("_salt", F.pmod(F.xxhash64("_a"), F.lit(SALTS)).cast("int"))
-    sides = known.join(pairs.select(F.col("_b").alias(ROW)).distinct(), ROW, "left_semi").select(F.col(ROW).alias("_b"), F.col("_sig").alias("_sb"), F.col("_place").alias("_pb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    near = map_arrow(salted.join(sides, ["_b", "_salt"]).select("_a", "_b", "_pa", "_pb", "_sa", "_sb"), _agreeing, "_a long, _b long, _pa long, _pb long")
+    # A head may be in very many pairs; only its block goes to every salt, and signatures go once to a pair of blocks.
+    heads = places.join(pairs.select(F.col("_b").alias(ROW)).distinct(), ROW, "left_semi").select(F.col(ROW).alias("_b"), F.col("_place").alias("_pb"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    met = salted.join(heads, ["_b", "_salt"]).select("_b", "_pa", "_pb", F.array("_a").alias("_as"))
+    near = map_arrow(_in_blocks(met, bands, "_sig"), _agreeing, "_a long, _b long, _pa long, _pb long")
     found = _grown(None, _links(near.withColumn("_as", F.array("_a")), whole))
     members, texts, more = full.select(ROW, "_bucket", F.array_contains(first, F.col(ROW)).alias("_asked")), None, MORE_HEADS
     while True:
@@ -302,11 +323,13 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
         if heads.isEmpty():
             break
         if texts is None:  # Later rounds need only texts of buckets that are mixed now.
-            texts = settled(whole.join(mixed.select(ROW).distinct(), ROW, "left_semi"), "mixed-texts")
+            texts = among(whole, mixed.select(ROW))
         marked = mixed.join(heads, ["_bucket", ROW], "left")
         known = bands.select(ROW, "_sig").join(_placed(mixed, "_main", texts.select(ROW, "_bytes")), ROW)
         parts = F.ceil(F.col("_count") / PART)
-        rows = settled(marked.join(known, ROW).where("_now or not _asked").select("_bucket", parts.alias("_parts"), ROW, "_comp", "_place", "_sig", "_now"), "meeting")
+        # A text is in up to BANDS mixed buckets: its signature is joined once, then goes to each of them.
+        placed = marked.where("_now or not _asked").groupBy(ROW, "_comp").agg(F.collect_list(F.struct("_bucket", parts.alias("_parts"), "_now")).alias("_in"))
+        rows = settled(placed.join(known, ROW).select(ROW, "_comp", "_place", "_sig", F.inline("_in")), "meeting")
         common = [ROW, "_comp", "_place", "_sig"]
         ahead = rows.where("_now").select("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)).alias("_part"), F.lit(0).alias("_kind"), *common)
         behind = rows.select("_bucket", F.pmod(F.xxhash64(ROW), F.col("_parts")).alias("_part"), F.lit(1).alias("_kind"), *common)
@@ -336,4 +359,4 @@ def without_near_duplicates(docs: DataFrame) -> DataFrame:
     whole = keyed(docs)
     light = whole.select(ROW, F.col("_doc.doc_id").alias("doc_id"), F.col("_doc.text").alias("text"))
     gone = near_duplicates(light, row=ROW).where("not kept").select(ROW)
-    return whole.join(gone, ROW, "left_anti").select("_doc.*")
+    return among(whole, gone, inside=False).select("_doc.*")

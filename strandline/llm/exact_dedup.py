@@ -75,9 +75,9 @@ def exact_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
 
 def without_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id", largest: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns unchanged, whatever their names; nulls and repeated rows as above."""
-    from strandline.llm.common import keyed
+    from strandline.llm.common import among, keyed
 
     whole = keyed(docs)
     rows = digests(whole, F.col(f"_doc.`{text}`"), F.col(f"_doc.`{ident}`"), F.col(ROW))
     gone = classes(rows, largest).where("not kept").select(ROW)
-    return whole.join(gone, ROW, "left_anti").select("_doc.*")
+    return among(whole, gone, inside=False).select("_doc.*")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandline.llm.common import keyed, map_arrow
+from strandline.llm.common import among, keyed, map_arrow
 from strandline.session import settled
 
 FEATURES = ["f_symbol", "f_upper", "f_mark", "f_word", "f_repeat", "f_line", "f_stutter"]
@@ -167,4 +167,4 @@ def passing(docs: DataFrame, **options) -> DataFrame:
     whole = keyed(docs)
     light = whole.select("_row", *[F.col(f"_doc.`{c}`").alias(c) for c in docs.columns if c != "_row"])
     gone = quality_verdicts(light, ident="_row", **options).where("not kept").select(F.col("_id").alias("_row"))
-    return whole.join(gone, "_row", "left_anti").select("_doc.*")
+    return among(whole, gone, inside=False).select("_doc.*")

@@ -68,7 +68,8 @@ def settled(df: DataFrame, label: str = "table") -> DataFrame:
     executor, and it gives a small aggregate an exact size. Catalyst then broadcasts
     it in later joins only while it is under spark.sql.autoBroadcastJoinThreshold and
     falls back to a shuffle join beyond that, so no join here carries a hint.
+    Zstandard, as whole texts and columns of row numbers take about half the disk they take by default.
     """
     folder = new_folder(df.sparkSession, label)
-    df.write.parquet(folder)
+    df.write.option("compression", "zstd").parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
