@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from strandline.llm.common import attach, map_arrow
+from strandline.llm.common import ROW, among, attach, keyed, map_arrow
 from strandline.operators.components import components
 from strandline.session import settled
 
@@ -167,16 +167,16 @@ def _recurring(held: list) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _described(batches):
-    """A row for each text (its size, digest and least hashes), and rows of recurring tokens (token in _t1, count in n)."""
+    """A row for each text (its size, digest and least hashes), and rows of recurring tokens (_token, count in n)."""
     import xxhash
 
     held, size = [], 0
-    names = ["id", "_ik", "_t1", "_t2", "n", "_d1", "_d2", "_least", "_bits", "_heavy"]
+    names = ["id", ROW, "_token", "n", "_d1", "_d2", "_least", "_bits", "_heavy"]
 
     def heavy(kind):
         tokens, counts = _recurring(held)
         none = pa.nulls(len(tokens), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), kind), none, pa.array(tokens.view(np.int64)), none, pa.array(counts.astype(np.int64)), none, none, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.nulls(len(tokens), pa.binary()), pa.array([True] * len(tokens), pa.bool_())], names)
+        return pa.RecordBatch.from_arrays([pa.nulls(len(tokens), kind), none, pa.array(tokens.view(np.int64)), pa.array(counts.astype(np.int64)), none, none, pa.nulls(len(tokens), pa.list_(pa.int64())), pa.nulls(len(tokens), pa.binary()), pa.array([True] * len(tokens), pa.bool_())], names)
 
     kind = None
     for batch in batches:
@@ -186,7 +186,7 @@ def _described(batches):
         digests = np.array([divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 2**64) for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
         with np.errstate(over="ignore"):
             least = [[int((s * np.uint64(m)).min().view(np.int64)) for m in ORDERS] if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays([ids, batch.column("_ik"), batch.column("_t1"), batch.column("_t2"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(least, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.array([False] * len(sets), pa.bool_())], names)
+        yield pa.RecordBatch.from_arrays([ids, batch.column(ROW), pa.nulls(len(sets), pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(least, pa.list_(pa.int64())), pa.array([parity(s) if len(s) else None for s in sets], pa.binary()), pa.array([False] * len(sets), pa.bool_())], names)
         held += sets
         size += sum(map(len, sets))
         if size > WINDOW:
@@ -250,11 +250,6 @@ def _near(batches):
         yield pa.RecordBatch.from_arrays([batch.column("_a"), batch.column("_b"), pa.array(open_, pa.bool_()), pa.array(far, pa.float64())], ["_a", "_b", "_open", "_far"])
 
 
-def _texts(texts: DataFrame, sets: DataFrame) -> DataFrame:
-    """Rows of sets (with the key of a text that has the set) with that text."""
-    return texts.join(sets, ["_ik", "_t1", "_t2"])
-
-
 def _both(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("_a").alias("_set")).union(pairs.select(F.col("_b").alias("_set"))).distinct()
 
@@ -270,19 +265,19 @@ def _sided(pairs: DataFrame, values: DataFrame, names: dict[str, str]) -> DataFr
 
 
 class _Texts:
-    """Texts of sets, read from the documents once a set."""
+    """Texts of sets, read from the documents once a set; the number of a set is that of the text that stands for it."""
 
     def __init__(self, texts: DataFrame, sets: DataFrame):
-        self.texts, self.sets, self.parts = texts, sets, []
+        self.texts, self.sets, self.parts = texts.select(ROW, "text"), sets, []
 
     def add(self, wanted: DataFrame) -> DataFrame:
         """All texts read so far; those of wanted (_set) are among them."""
         for part in self.parts:
             wanted = wanted.join(part.select("_set"), "_set", "left_anti")
-        new = settled(self.sets.select("_set", "_ik", "_t1", "_t2").join(wanted, "_set"), "text-keys")
+        new = settled(wanted.select(F.col("_set").alias(ROW)), "text-keys")
         if not new.isEmpty():
-            self.parts.append(settled(_texts(self.texts, new).select("_set", "text").dropDuplicates(["_set"]), "texts"))
-        found = self.parts[0] if self.parts else self.texts.select(F.lit(0).cast("long").alias("_set"), "text").limit(0)
+            self.parts.append(settled(among(self.texts, new).withColumnRenamed(ROW, "_set"), "texts"))
+        found = self.parts[0] if self.parts else self.texts.select(F.col(ROW).alias("_set"), "text").limit(0)
         for part in self.parts[1:]:
             found = found.union(part)
         return found
@@ -304,7 +299,8 @@ def _linking(*parts: DataFrame) -> DataFrame:
     links = parts[0].select("_a", "_b")
     for part in parts[1:]:
         links = links.union(part.select("_a", "_b"))
-    return components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v"))).select(F.col("node").alias("_set"), F.col("component").alias("_comp"))
+    found = components(links.select(F.col("_a").alias("u"), F.col("_b").alias("v"))).select(F.col("node").alias("_set"), F.col("component").alias("_comp"))
+    return settled(found, "components")
 
 
 def _regrouped(rows: DataFrame, key: str, found: DataFrame) -> DataFrame:
@@ -372,14 +368,14 @@ def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id
     """
     kind = docs.schema[ident].dataType.simpleString()
     whole = F.coalesce(F.col(f"`{text}`"), F.lit(""))
-    texts = docs.select(F.col(f"`{ident}`").alias("id"), F.xxhash64(f"`{ident}`").alias("_ik"), F.xxhash64(whole).alias("_t1"), F.hash(whole).cast("long").alias("_t2"), whole.alias("text"))
-    schema = f"id {kind}, _ik long, _t1 long, _t2 long, n long, _d1 long, _d2 long, _least array<long>, _bits binary, _heavy boolean"
-    described = settled(map_arrow(texts, _described, schema).withColumn("_row", F.monotonically_increasing_id()), "described")
+    # Written once with a number each: later steps read the texts they need from here, and no others move.
+    texts = keyed(docs, F.col(f"`{ident}`").alias("id"), whole.alias("text"), label="texts")
+    schema = f"id {kind}, _row long, _token long, n long, _d1 long, _d2 long, _least array<long>, _bits binary, _heavy boolean"
+    described = settled(map_arrow(texts, _described, schema), "described")
     info = described.where("not _heavy")
     # Equal sets are one: the least row of each stands for it.
     rows = settled(attach(info.where("n > 0"), ["_d1", "_d2"], F.col("_row"), {"_set": (F.min, F.col("_row"))}), "set-rows")
     sets = rows.where("_set = _row")
-    texts = texts.drop("id")
     store = _Texts(texts, sets)
 
     # Leaders: every set meets the least set of its buckets.
@@ -393,13 +389,13 @@ def jaccard_components(docs: DataFrame, text: str = "text", ident: str = "doc_id
     stars = _stars(links.select("_a", "_b", "_far"))
 
     # The index, where a leader stands for its followers.
-    common = described.where("_heavy").groupBy("_t1").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_t1").limit(HEAVY).toPandas()
-    tokens = common["_t1"].to_numpy(np.int64).view(np.uint64)
+    common = described.where("_heavy").groupBy("_token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "_token").limit(HEAVY).toPandas()
+    tokens = common["_token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(tokens)
-    placed = sets.select("_set", "_ik", "_t1", "_t2", "n").join(found, "_set", "left").join(stars.select("_set", "_lead"), "_set", "left")
-    placed = placed.select("_set", "_ik", "_t1", "_t2", "n", F.coalesce("_lead", "_set").alias("_lead"), F.coalesce("_comp", "_set").alias("_comp"), F.col("_lead").isNotNull().alias("_many"))
+    placed = sets.select("_set", "n").join(found, "_set", "left").join(stars.select("_set", "_lead"), "_set", "left")
+    placed = placed.select("_set", "n", F.coalesce("_lead", "_set").alias("_lead"), F.coalesce("_comp", "_set").alias("_comp"), F.col("_lead").isNotNull().alias("_many"))
     schema = "_tok long, _pos long, _set long, _lead long, _comp long, _many boolean, n long"
-    index = settled(map_arrow(_texts(texts, settled(placed, "placed")).select("_set", "_lead", "_comp", "_many", "n", "text"), _prefixes(tokens[order], common["n"].to_numpy(np.int64)[order]), schema), "index")
+    index = settled(map_arrow(store.texts.withColumnRenamed(ROW, "_set").join(settled(placed, "placed"), "_set").select("_set", "_lead", "_comp", "_many", "n", "text"), _prefixes(tokens[order], common["n"].to_numpy(np.int64)[order]), schema), "index")
     block = (F.floor(F.log(F.col("n").cast("double")) / float(np.log(SIZES))), F.floor(F.col("_pos") * PLACES / F.col("n")))
     grouped = index.where("_many").groupBy("_tok", "_lead", "_comp", block[0].alias("_sizes"), block[1].alias("_places"))
     grouped = grouped.agg(F.min("n").alias("_lo"), F.max("n").alias("_hi"), F.min("_pos").alias("_pos"))
