@@ -190,13 +190,23 @@ def _meet(batches):
 
 
 def _sides(batches):
-    """The texts that the pairs of blocks of a batch need, each once."""
+    """The texts that each pair of blocks needs, each once, from rows sorted by blocks."""
+    at, told = None, np.empty(0, np.int64)
     for batch in batches:
+        if not batch.num_rows:
+            continue
         u, v, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("_u", "_v", "_b"))
         many = batch.column("_as")
-        a, of = many.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(batch.num_rows), many.value_lengths().to_numpy(zero_copy_only=False))
-        every = np.unique(np.concatenate([np.stack([u, v, b], 1), np.stack([u[of], v[of], a], 1)]), axis=0)
-        yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(every[:, i])) for i in range(3)], ["_u", "_v", ROW])
+        a, ends = many.flatten().to_numpy(zero_copy_only=False), np.cumsum(many.value_lengths().to_numpy(zero_copy_only=False))
+        cuts = np.flatnonzero((u[1:] != u[:-1]) | (v[1:] != v[:-1])) + 1
+        found: list = []
+        for i, j in zip([0, *cuts], [*cuts, len(u)], strict=True):
+            if at != (u[i], v[i]):
+                at, told = (u[i], v[i]), np.empty(0, np.int64)
+            new = np.setdiff1d(np.concatenate([b[i:j], a[ends[i - 1] if i else 0 : ends[j - 1]]]), told)
+            told = np.union1d(told, new)
+            found.append((np.full(len(new), u[i]), np.full(len(new), v[i]), new))
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["_u", "_v", ROW])
 
 
 def _similar(batches):
@@ -240,7 +250,7 @@ def _similar(batches):
 
 def _placed(members: DataFrame, family: str, sizes: DataFrame) -> DataFrame:
     """(_row, _place): the block of each row; family is the column of members by whose least value rows are put together."""
-    rows = members.groupBy(ROW).agg(F.min(family).alias("_family")).join(sizes, ROW)
+    rows = members.groupBy(ROW).agg(F.min(family).alias("_family")).join(among(sizes, members), ROW)
     weighed = attach(rows, ["_family"], F.col(ROW), {"_all": (F.sum, F.col("_bytes") + 64)}, SALTS)
     block = F.pmod(F.xxhash64(ROW), F.ceil(F.col("_all") / BLOCK_BYTES))
     return settled(weighed.select(ROW, F.xxhash64("_family", block).alias("_place")), "places")
@@ -249,7 +259,8 @@ def _placed(members: DataFrame, family: str, sizes: DataFrame) -> DataFrame:
 def _in_blocks(pairs: DataFrame, values: DataFrame, column: str) -> DataFrame:
     """Rows (_u, _v, _kind, _b, _as, column) sorted by pairs of blocks: of each pair of blocks first the values (column, by _row) that its pairs need, each once, then the pairs."""
     asked = settled(pairs.select(F.least("_pa", "_pb").alias("_u"), F.greatest("_pa", "_pb").alias("_v"), "_b", "_as"), "pairs")
-    rows = settled(map_arrow(asked, _sides, f"_u long, _v long, {ROW} long").distinct(), "sides")
+    dealt = asked.repartition("_u", "_v").sortWithinPartitions("_u", "_v")
+    rows = settled(map_arrow(dealt, _sides, f"_u long, _v long, {ROW} long"), "sides")
     none = F.array().cast("array<long>")
     # Only the values of pairs that meet move.
     held = rows.join(among(values.select(ROW, column), rows), ROW).select("_u", "_v", F.lit(0).alias("_kind"), F.col(ROW).alias("_b"), none.alias("_as"), column)
@@ -278,10 +289,10 @@ def _grown(found: DataFrame | None, links: DataFrame) -> DataFrame:
 def _mixed(members: DataFrame, found: DataFrame) -> DataFrame:
     """Members of the buckets that lie in several components, with their own (_comp), the bucket's most frequent one (_main) and its members (_count)."""
     placed = members.join(found.select(F.col("node").alias(ROW), "component"), ROW, "left").select(ROW, "_bucket", "_asked", F.coalesce("component", ROW).alias("_comp"))
-    # A bucket of two was compared as a whole by its first heads, as any whose members all were heads.
+    # A bucket whose members outside its main component all were heads is settled: they have met everyone in it.
     of_part = placed.groupBy("_bucket", "_comp").agg(F.count("*").alias("_share"), F.count(F.when(~F.col("_asked"), 1)).alias("_left"))
-    of_all = of_part.groupBy("_bucket").agg(F.max(F.struct("_share", "_comp")).alias("_most"), F.sum("_share").alias("_count"), F.sum("_left").alias("_left"), F.count("*").alias("_parts"))
-    open_ones = settled(of_all.where("_parts > 1 and _left > 0").select("_bucket", F.col("_most._comp").alias("_main"), "_count"), "open")
+    of_all = of_part.groupBy("_bucket").agg(F.max(F.struct("_share", "_comp", "_left")).alias("_most"), F.sum("_share").alias("_count"), F.sum("_left").alias("_left"))
+    open_ones = settled(of_all.where("_left > _most._left").select("_bucket", F.col("_most._comp").alias("_main"), "_count"), "open")
     return settled(placed.join(open_ones, "_bucket").select(ROW, "_bucket", "_asked", "_comp", "_main", "_count"), "mixed")
 
 
@@ -296,14 +307,16 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     whole = (whole if row else settled(whole, "texts")).withColumn("_bytes", F.octet_length("text"))
     copies = settled(classes(digests(whole, F.col("text"), F.col("_id"), F.col(ROW))).select(ROW, "_id", "keep_row", "kept"), "copies")
     singles = copies.where("kept").select(ROW)
-    signed = map_arrow(whole.select(F.col(ROW).alias("row"), "text"), _signatures, f"{ROW} long, _bands array<long>, _sig binary")
-    bands = settled(signed.join(singles, ROW, "left_semi"), "bands")
+    # Only one of equal texts is signed, where it stands.
+    signed = among(whole.select(ROW, "text"), singles).withColumnRenamed(ROW, "row")
+    bands = settled(map_arrow(signed, _signatures, f"{ROW} long, _bands array<long>, _sig binary"), "bands")
     sizes = whole.select(ROW, "_bytes")
-    # Members and heads of every bucket with more than one text; each head is the least in an order of its own (numbers, so that they are hash aggregated).
-    flat = bands.select(ROW, F.explode("_bands").alias("_bucket"))
-    orders = [F.min(F.col(ROW).bitwiseXOR(F.lit(m))).bitwiseXOR(F.lit(m)).alias(f"_h{i}") for i, m in enumerate(MASKS[:HEADS])]
-    shared = settled(flat.groupBy("_bucket").agg(F.count("*").alias("_n"), *orders).where("_n > 1"), "shared")
-    full = settled(flat.join(shared.drop("_n"), "_bucket"), "buckets")
+    # Members and heads of every bucket with more than one text, in one exchange; each head is the least in an order of its own.
+    # Dealt first, so that what the orders are taken of is formed after it and does not travel.
+    flat = bands.select(ROW, F.explode("_bands").alias("_bucket")).repartition("_bucket")
+    bucket = W.partitionBy("_bucket")
+    orders = [F.min(F.col(ROW).bitwiseXOR(F.lit(m))).over(bucket).bitwiseXOR(F.lit(m)).alias(f"_h{i}") for i, m in enumerate(MASKS[:HEADS])]
+    full = settled(flat.select("*", F.count("*").over(bucket).alias("_n"), *orders).where("_n > 1").drop("_n"), "buckets")
     first = F.array(*[F.col(f"_h{i}") for i in range(HEADS)])
     places = _placed(full, "_h0", sizes)
     pairs = settled(full.select(F.col(ROW).alias("_a"), F.explode(F.array_distinct(first)).alias("_b")).where("_a <> _b").distinct(), "first-pairs")
@@ -325,7 +338,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
         if texts is None:  # Later rounds need only texts of buckets that are mixed now.
             texts = among(whole, mixed.select(ROW))
         marked = mixed.join(heads, ["_bucket", ROW], "left")
-        known = bands.select(ROW, "_sig").join(_placed(mixed, "_main", texts.select(ROW, "_bytes")), ROW)
+        known = among(bands.select(ROW, "_sig"), mixed).join(_placed(mixed, "_main", texts.select(ROW, "_bytes")), ROW)
         parts = F.ceil(F.col("_count") / PART)
         # A text is in up to BANDS mixed buckets: its signature is joined once, then goes to each of them.
         placed = marked.where("_now or not _asked").groupBy(ROW, "_comp").agg(F.collect_list(F.struct("_bucket", parts.alias("_parts"), "_now")).alias("_in"))

@@ -234,6 +234,25 @@ def test_near_duplicate_classes_against_all_pairs(spark):
     assert got == {i: best[group[i]] for i in ids}
 
 
+def test_a_pair_of_blocks_names_each_text_once():
+    """Also where its pairs come in several batches."""
+    import pyarrow as pa
+
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+    batch = lambda *rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], ["_u", "_v", "_b", "_as"])
+    batches = [batch((1, 1, 7, [8]), (1, 2, 7, [9, 8])), batch((1, 2, 7, [9]), (1, 2, 8, [5])), batch((1, 2, 5, [9]), (2, 2, 9, []))]
+    got = [tuple(r.values()) for b in dart_minhash._sides(iter(batches)) for r in b.to_pylist()]
+    assert sorted(got) == [(1, 1, 7), (1, 1, 8), (1, 2, 5), (1, 2, 7), (1, 2, 8), (1, 2, 9), (2, 2, 9)]
+
+
+def test_settled_buckets_leave_the_work(spark):
+    """Bucket 1 has only members of its main component left to ask, bucket 2 another one too."""
+    members = spark.createDataFrame([(r, 1, r in (3, 4)) for r in range(5)] + [(r, 2, r == 3) for r in range(5)], "_row long, _bucket long, _asked boolean")
+    found = spark.createDataFrame([(0, 0), (1, 0), (2, 0)], "node long, component long")
+    got = dart_minhash._mixed(members, found).collect()
+    assert {r["_bucket"] for r in got} == {2} and len(got) == 5 and {r["_main"] for r in got} == {0}
+
+
 def test_word_ids_equal_the_tokenizers():
     from tokenizers import Tokenizer
 
