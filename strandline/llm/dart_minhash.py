@@ -337,7 +337,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
             break
         if texts is None:  # Later rounds need only texts of buckets that are mixed now.
             texts = among(whole, mixed.select(ROW))
-        marked = mixed.join(heads, ["_bucket", ROW], "left")
+        marked = settled(mixed.join(heads, ["_bucket", ROW], "left"), "marked")
         known = among(bands.select(ROW, "_sig"), mixed).join(_placed(mixed, "_main", texts.select(ROW, "_bytes")), ROW)
         parts = F.ceil(F.col("_count") / PART)
         # A text is in up to BANDS mixed buckets: its signature is joined once, then goes to each of them.
