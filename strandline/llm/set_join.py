@@ -87,8 +87,8 @@ def word_hashes(text: bytes) -> tuple[np.ndarray, np.ndarray]:
     return h, starts
 
 
-def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
-    """Of each text the sorted distinct hashes of its shingles of k words, A-Z lower-cased; fewer words are one shingle, none none."""
+def word_runs(texts: list[str | None]) -> list[np.ndarray]:
+    """Of each text the hashes of its words in order, A-Z lower-cased; null has none."""
     raw = [(t or "").encode("utf-8", "surrogatepass").translate(LOWER) for t in texts]
     out, i = [], 0
     while i < len(raw):
@@ -98,15 +98,20 @@ def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
             size += len(raw[j])
             j += 1
         if size > PIECE:
-            out.append(_shingled(_in_pieces(raw[i]), k))
+            out.append(_in_pieces(raw[i]))
         else:
             h, starts = word_hashes(b" ".join(raw[i:j]))
             ends = np.cumsum([len(t) + 1 for t in raw[i:j]])
-            out += [_shingled(part, k) for part in np.split(h, np.searchsorted(starts, ends[:-1]))]
+            out += np.split(h, np.searchsorted(starts, ends[:-1]))
         i = j
     return out
 
 
+def shingle_sets(texts: list[str | None], k: int = SHINGLE) -> list[np.ndarray]:
+    """Of each text the sorted distinct hashes of its shingles of k words, A-Z lower-cased; fewer words are one shingle, none none."""
+    return [_shingled(h, k) for h in word_runs(texts)]
+
+
 def _in_pieces(text: bytes) -> np.ndarray:
     import xxhash
 

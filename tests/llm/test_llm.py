@@ -3,6 +3,7 @@
 import hashlib
 import time
 import math
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -394,3 +395,57 @@ def test_mixing_splits_repeated_rows_at_the_cut(spark):
     for source in "ab":
         own = [r for r in got if r["source"] == source]
         assert abs(sum(r["_size"] * r["_times"] for r in own) - own[0]["_target"]) <= 2.5
+
+
+def test_katz_pairs_and_groups(spark, monkeypatch):
+    """Scores against a dictionary of pairs, over several groups and buckets, with words named by code and by hash, nulls, repeated rows and null ids."""
+    import random
+    import zlib
+
+    monkeypatch.setattr(katz, "GROUP", 300)
+    monkeypatch.setattr(katz, "PART", 400)
+    monkeypatch.setattr(katz, "HEAVY", 1100)
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"W{int(rng.paretovariate(0.4)) % 4000}" for _ in range(rng.randrange(60)))) for i in range(150)]
+    rows += [rows[3], (None, "w1 w1 w2"), (500, None), (501, "w1\t w2 x")]
+    train = lambda i: zlib.crc32(b"" if i is None else str(i).encode()) % 7 != 2
+    split = lambda t: [w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").lower()) if w] + [None]
+    one, two, after = Counter(), Counter(), defaultdict(dict)
+    for i, t in rows:
+        if train(i):
+            words = split(t)
+            one.update(words)
+            two.update(zip([1, *words], words, strict=False))
+    n, v = sum(one.values()), len(one)
+    factor = katz.discounts(Counter(two.values()))
+    for (h, w), c in two.items():
+        after[h][w] = c
+    p = lambda w: (one[w] + 1) / (n + v + 1)
+
+    def value(h, w):
+        seen = after.get(h)
+        if not seen:
+            return p(w)
+        ch, dh = sum(seen.values()), sum(c * factor.get(c, 1) for c in seen.values())
+        rest = max(1 - dh / ch, 1e-9)
+        norm = rest + dh / ch
+        return (seen[w] * factor.get(seen[w], 1) / ch if w in seen else rest / (1 - sum(map(p, seen))) * p(w)) / norm
+
+    wanted = sorted((str(i), train(i), len(x), sum(one[w] > 0 for w in x), round(sum(math.log10(p(w)) for w in x), 6), round(sum(math.log10(value(h, w)) for h, w in zip([1, *x], x, strict=False)), 6)) for i, x in ((i, split(t)) for i, t in rows))
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(2)
+    got = katz.katz_scores(df, training_row(F.col("doc_id"), 7) != 2).collect()
+    assert sorted((str(r["_id"]), r["_train"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6)) for r in got) == wanted
+    assert {r["train_tokens"] for r in got} == {n}
+    assert katz.katz_scores(df.limit(0), training_row(F.col("doc_id"), 7) != 2).count() == 0
+
+
+def test_katz_moves_pairs_not_tokens(spark):
+    """What a group asks of a bucket names a frequent word by a code: pairs take a few bytes each."""
+
+    words = np.arange(1, 2001, dtype=np.uint64) * katz.MIX
+    codes = np.arange(2000).astype("<u4")
+    planes = codes.view(np.uint8).reshape(-1, 4)[:, :3]
+    none = np.empty(0, np.uint64)
+    packed = katz._zip(planes, planes[::-1], none, none, none, np.ones(2000, "<u4"))
+    h, w, share, c, hot = katz._asked_pairs(packed, 2000, words, np.arange(2000) + 1)
+    assert len(packed) < 8 * 2000 and (h == words).all() and (w == words[::-1]).all() and (c == 1).all() and share[0] == 2000 and hot.sum() == katz.HOT
