@@ -43,7 +43,8 @@ def word_ids(model, bare, ends, new: list[str], pieces: dict[str, bytes]) -> dic
     ready = new if new and plain(" ".join(new)) and not any("<|" in w for w in new) else [w for w in new if (not w or plain(w)) and "<|" not in w]
     whole = [] if ready is new else list(set(new).difference(ready))
     parts = regex.compile(f"{PIECES}| ").findall(" ".join([*ready, ""]).lower())
-    fresh = list(set(parts) - pieces.keys() - {" "})
+    # Not a difference with the keys: that goes through all pieces met so far, for every batch.
+    fresh = [x for x in set(parts) if x not in pieces and x != " "]
     for i in range(0, len(fresh), 1024):
         part = fresh[i : i + 1024]
         ids = np.array(bare.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.uint32)

@@ -449,3 +449,21 @@ def test_katz_moves_pairs_not_tokens(spark):
     packed = katz._zip(planes, planes[::-1], none, none, none, np.ones(2000, "<u4"))
     h, w, share, c, hot = katz._asked_pairs(packed, 2000, words, np.arange(2000) + 1)
     assert len(packed) < 8 * 2000 and (h == words).all() and (w == words[::-1]).all() and (c == 1).all() and share[0] == 2000 and hot.sum() == katz.HOT
+
+
+def test_packing_looks_up_pieces_only(spark):
+    """New words of a batch are looked up among the pieces met so far; these are not gone through."""
+    from tokenizers import Tokenizer
+
+    class Met(dict):
+        def keys(self):
+            raise AssertionError("all pieces are gone through")
+
+        __iter__ = keys
+
+    path = corpus_pipeline.tokenizer_path()
+    model, words = Tokenizer.from_file(path), ["Word,", "word", "", "don't", "a1.", "word"]
+    pieces = Met()
+    for _ in range(2):
+        assert packing.word_ids(model, packing.bare_tokenizer(path), packing.end_ids(model), words, pieces) == packing._one_by_one(model, words)
+    assert "word" in pieces and " " not in pieces
