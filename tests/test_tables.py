@@ -1,6 +1,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import names, spectral, weather
@@ -166,3 +167,28 @@ def test_spine_work_is_dealt_over_the_tasks(spark):
     assert sum(r["count"] for r in parts) == 201 * 731
     assert len(parts) > 1 and max(r["count"] for r in parts) < 201 * 731 / 2
     assert s.where((F.col("id") != day_key("date", "transect")) | (F.col("day") != F.col("date").cast("string"))).count() == 0
+
+
+def test_blocks_and_groups_stay_bounded():
+    """A block and a group have a bounded size, every task has a pair, and the rows shuffled stay far below rows times years."""
+    for rows, years, tasks in ((0, 0, 4), (1, 1, 200), (100, 3, 8), (1000, 214, 12), (60000, 425, 100), (360000, 2550, 600), (5, 4000, 100)):
+        blocks, groups = cl._dealt(rows, years, tasks)
+        assert rows <= blocks * cl.BLOCK_ROWS and years <= groups * cl.GROUP_YEARS
+        assert blocks <= max(rows, 1) and groups <= max(years, 1)
+        assert blocks * groups >= min(tasks, max(rows, 1) * max(years, 1))
+    blocks, groups = cl._dealt(60000, 425, 100)
+    assert 60000 * groups + 425 * 366 * blocks < 60000 * 425 / 4
+
+
+def test_rows_of_a_day_lie_together(spark, tmp_path):
+    """Stations follow one another within a day, so files of the result hold a date once a run; no rows or no years give none."""
+    points = spark.createDataFrame([(i,) for i in [*range(1500), 7, None]], "transect int")
+    s = cl.spine(points, spark.createDataFrame([(2004,), (2005,), (2005,)], "year int"))
+    s.write.parquet(f"{tmp_path}/spine")
+    assert s.count() == 1502 * 731
+    assert s.where("transect = 7").count() == 2 * 731 and s.where("transect is null").count() == 731
+    at = F.monotonically_increasing_id()
+    turns = spark.read.parquet(f"{tmp_path}/spine").coalesce(1).select("date", at.alias("n")).withColumn("d", F.lag("date").over(Window.orderBy("n")))
+    assert turns.where("date <> d").count() < 1502 * 731 / 100
+    assert cl.spine(points.limit(0), spark.createDataFrame([(2004,)], "year int")).count() == 0
+    assert cl.spine(points, spark.createDataFrame([], "year int")).count() == 0
