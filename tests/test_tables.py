@@ -192,3 +192,36 @@ def test_rows_of_a_day_lie_together(spark, tmp_path):
     assert turns.where("date <> d").count() < 1502 * 731 / 100
     assert cl.spine(points.limit(0), spark.createDataFrame([(2004,)], "year int")).count() == 0
     assert cl.spine(points, spark.createDataFrame([], "year int")).count() == 0
+
+
+def test_half_up_equals_round(spark):
+    from strandline.functions.rounding import half_up
+
+    odd = [None, 0.0, -0.0, float("nan"), float("inf"), -float("inf"), 1e300, 5e-324, -1e-7, 5e-6, -5e-6, 1.000005, -2.5e-5, 123456.789015, 1e11 + 5e-6]
+    ties = [k * 5e-6 for k in range(-3001, 3001, 7)] + [100000 + k * 5e-6 for k in range(1, 900, 2)]
+    df = spark.createDataFrame([(v,) for v in odd + ties], "v double")
+    for digits in (5, 6):
+        assert df.where(~F.round("v", digits).cast("string").eqNullSafe(half_up("v", digits).cast("string"))).count() == 0
+    plan = df.select(half_up("v", 5).alias("v"))
+    assert plan.where("v is null").count() == 1
+
+
+def test_values_at_transects_take_little_room(spark, tmp_path):
+    """Days without reading are 0, a missing cell gives NULL; values of many days and stations are written in few bytes."""
+    from strandline.plans.climate import at_transects
+
+    cells = lambda a, gap=None: [None if k == gap else a + k for k in range(9)]
+    none = [None] * (len(cl.VARIABLES) - 2)
+    vectors = spark.createDataFrame([(dt.date(2004, 1, d), cells(1.0 + d, 4 if d == 2 else None), cells(0.5) if d > 1 else None, *none) for d in (1, 2, 3)],
+                                    "date date, " + ", ".join(f"{v} array<double>" for v in cl.VARIABLES))
+    points = spark.createDataFrame([(i,) for i in range(2000)], "transect int")
+    weights = points.where("transect > 0").select("transect", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), (F.lit(w) + F.col("transect") * (c * 1e-4)).alias("w")) for k, w, c in ((0, 0.5, 1), (1, 0.25, -1), (4, 0.25, 0))])).alias("s")).select("transect", "s.*")
+    out = at_transects(vectors, points, spark.createDataFrame([(2004,), (2005,)], "year int"), weights).drop("id")
+    out.write.parquet(f"{tmp_path}/values")
+    got = spark.read.parquet(f"{tmp_path}/values")
+    assert got.count() == 2000 * 731
+    first, second, later = (got.where(F.col("date") == F.lit(d)) for d in ("2004-01-01", "2004-01-02", "2005-03-01"))
+    assert first.where("transect = 0 and tsk is null and u10 = 0").count() == 1 and second.where("tsk is null").count() == 2000
+    assert first.where("transect > 0 and abs(tsk - (0.5 * 2 + 0.25 * 3 + 0.25 * 6 + transect * 1e-4 * (2 - 3))) < 1e-9 and u10 = 0").count() == 1999
+    assert second.where("transect > 0 and u10 is not null").count() == 1999 and later.where("tsk = 0 and u10 = 0 and t2 = 0").count() == 2000
+    assert sum(f.stat().st_size for f in (tmp_path / "values").glob("*.parquet")) < 2000 * 731 * 0.3
