@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from strandline.functions import projection as pr
@@ -180,3 +181,25 @@ def test_crowded_line_meets_in_one_place_only(spark):
     assert len(want) > 500 and set(found) == want and len(found) == len(want)
     met = sl._later_starts(a, b, 64.0, "l_").count() + sl._later_starts(a, b, 64.0, "r_").count()
     assert met < 2 * len(want)
+
+
+def test_lines_along_the_cells_lie_in_one_bin(spark):
+    """Upright, level and diagonal segments, also on the borders of cells, are copied for crowded lines only, not for bins."""
+    for way in ([64.0, 3.0, 64.0, 40.0], [3.0, 64.0, 40.0, 64.0], [3.0, 3.0, 40.0, 40.0], [10.0, 40.0, 40.0, 10.0]):
+        segs = lines(spark, [way])
+        side = sl._overlap_sides(segs, "r_", 64.0, False)
+        assert side.count() == sl.COPIES * sl._segment_cells(segs, 64.0).count()
+
+
+def test_shared_pieces_of_a_crowded_line_take_little_room(spark, tmp_path):
+    """More segments than a chunk holds on one line: each pair once, and the pieces of a line segment lie together."""
+    a = lines(spark, [[0.0, 0.0, 0.0, 40.0]] * (4 * sl.PACK + 900))
+    b = lines(spark, [[0.0, float(i % 20) - 7, 0.0, float(i % 20) + 9] for i in range(60)] + [[0.0, 50.0, 0.0, 60.0]])
+    found = sl.segment_overlaps(a, b, 64.0).select("l_id", "r_id", "y0", "y1")
+    found.write.parquet(f"{tmp_path}/pieces")
+    got = spark.read.parquet(f"{tmp_path}/pieces")
+    n = 60 * (4 * sl.PACK + 900)
+    assert got.count() == n and got.select("l_id", "r_id").distinct().count() == n
+    assert got.where("y0 <> greatest(r_id % 20 - 7, 0) or y1 <> r_id % 20 + 9").count() == 0
+    turns = got.coalesce(1).select("r_id", F.monotonically_increasing_id().alias("n")).withColumn("before", F.lag("r_id").over(Window.orderBy("n")))
+    assert turns.where("r_id <> before").count() < n / 50
